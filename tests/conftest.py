@@ -21,9 +21,9 @@ AS_OF = dt.date(2024, 6, 1)
 def spark(tmp_path_factory):
     session = build_session(
         "tests",
-        "local[4]",
+        "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("work")),
@@ -41,6 +41,7 @@ VOCABULARY = [
     ("PREUVE_EXIST", "3", "Non acquise", 84, False),
     ("STATUT_SOURCE", "Li", "Littérature", 73, False),
     ("STATUT_SOURCE", "Te", "Terrain", 75, False),
+    ("STATUT_SOURCE", "NSP", "Ne sait pas", 72, True),
     ("STADE_VIE", "2", "Adulte", 3, False),
     ("STADE_VIE", "17", "Alevin", 18, False),
     ("NATURALITE", "0", "Inconnu", 181, True),
