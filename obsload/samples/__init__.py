@@ -6,7 +6,7 @@ import importlib
 
 from obsload.samples.registry import QUERIES, SQL, Query
 
-_MODULES = ["values"]
+_MODULES = ["values", "keys", "mappings"]
 
 
 def _load() -> None:
