@@ -19,9 +19,22 @@ _TAGGED = (
     r"(?is)^\s*(POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON)"
     r"\s*(?:ZM|Z|M)?\s*(EMPTY|\(.*\))\s*$"
 )
+_PLAIN_POINT = (
+    r"(?i)^\s*POINT\s*\(\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:E[+-]?\d+)?)"
+    r"\s+([+-]?(?:\d+\.?\d*|\.\d+)(?:E[+-]?\d+)?)\s*\)\s*$"
+)
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it.
+
+    A filter pushed below a projection copies the projected expression to each place it is used;
+    binding it keeps both the plan and the work linear.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _inside(text: Column, depth: int) -> Column:
     """Text stripped of ``depth`` parentheses on both ends; null when they are not there."""
     stripped = F.expr("null")
@@ -56,10 +69,21 @@ def parse_wkt(text: Column) -> Column:
     Rings are cut with ``split`` instead of one validating regex: repeated regex groups recurse in
     the JVM and a polygon of some thousand vertices would overflow the stack.
     """
-    kind = F.upper(F.regexp_extract(text, _TAGGED, 1))
-    body = F.regexp_replace(
-        F.regexp_replace(F.regexp_extract(text, _TAGGED, 2), r"\s+", " "), r" ?([(),]) ?", "$1"
+    x = F.regexp_extract(text, _PLAIN_POINT, 1)
+    simple = point(x.try_cast("double"), F.regexp_extract(text, _PLAIN_POINT, 2).try_cast("double"))
+    tagged = F.struct(
+        F.upper(F.regexp_extract(text, _TAGGED, 1)).alias("kind"),
+        F.regexp_replace(
+            F.regexp_replace(F.regexp_extract(text, _TAGGED, 2), r"\s+", " "), r" ?([(),]) ?", "$1"
+        ).alias("body"),
     )
+    # plain points, nearly all cells of a load, never enter the interpreted part
+    return F.when(x != "", simple).otherwise(let(tagged, _shaped))
+
+
+def _shaped(tagged: Column) -> Column:
+    """Geometry of a keyword and its tidied body."""
+    kind, body = tagged["kind"], tagged["body"]
     empty = F.upper(body) == "EMPTY"
     single = F.array(F.array(_inside(body, 1)))
     rings = F.split(_inside(body, 2), r"\),\(")
@@ -85,6 +109,12 @@ def parse_wkt(text: Column) -> Column:
         ring_texts,
         lambda part: F.transform(part, lambda ring: F.transform(F.split(ring, ","), _vertex)),
     )
+    return let(F.struct(kind.alias("kind"), parts.alias("parts"), empty.alias("empty")), _sound)
+
+
+def _sound(read: Column) -> Column:
+    """The read geometry when its rings and lines are complete."""
+    kind, parts, empty = read["kind"], read["parts"], read["empty"]
     areal = kind.isin("POLYGON", "MULTIPOLYGON")
     linear = kind.isin("LINESTRING", "MULTILINESTRING")
 
@@ -120,7 +150,10 @@ def is_areal(geometry: Column) -> Column:
 
 def map_vertices(geometry: Column, change: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """Same geometry with every vertex moved by ``change(x, y)``."""
+    return let(geometry, lambda g: _moved(g, change))
+
 
+def _moved(geometry: Column, change: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     def moved(vertex: Column) -> Column:
         x, y = change(vertex["x"], vertex["y"])
         return F.struct(x.alias("x"), y.alias("y"))
@@ -174,6 +207,10 @@ def centroid(geometry: Column) -> Column:
     Degenerate polygons fall back to their outline, degenerate lines to their vertices. Sums are
     taken relative to the first vertex to keep digits.
     """
+    return let(geometry, _centre)
+
+
+def _centre(geometry: Column) -> Column:
     origin = first_vertex(geometry)
     ox, oy = origin["x"], origin["y"]
 
@@ -222,13 +259,17 @@ def centroid(geometry: Column) -> Column:
     mean = _weighted(vertices(geometry), lambda v: F.lit(1.0), lambda v: v["x"] - ox, lambda v: v["y"] - oy)
 
     def at(sums: Column) -> Column:
-        return point(ox + sums["wx"] / sums["w"], oy + sums["wy"] / sums["w"])
-
-    return (
-        F.when(geometry["kind"] == "POINT", point(ox, oy))
-        .when(is_areal(geometry) & (area["w"] > 0), at(area))
-        .when((geometry["kind"] != "MULTIPOINT") & (length["w"] > 0), at(length))
-        .when(geometry.isNotNull() & (F.size(vertices(geometry)) > 0), at(mean))
+        placed = point(ox + sums["wx"] / sums["w"], oy + sums["wy"] / sums["w"])
+        return F.when(sums["w"] > 0, placed)
+
+    kind = geometry["kind"]
+    return F.when(kind == "POINT", point(ox, oy)).when(
+        geometry.isNotNull(),
+        F.coalesce(
+            F.when(is_areal(geometry), let(area, at)),
+            F.when(kind != "MULTIPOINT", let(length, at)),
+            let(mean, at),
+        ),
     )
 
 
@@ -238,6 +279,10 @@ def within_convex(geometry: Column, corners: list[tuple[float, float]]) -> Colum
     ``corners`` run counter-clockwise. A point on the border is outside; a line or polygon may
     touch it. Coordinates that are not finite are outside.
     """
+    return let(geometry, lambda g: _within(g, corners))
+
+
+def _within(geometry: Column, corners: list[tuple[float, float]]) -> Column:
     edges = list(zip(corners, corners[1:] + corners[:1], strict=True))
 
     def sides(x: Column, y: Column) -> list[Column]:
@@ -291,6 +336,10 @@ def on_edges(x: Column, y: Column, edges: Column) -> Column:
 
 def bounds(geometry: Column) -> Column:
     """Smallest box as ``STRUCT<xmin, ymin, xmax, ymax>``."""
+    return let(geometry, _box)
+
+
+def _box(geometry: Column) -> Column:
     xs = F.transform(vertices(geometry), lambda v: v["x"])
     ys = F.transform(vertices(geometry), lambda v: v["y"])
     return F.struct(
@@ -308,6 +357,10 @@ def _plain(number: Column) -> Column:
 
 def to_wkt(geometry: Column) -> Column:
     """WKT text of a geometry."""
+    return let(geometry, _written)
+
+
+def _written(geometry: Column) -> Column:
 
     def ring_text(ring: Column) -> Column:
         return F.array_join(F.transform(ring, lambda v: F.concat(_plain(v["x"]), F.lit(" "), _plain(v["y"]))), ", ")

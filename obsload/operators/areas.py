@@ -62,36 +62,36 @@ def attach_by_code(
     )
 
 
-def area_cells(areas: DataFrame, size: float) -> DataFrame:
-    """Cells ``(cx, cy, id_area, full, edges)`` covering each area.
+def banded_cells(shapes: DataFrame, key: str, size: float) -> DataFrame:
+    """Cells ``(key, cx, cy, edges)`` of the box around each shape, with the edges of their row.
 
-    ``full`` cells lie inside; the others carry the edges of their band.
+    Shapes are cut into horizontal bands first: a cell carries the few edges crossing its band
+    instead of the whole outline, and any even-odd test along a row needs no others. Cells merely
+    touched on their border are included.
     """
-    edges = areas.select(
-        "id_area", bounds(F.col("geom")).alias("b"), F.explode(segments(F.col("geom"))).alias("e")
+
+    def reach(low: Column, high: Column) -> Column:
+        first = F.ceil(low / size).cast("long") - 1
+        return F.explode(F.sequence(first, F.floor(high / size).cast("long")))
+
+    edges = shapes.select(
+        key, bounds(F.col("geom")).alias("b"), F.explode(segments(F.col("geom"))).alias("e")
     )
     low, high = F.least("e.y0", "e.y1"), F.greatest("e.y0", "e.y1")
-    banded = edges.select(
-        "id_area",
-        "b",
-        "e",
-        F.explode(
-            F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
-        ).alias("cy"),
-    )
-    bands = banded.groupBy("id_area", "cy").agg(
-        F.first("b").alias("b"), F.collect_list("e").cast(f"array<{EDGE}>").alias("edges")
-    )
-    cells = bands.select(
-        "id_area",
-        "cy",
-        "edges",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("b.xmin") / size).cast("long"), F.floor(F.col("b.xmax") / size).cast("long")
-            )
-        ).alias("cx"),
+    bands = (
+        edges.select(key, "b", "e", reach(low, high).alias("cy"))
+        .groupBy(key, "cy")
+        .agg(F.first("b").alias("b"), F.collect_list("e").cast(f"array<{EDGE}>").alias("edges"))
     )
+    return bands.select(key, "cy", "edges", reach(F.col("b.xmin"), F.col("b.xmax")).alias("cx"))
+
+
+def area_cells(areas: DataFrame, size: float) -> DataFrame:
+    """Cells ``(cx, cy, id_area, full, edges)`` covering each area.
+
+    ``full`` cells lie inside; the others carry the edges of their band.
+    """
+    cells = banded_cells(areas, "id_area", size)
     left, bottom = F.col("cx") * size, F.col("cy") * size
 
     def near(e: Column) -> Column:

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsload.functions.geometry import bounds, first_vertex, in_rings, is_areal, segments, to_wkt
+from obsload.functions.geometry import first_vertex, in_rings, is_areal
+from obsload.operators.areas import banded_cells
 from obsload.operators.keyed import key_counts, left_lookup
 
-BLOCK = 64  # grid cells per side of the blocks shapes and grid are matched on
-
-
 def _touches_box(e: Column, left: Column, bottom: Column, size: float) -> Column:
     """A segment meets a square: boxes overlap and the corners are not all on one side of it."""
     right, top = left + size, bottom + size
@@ -31,33 +29,19 @@ def _touches_box(e: Column, left: Column, bottom: Column, size: float) -> Column
 def shape_altitudes(shapes: DataFrame, grid: DataFrame, cell: float) -> DataFrame:
     """Lowest and highest altitude per ``geo_key`` over the grid cells a shape meets.
 
-    Shape and grid are matched on coarse blocks and cells tested one by one, so the cells of a large
-    shape stream through the join and never sit in one row.
+    The cells of a shape stream into the join with the grid, each judged on the edges of its band;
+    they never sit together in one row.
     """
-    b = bounds(F.col("geom"))
-    wide = cell * BLOCK
-
-    def block_range(low: Column, high: Column) -> Column:
-        return F.explode(F.sequence(F.floor(low / wide).cast("long"), F.floor(high / wide).cast("long")))
-
-    boxed = shapes.withColumn("b", b)
-    blocks = boxed.withColumn("bx", block_range(F.col("b.xmin"), F.col("b.xmax"))).withColumn(
-        "by", block_range(F.col("b.ymin"), F.col("b.ymax"))
-    )
-    gridded = grid.select(
-        "cx",
-        "cy",
-        "alt",
-        F.floor(F.col("cx") / BLOCK).cast("long").alias("bx"),
-        F.floor(F.col("cy") / BLOCK).cast("long").alias("by"),
-    )
+    areal = shapes.select("geo_key", is_areal(F.col("geom")).alias("areal"), "geom")
+    keyed = areal.withColumn("key", F.struct("geo_key", "areal"))
+    cells = banded_cells(keyed, "key", cell)
     left, bottom = F.col("cx") * cell, F.col("cy") * cell
-    edges = segments(F.col("geom"))
-    centre_in = is_areal(F.col("geom")) & in_rings(left + cell / 2, bottom + cell / 2, edges)
-    met = F.exists(edges, lambda e: _touches_box(e, left, bottom, cell)) | centre_in
+    crossed = F.exists("edges", lambda e: _touches_box(e, left, bottom, cell))
+    filled = F.col("key.areal") & in_rings(left + cell / 2, bottom + cell / 2, F.col("edges"))
     return (
-        blocks.join(gridded, ["bx", "by"])
-        .where(met)
+        cells.where(crossed | filled)
+        .select(F.col("key.geo_key").alias("geo_key"), "cx", "cy")
+        .join(grid.select("cx", "cy", "alt"), ["cx", "cy"])
         .groupBy("geo_key")
         .agg(F.min("alt").alias("alt_low"), F.max("alt").alias("alt_high"))
     )
@@ -77,7 +61,7 @@ def with_altitudes(
     cx = F.floor(head["x"] / cell).cast("long")
     cy = F.floor(head["y"] / cell).cast("long")
     key = F.when(wanted & is_point, F.concat_ws(":", cx, cy)).when(
-        wanted & g.isNotNull(), F.sha2(to_wkt(g), 256)
+        wanted & g.isNotNull(), F.sha2(F.to_json(g), 256)
     )
     keyed = df.withColumn("geo_key", key)
     counts = key_counts(keyed, ["geo_key"])
