@@ -6,7 +6,7 @@ import importlib
 
 from obsload.samples.registry import QUERIES, SQL, Query
 
-_MODULES = ["values", "keys", "mappings", "spatial", "tables"]
+_MODULES = ["values", "keys", "mappings", "spatial", "tables", "files"]
 
 
 def _load() -> None:
