@@ -8,43 +8,29 @@ from pyspark.sql import functions as F
 MIDNIGHT = "00:00:00"
 
 # Accepted shapes once separators are unified: year-first or day-first dates, then nothing,
-# H[-M[-S[-fraction]]] or HhMmSs with trailing units optional.
+# H[-M[-S[-fraction]]] or HhMmSs with trailing units optional. There is no year 0.
 _SHAPE = (
-    r"(?i)^(?:(\d{4})-(\d{1,2})-(\d{1,2})|(\d{1,2})-(\d{1,2})-(\d{4}))"
+    r"(?i)^(?:(?!0000)(\d{4})-(\d{1,2})-(\d{1,2})|(\d{1,2})-(\d{1,2})-(?!0000)(\d{4}))"
     r"(?:\s(?:(\d{1,2})(?:-(\d{1,2})(?:-(\d{1,2})(?:-(\d{1,6}))?)?)?"
     r"|(\d{1,2})h(?:(\d{1,2})(?:m(?:(\d{1,2})s)?)?)?))?$"
 )
 _MARK = "\u0001"
-# year | month | day | hour | minute | second | fraction, whichever alternative matched
-_PIECES = _MARK + "$1$6|$2$5|$3$4|$7$11|$8$12|$9$13|$10"
+# the matched pieces in standard order; units that were left out read as 0
+_STANDARD = _MARK + r"$1$6-$2$5-$3$4 0$7$11:0$8$12:0$9$13.$10\0"
 
 
 def lenient_timestamp(text: Column) -> Column:
     """Timestamp without zone, or null when no accepted shape fits or the date does not exist.
 
-    One regex pass rewrites the text to its seven pieces; the rest is integer work.
+    A chain of text rewrites ending in one cast, so that everything stays in generated code and no
+    step is computed twice.
     """
     tidy = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), " +", " ")
-    tidy = F.translate(tidy, "/.:", "---")
-    pieces = F.split(F.regexp_replace(tidy, _SHAPE, _PIECES), r"\|")
-    matched = ~text.contains(_MARK) & pieces[0].startswith(_MARK)
-
-    def number(piece: Column) -> Column:
-        return F.coalesce(piece.try_cast("int"), F.lit(0))
-
-    year = number(F.substring(F.get(pieces, F.lit(0)), 2, 4))
-    second = number(F.get(pieces, F.lit(5)))
-    fraction = F.rpad(F.get(pieces, F.lit(6)), 6, "0")
-    seconds = F.concat(second.cast("string"), F.lit("."), fraction).try_cast("decimal(16,6)")
-    made = F.try_make_timestamp_ntz(
-        year,
-        number(F.get(pieces, F.lit(1))),
-        number(F.get(pieces, F.lit(2))),
-        number(F.get(pieces, F.lit(3))),
-        number(F.get(pieces, F.lit(4))),
-        seconds,
-    )
-    return F.when(matched & (year >= 1) & (second < 60), made)
+    tidy = F.translate(tidy, "/.:" + _MARK, "---?")
+    standard = F.regexp_replace(tidy, _SHAPE, _STANDARD)
+    matched = F.regexp_extract(standard, f"^{_MARK}(.*)$", 1)
+    # a two-digit unit behind its default zero
+    return F.regexp_replace(matched, r"0(\d\d)(?=[:.])", "$1").try_cast("timestamp_ntz")
 
 
 def start_text(date_min: Column, hour_min: Column | None) -> Column:

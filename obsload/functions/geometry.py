@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from obsload.functions.binding import let
+
 VERTEX = "struct<x:double,y:double>"
 PARTS = f"array<array<array<{VERTEX}>>>"
 GEOMETRY = f"struct<kind:string,parts:{PARTS}>"
@@ -26,15 +28,6 @@ _PLAIN_POINT = (
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, however often ``body`` names it.
-
-    A filter pushed below a projection copies the projected expression to each place it is used;
-    binding it keeps both the plan and the work linear.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _inside(text: Column, depth: int) -> Column:
     """Text stripped of ``depth`` parentheses on both ends; null when they are not there."""
     stripped = F.expr("null")
@@ -144,13 +137,20 @@ def first_vertex(geometry: Column) -> Column:
     return F.get(F.get(F.get(geometry["parts"], F.lit(0)), F.lit(0)), F.lit(0))
 
 
+def is_plain_point(geometry: Column) -> Column:
+    return (geometry["kind"] == "POINT") & (F.size(geometry["parts"]) == 1)
+
+
 def is_areal(geometry: Column) -> Column:
     return geometry["kind"].isin("POLYGON", "MULTIPOLYGON")
 
 
 def map_vertices(geometry: Column, change: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """Same geometry with every vertex moved by ``change(x, y)``."""
-    return let(geometry, lambda g: _moved(g, change))
+    head = first_vertex(geometry)
+    x, y = change(head["x"], head["y"])
+    # plain points stay in generated code
+    return F.when(is_plain_point(geometry), point(x, y)).otherwise(let(geometry, lambda g: _moved(g, change)))
 
 
 def _moved(geometry: Column, change: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
@@ -158,8 +158,6 @@ def _moved(geometry: Column, change: Callable[[Column, Column], tuple[Column, Co
         x, y = change(vertex["x"], vertex["y"])
         return F.struct(x.alias("x"), y.alias("y"))
 
-    # points skip the interpreted lambdas
-    x0, y0 = change(first_vertex(geometry)["x"], first_vertex(geometry)["y"])
     nested = F.struct(
         geometry["kind"].alias("kind"),
         F.transform(
@@ -167,8 +165,7 @@ def _moved(geometry: Column, change: Callable[[Column, Column], tuple[Column, Co
             lambda part: F.transform(part, lambda ring: F.transform(ring, moved)),
         ).alias("parts"),
     ).cast(GEOMETRY)
-    simple = (geometry["kind"] == "POINT") & (F.size(geometry["parts"]) == 1)
-    return F.when(simple, point(x0, y0)).when(geometry.isNotNull(), nested)
+    return F.when(geometry.isNotNull(), nested)
 
 
 def _segments(ring: Column) -> Column:
@@ -207,7 +204,7 @@ def centroid(geometry: Column) -> Column:
     Degenerate polygons fall back to their outline, degenerate lines to their vertices. Sums are
     taken relative to the first vertex to keep digits.
     """
-    return let(geometry, _centre)
+    return F.when(is_plain_point(geometry), geometry).otherwise(let(geometry, _centre))
 
 
 def _centre(geometry: Column) -> Column:
@@ -263,7 +260,7 @@ def _centre(geometry: Column) -> Column:
         return F.when(sums["w"] > 0, placed)
 
     kind = geometry["kind"]
-    return F.when(kind == "POINT", point(ox, oy)).when(
+    return F.when(
         geometry.isNotNull(),
         F.coalesce(
             F.when(is_areal(geometry), let(area, at)),
@@ -279,10 +276,6 @@ def within_convex(geometry: Column, corners: list[tuple[float, float]]) -> Colum
     ``corners`` run counter-clockwise. A point on the border is outside; a line or polygon may
     touch it. Coordinates that are not finite are outside.
     """
-    return let(geometry, lambda g: _within(g, corners))
-
-
-def _within(geometry: Column, corners: list[tuple[float, float]]) -> Column:
     edges = list(zip(corners, corners[1:] + corners[:1], strict=True))
 
     def sides(x: Column, y: Column) -> list[Column]:
@@ -294,19 +287,21 @@ def _within(geometry: Column, corners: list[tuple[float, float]]) -> Column:
             held = held & ~F.isnan(side) & ((side > 0) if strict else (side >= 0))
         return held
 
-    head = first_vertex(geometry)
-    covered = F.forall(vertices(geometry), lambda v: every(v["x"], v["y"], False))
-    enters = (
-        is_areal(geometry)
-        | F.exists(vertices(geometry), lambda v: every(v["x"], v["y"], True))
-        | F.exists(
-            segments(geometry),
-            lambda s: every((s["x0"] + s["x1"]) / 2, (s["y0"] + s["y1"]) / 2, True),
+    def shape_within(g: Column) -> Column:
+        covered = F.forall(vertices(g), lambda v: every(v["x"], v["y"], False))
+        enters = (
+            is_areal(g)
+            | F.exists(vertices(g), lambda v: every(v["x"], v["y"], True))
+            | F.exists(
+                segments(g),
+                lambda s: every((s["x0"] + s["x1"]) / 2, (s["y0"] + s["y1"]) / 2, True),
+            )
         )
-    )
-    simple = (geometry["kind"] == "POINT") & (F.size(geometry["parts"]) == 1)
-    return F.when(simple, every(head["x"], head["y"], True)).when(
-        geometry.isNotNull(), (F.size(geometry["parts"]) > 0) & covered & enters
+        return F.when(g.isNotNull(), (F.size(g["parts"]) > 0) & covered & enters)
+
+    head = first_vertex(geometry)
+    return F.when(is_plain_point(geometry), every(head["x"], head["y"], True)).otherwise(
+        let(geometry, shape_within)
     )
 
 

@@ -7,8 +7,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
-_NOT_FINITE = r"(?i)^[+-]?(?:nan|inf|infinity)$"
+_INTEGER = r"^\s*([+-]?[0-9]+)\s*$"
+_NUMBER = (
+    r"(?i)^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:E[+-]?\d+)?|[+-]?(?:nan|inf|infinity))\s*$"
+)
+_UUID = (
+    r"(?i)^[{}]*([0-9a-f]{8})([0-9a-f]{4})[0-9a-f]([0-9a-f]{3})([0-9a-f])([0-9a-f]{3})"
+    r"([0-9a-f]{12})[{}]*$"
+)
+_MARK = "\u0001"
 
 
 def cell(name: str) -> Column:
@@ -18,16 +25,12 @@ def cell(name: str) -> Column:
 
 def lenient_int(text: Column) -> Column:
     """32-bit integer with optional sign and surrounding blanks; null otherwise."""
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(bare.rlike(r"^[+-]?[0-9]+$"), bare.try_cast("int"))
+    return F.regexp_extract(text, _INTEGER, 1).try_cast("int")
 
 
 def lenient_double(text: Column) -> Column:
     """Coordinate text to double; a decimal comma counts as a point."""
-    bare = F.translate(F.regexp_replace(text, r"^\s+|\s+$", ""), ",", ".")
-    return F.when(bare.rlike(_NUMBER), bare.try_cast("double")).when(
-        bare.rlike(_NOT_FINITE), F.lit(float("nan"))
-    )
+    return F.regexp_extract(F.translate(text, ",", "."), _NUMBER, 1).try_cast("double")
 
 
 def _dashed(hex32: Column) -> Column:
@@ -35,23 +38,34 @@ def _dashed(hex32: Column) -> Column:
     return F.concat_ws("-", *[F.substring(hex32, start, size) for start, size in cuts])
 
 
+def _variant(digit: Column) -> Column:
+    """Hexadecimal digit with its two high bits set to binary 10."""
+    return F.translate(digit, "0123456789abcdef", "89ab89ab89ab89ab")
+
+
 def _as_version_4(hex32: Column) -> Column:
     """Version nibble set to 4 and the two variant bits to binary 10."""
-    variant = F.translate(F.substring(hex32, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
     return F.concat(
         F.substring(hex32, 1, 12),
         F.lit("4"),
         F.substring(hex32, 14, 3),
-        variant,
+        _variant(F.substring(hex32, 17, 1)),
         F.substring(hex32, 18, 15),
     )
 
 
 def normal_uuid(text: Column) -> Column:
-    """Canonical 36-character identifier, forced to version 4; null when it is not one."""
-    bare = F.lower(F.regexp_replace(text, r"urn:|uuid:", ""))
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^[{}]+|[{}]+$", ""), "-", "")
-    return F.when(bare.rlike("^[0-9a-f]{32}$"), _dashed(_as_version_4(bare)))
+    """Canonical 36-character identifier, forced to version 4; null when it is not one.
+
+    One rewrite sets dashes and version; only the variant digit is patched afterwards.
+    """
+    bare = F.translate(F.lower(F.regexp_replace(text, r"urn:|uuid:", "")), "-" + _MARK, "")
+    dashed = F.regexp_replace(bare, _UUID, _MARK + "$1-$2-4$3-$4$5-$6")
+    found = F.regexp_extract(dashed, f"^{_MARK}(.*)$", 1)
+    patched = F.concat(
+        F.substring(found, 1, 19), _variant(F.substring(found, 20, 1)), F.substring(found, 21, 16)
+    )
+    return F.nullif(patched, F.lit(""))
 
 
 def row_uuid(salt: str, *keys: Column) -> Column:
@@ -64,7 +78,7 @@ def too_long(text: Column, limit: int) -> Column:
     return F.char_length(text) > limit
 
 
-def _overlay(base: Column, top: Column) -> Column:
+def overlay(base: Column, top: Column) -> Column:
     """Map concatenation in which ``top`` wins, whatever the session's duplicate-key policy."""
     kept = F.map_filter(base, lambda key, _: ~F.array_contains(F.map_keys(top), key))
     return F.map_concat(kept, top)
@@ -82,7 +96,7 @@ def merged_attributes(columns: list[str]) -> Column:
         plain = F.create_map(F.lit(name), F.col(name).cast("variant"))
         looks_object = F.ltrim(F.col(name)).startswith("{")
         maps.append(F.coalesce(F.when(looks_object, members), plain))
-    return F.to_json(reduce(_overlay, maps))
+    return F.to_json(reduce(overlay, maps))
 
 
 # Fixed value: the pattern a proof address must match (scheme optional, at least one dot).

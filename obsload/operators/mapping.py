@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsload.functions.scalars import merged_attributes
+from obsload.functions.scalars import merged_attributes, overlay
 from obsload.model.dictionary import DICTIONARY, Dictionary
 from obsload.model.loads import Load
 
@@ -38,12 +38,6 @@ def extra_map(columns: list[str]) -> Column:
     return F.map_from_arrays(names, cells)
 
 
-def overlay(base: Column, top: Column) -> Column:
-    """Shallow update of a mapping: keys of ``top`` win, absent keys stay."""
-    kept = F.map_filter(base, lambda key, _: ~F.array_contains(F.map_keys(top), key))
-    return F.map_concat(kept, top)
-
-
 def overlay_nested(base: Column, top: Column) -> Column:
     """Update of a two-level mapping, vocabulary by vocabulary."""
     nothing = F.create_map().cast("map<string,string>")
