@@ -23,6 +23,7 @@ from obsload.operators.issues import long_issues, with_issues
 from obsload.operators.rows import position_checks, read_position
 from obsload.operators.stats import extent
 from obsload.samples.registry import case, query, table, text
+from obsload.workspace import written
 
 # nations as squares of side 10 on a 5 by 5 board; customers scattered over it off the borders
 _BOARD = """x0 AS (SELECT n_nationkey AS id, n_regionkey, (n_nationkey % 5) * 10.0 AS x,
@@ -401,6 +402,8 @@ FROM c LEFT JOIN grid ON cx <= x + 2 AND cx + 1 >= x AND cy <= y + 2 AND cy + 1
 )
 def elevation_shapes(spark, folder):
     rows = customers(spark, folder).withColumn("g", parse_wkt(square_wkt(F.col("x"), F.col("y"), 2)))
+    # parsed once and written, as the row stage of a load does
+    rows = written(rows, "shapes")
     looked = with_altitudes(rows, "g", grid(spark, folder), 1.0, F.lit(True), F.col("c_custkey"))
     return looked.select("c_custkey", text("alt_low").alias("alt_low"), text("alt_high").alias("alt_high"))
 
