@@ -11,7 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsload.functions.geometry import bounds, in_rings, on_edges, segments
+from obsload.functions.crs import GEOGRAPHIC, reproject
+from obsload.functions.geometry import bounds, centroid, in_rings, on_edges, segments
 from obsload.operators.keyed import fetch
 
 # Area types accepted for each code field.
@@ -24,12 +25,18 @@ EDGE = "struct<x0:double,y0:double,x1:double,y1:double>"
 RESTRICTION_CELLS = 64
 
 
-def attachment_table(areas: DataFrame) -> DataFrame:
-    """One area per code field and code: ``(code_field, area_code, id_area_attachment, area_geom)``."""
+ATTACHED = ["id_area_attachment", "area_geom", "area_geom_4326", "area_point"]
+
+
+def attachment_table(areas: DataFrame, local: int) -> DataFrame:
+    """One area per code field and code, with both geometries and the centre.
+
+    Reprojected and centred here, once per area instead of once per row attached to it.
+    """
     kind = F.lit(None).cast("string")
     for name, types in AREA_TYPES.items():
         kind = F.when(F.col("type").isin(*types), F.lit(name)).otherwise(kind)
-    return (
+    single = (
         areas.select(kind.alias("code_field"), F.col("code").alias("area_code"), "id_area", "geom")
         .where(F.col("code_field").isNotNull())
         .groupBy("code_field", "area_code")
@@ -38,13 +45,20 @@ def attachment_table(areas: DataFrame) -> DataFrame:
             F.min_by("geom", "id_area").alias("area_geom"),
         )
     )
+    moved = single.withColumn("area_geom_4326", reproject(F.col("area_geom"), local, GEOGRAPHIC))
+    return moved.withColumn("area_point", centroid(F.col("area_geom_4326")))
 
 
 def attach_by_code(
-    df: DataFrame, areas: DataFrame, code_columns: dict[str, str], needs: Column, spread: Column,
+    df: DataFrame,
+    areas: DataFrame,
+    code_columns: dict[str, str],
+    local: int,
+    needs: Column,
+    spread: Column,
     settle: bool = False,
 ) -> DataFrame:
-    """Area id and geometry for the rows that ``needs`` marks, from their first filled code."""
+    """The ``ATTACHED`` columns for the rows that ``needs`` marks, from their first filled code."""
     field = F.lit(None).cast("string")
     code = F.lit(None).cast("string")
     for name in reversed([n for n in AREA_TYPES if n in code_columns]):
@@ -52,14 +66,10 @@ def attach_by_code(
         field = F.when(given, F.lit(name)).otherwise(field)
         code = F.when(given, F.col(code_columns[name])).otherwise(code)
     keyed = df.withColumns({"code_field": field, "area_code": code})
-    return fetch(
-        keyed,
-        attachment_table(areas),
-        ["code_field", "area_code"],
-        ["id_area_attachment", "area_geom"],
-        spread,
-        settle,
+    found = fetch(
+        keyed, attachment_table(areas, local), ["code_field", "area_code"], ATTACHED, spread, settle
     )
+    return found.drop("code_field", "area_code")
 
 
 def banded_cells(shapes: DataFrame, key: str, size: float) -> DataFrame:

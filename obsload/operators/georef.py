@@ -28,19 +28,21 @@ def attach_areas(
     df: DataFrame, areas: DataFrame | None, fields: dict[str, Field], local: int, spread: Column,
     settle: bool = False,
 ) -> DataFrame:
-    """Geometry and area of the valid rows that only give an area code."""
+    """Geometries, centre and area of the valid rows that only give an area code."""
     codes = {name: fields[name].source_column for name in AREA_TYPES if name in fields}
     if areas is None or not codes:
-        return df.withColumn("id_area_attachment", F.lit(None).cast("int"))
+        nothing = F.lit(None)
+        return df.withColumns(
+            {"id_area_attachment": nothing.cast("int"), "area_point": nothing.cast(GEOMETRY)}
+        )
     needs = F.col("row_ok") & F.col("geom").isNull()
-    looked = attach_by_code(df, areas, codes, needs, spread, settle)
-    found = F.col("area_geom")
+    looked = attach_by_code(df, areas, codes, local, needs, spread, settle)
     return looked.withColumns(
         {
-            "the_geom_local": F.coalesce(F.col("the_geom_local"), found),
-            "the_geom_4326": F.coalesce(F.col("the_geom_4326"), reproject(found, local, GEOGRAPHIC)),
+            "the_geom_local": F.coalesce("the_geom_local", "area_geom"),
+            "the_geom_4326": F.coalesce("the_geom_4326", "area_geom_4326"),
         }
-    ).drop("area_geom", "code_field", "area_code")
+    ).drop("area_geom", "area_geom_4326")
 
 
 def attachment_checks(fields: dict[str, Field], label) -> list[Check]:
@@ -56,6 +58,3 @@ def attachment_checks(fields: dict[str, Field], label) -> list[Check]:
     checks.append(Check("NO-GEOM", GEOMETRY_COLUMNS, unplaced & ~explained))
     return checks
 
-
-def no_geometry() -> Column:
-    return F.lit(None).cast(GEOMETRY)

@@ -20,6 +20,7 @@ from obsload.workspace import small_enough, written
 HEAVY_SHARE = 1000
 SALTS = 256
 BROADCAST_KEYS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -43,12 +44,12 @@ def left_lookup(
 
     ``counts`` are the rows per key (:func:`key_counts`) and ``found`` the lines of it that have an
     answer, still carrying ``n``; ``spread`` is any column that varies within a key, such as the
-    line number. With ``settle`` the answers are written first: when they turn out to be at most
-    ``BROADCAST_KEYS``, as faulty keys mostly are, the rows are not shuffled at all.
+    line number. With ``settle`` the answers are written first: when they turn out to be few and
+    small, as faulty keys mostly are, they are broadcast and the rows are not shuffled at all.
     """
     if settle:
         found = written(found.select(*keys, *values, "n"), "answers")
-        if small_enough(found, BROADCAST_KEYS):
+        if small_enough(found, BROADCAST_KEYS, BROADCAST_BYTES):
             return rows.join(F.broadcast(found.drop("n")), list(keys), "left").select(
                 *rows.columns, *values
             )

@@ -70,17 +70,18 @@ def check_load(
     if "digital_proof" in fields:
         checks.append(url_check("digital_proof", label("digital_proof")))
     if "WKT" in fields:
-        rows = rows.withColumn("_sound", is_valid(F.col("the_geom_4326")))
         source = F.col(fields["WKT"].source_column)
+        # attached areas are sound by contract and stay out of the Python test
+        rows = rows.withColumn("_sound", is_valid(F.when(source.isNotNull(), F.col("the_geom_4326"))))
         checks.append(Check("INVALID_GEOMETRY", label("WKT"), source.isNotNull() & ~F.col("_sound")))
     rows = with_issues(rows, checks)
     if settings.restrict_to_area is not None and dims.areas is not None:
         rows = _restriction_stage(rows, dims, settings)
     valid = ~has_error(F.col("issues"))
     # the centre only matters for rows that reach the target
-    located = F.when(valid, centroid(F.col("the_geom_4326")))
+    located = F.when(valid, F.coalesce("area_point", centroid(F.col("the_geom_4326"))))
     rows = rows.withColumns({"valid": valid, "the_geom_point": located})
-    rows = rows.drop("row_ok", "geom", "has_position", *[c for c in rows.columns if c.startswith("_")])
+    rows = rows.drop("row_ok", "geom", "has_position", "area_point", *[c for c in rows.columns if c.startswith("_")])
     done = written(rows, "checked")
     return Checked(done, long_issues(done))
 

@@ -36,6 +36,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, limit: int) -> bool:
-    """True when a *written* table has at most ``limit`` rows (answered from parquet footers)."""
-    return df.agg(F.count(F.lit(1)).alias("n")).first()["n"] <= limit
+def small_enough(df: DataFrame, rows: int, size: int) -> bool:
+    """True when a *written* table has at most ``rows`` rows and ``size`` bytes as text."""
+    measured = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("size"),
+    ).first()
+    return measured["n"] <= rows and measured["size"] <= size
