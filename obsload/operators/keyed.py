@@ -102,6 +102,18 @@ def flag_keys(
     return looked.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
+def flag_lines(rows: DataFrame, lines: DataFrame, flag: str) -> DataFrame:
+    """Marks the rows listed in ``lines(id_load, line_no)``; the pair is unique, so nothing skews.
+
+    The list is written first and broadcast when it is small.
+    """
+    listed = written(lines.select("id_load", "line_no").withColumn(flag, F.lit(True)), "lines")
+    if small_enough(listed, BROADCAST_KEYS, BROADCAST_BYTES):
+        listed = F.broadcast(listed)
+    joined = rows.join(listed, ["id_load", "line_no"], "left")
+    return joined.select(*rows.columns, F.coalesce(F.col(flag), F.lit(False)).alias(flag))
+
+
 def fetch(
     rows: DataFrame,
     dimension: DataFrame,

@@ -18,7 +18,7 @@ from obsload.operators import vocabulary as vocab_ops
 from obsload.operators.elevation import filled_altitudes, with_altitudes
 from obsload.operators.georef import attach_areas, attachment_checks, both_systems
 from obsload.operators.issues import Check, has_error, long_issues, with_issues
-from obsload.operators.keyed import flag_duplicates, flag_existing, flag_unknown
+from obsload.operators.keyed import fetch, flag_duplicates, flag_existing, flag_lines, flag_unknown
 from obsload.operators.rows import row_checks
 from obsload.operators.sets import date_checks, range_checks, url_check
 from obsload.workspace import written
@@ -70,10 +70,11 @@ def check_load(
     if "digital_proof" in fields:
         checks.append(url_check("digital_proof", label("digital_proof")))
     if "WKT" in fields:
-        source = F.col(fields["WKT"].source_column)
-        # attached areas are sound by contract and stay out of the Python test
-        rows = rows.withColumn("_sound", is_valid(F.when(source.isNotNull(), F.col("the_geom_4326"))))
-        checks.append(Check("INVALID_GEOMETRY", label("WKT"), source.isNotNull() & ~F.col("_sound")))
+        # only lines and polygons go through Python, in a narrow scan of their own
+        shapes = rows.where(F.col("geom.kind") != "POINT").select("id_load", "line_no", "geom")
+        rows = flag_lines(rows, shapes.where(~is_valid(F.col("geom"))), "_unsound")
+        given = F.col(fields["WKT"].source_column).isNotNull()
+        checks.append(Check("INVALID_GEOMETRY", label("WKT"), given & F.col("_unsound")))
     rows = with_issues(rows, checks)
     if settings.restrict_to_area is not None and dims.areas is not None:
         rows = _restriction_stage(rows, dims, settings)
@@ -208,12 +209,28 @@ def _generated_uuid(rows, fields, settings):
 
 def _restriction_stage(rows, dims, settings):
     id_area, geom = settings.restrict_to_area, F.col("the_geom_local")
+    spread = F.col("line_no")
     edges = area_ops.outline(dims.areas, id_area)
     head = first_vertex(geom)
     is_point = geom["kind"] == "POINT"
     rows = area_ops.point_outside(
         rows, dims.areas, id_area, edges, F.when(is_point, head["x"]), F.when(is_point, head["y"])
     )
-    rows = rows.withColumn("_shape_out", disjoint_from(geom, edges))
-    outside = ~has_error(F.col("issues")) & F.coalesce("point_out", "_shape_out")
+    attached = F.col("id_area_attachment").isNotNull()
+    # written, because a Python test must read its geometry from a column, not from an expression
+    own = written(
+        rows.where(~attached & ~is_point).select("id_load", "line_no", geom.alias("g")), "shapes"
+    )
+    rows = flag_lines(rows, own.where(disjoint_from(F.col("g"), edges)), "_shape_out")
+    # an attached area is judged once, not once per row
+    apart = (
+        written(dims.areas.select(F.col("id_area").alias("id_area_attachment"), "geom"), "areas")
+        .where(disjoint_from(F.col("geom"), edges))
+        .select("id_area_attachment", F.lit(True).alias("_area_out"))
+    )
+    rows = fetch(rows, apart, ["id_area_attachment"], ["_area_out"], spread, settle=True)
+    out = F.when(attached, F.coalesce("_area_out", F.lit(False))).otherwise(
+        F.coalesce("point_out", "_shape_out")
+    )
+    outside = ~has_error(F.col("issues")) & geom.isNotNull() & out
     return with_issues(rows, [Check("GEOMETRY_OUTSIDE", GEOMETRY_FIELDS, outside)]).drop("point_out")
