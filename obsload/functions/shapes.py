@@ -1,6 +1,8 @@
 """Arrow-batched tests on lines and polygons, which column expressions cannot state in linear size.
 
 Points never reach these functions: callers pass null for them, so a batch of points ships nulls.
+The geometry must be a stored column, not an expression: Spark does not hand the results of nested
+lambda expressions to a Python function.
 """
 
 from __future__ import annotations

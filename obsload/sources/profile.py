@@ -16,8 +16,23 @@ NAME_LIMIT = 100
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files as ``path, length, content``; content is only read where a check needs it."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    """Files as ``path, length, content``; content is only read where a check needs it.
+
+    The scan leaves out files of no bytes, so the listing the driver already holds is joined back.
+    """
+    found = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    )
+    read = found.select(_plain_path("path").alias("path"), "length", "content")
+    listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "path string")
+    names = listed.select(_plain_path(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).alias("path"))
+    return names.join(read, "path", "left").select(
+        "path", F.coalesce("length", F.lit(0)).alias("length"), "content"
+    )
+
+
+def _plain_path(column: Column | str) -> Column:
+    return F.regexp_replace(column, "^file:/+", "file:/")
 
 
 def _decoded(encoding: str) -> Column:
@@ -58,7 +73,8 @@ def profile_files(files: DataFrame, encoding: str = "utf-8") -> DataFrame:
     """Facts per file: readable, first line, separator, columns, whether data follow."""
     if encoding not in ENCODINGS:
         raise ValueError(f"encoding {encoding!r} is not accepted")
-    decodes = F.is_valid_utf8(F.col("content")) if encoding == "utf-8" else F.lit(True)
+    content = F.coalesce("content", F.lit(b""))
+    decodes = F.is_valid_utf8(content) if encoding == "utf-8" else F.lit(True)
     text = _decoded(encoding)
     facts = files.select(
         "path",
