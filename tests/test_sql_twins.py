@@ -9,8 +9,6 @@ from __spark_entry__ import oracle_sql, queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no tables")
-# the author table pairs customers modulo their number at a larger scale
-OTHER_SCALE = {"load_listing", "load_search", "visibility", "load_total"}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +25,7 @@ def shown(value):
     return None if value is None else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - OTHER_SCALE))
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_query_matches_its_twin(spark, twin, name):
     df = queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
