@@ -100,3 +100,42 @@ def test_reset_clears_later_steps_only(spark):
     row = reset_loads(loads, Step.PREPARE).first()
     assert (row["columns"], row["source_count"], row["loaded"]) == (["a"], 5, True)
     assert (row["processed"], row["import_count"]) == (False, None)
+
+
+def test_partitions_are_replaced_and_dropped(spark, tmp_path):
+    import datetime as dt
+
+    from obsload.model.loads import Load, Settings
+    from obsload.plans.load import commit
+    from obsload.sinks.tables import Tables, replace_partition, reset_tables
+
+    places = Tables(*[str(tmp_path / n) for n in ("staging", "issues", "target")])
+    rows = spark.range(10).select(
+        F.col("id").cast("int").alias("cd_nom"), (F.col("id") % 2 == 0).alias("valid")
+    )
+    settings = Settings(as_of=dt.date(2024, 1, 1))
+    loads = [Load(n, ("a",), {"cd_nom": "a"}, id_source=n, id_dataset=1) for n in (1, 2)]
+    for load in (loads[0], loads[1], loads[0]):  # the first is committed again
+        commit(rows, load, settings, places.target)
+    assert spark.read.parquet(places.target).count() == 10
+    for path in (places.staging, places.issues):
+        replace_partition(rows.select("cd_nom", (F.col("cd_nom") % 2 + 1).alias("id_load")), path, "id_load")
+    reset_tables(spark, places, loads[0], Step.PREPARE)
+    assert spark.read.parquet(places.staging).count() == 10
+    assert spark.read.parquet(places.issues).select("id_load").distinct().count() == 1
+    left = spark.read.parquet(places.target)
+    assert left.count() == 5 and left.select("id_source").distinct().first()[0] == 2
+
+
+def test_slices_cover_the_load(spark):
+    from obsload.sources.staging import batch_slice
+
+    rows = spark.range(1000).where("id % 7 <> 0").select(
+        F.lit(1).alias("id_load"), (F.col("id") + 1).alias("line_no")
+    )
+    total = rows.count()
+    parts = [batch_slice(rows, k, 250, span=100) for k in range(0, total, 250)]
+    united = parts[0]
+    for part in parts[1:]:
+        united = united.unionByName(part)
+    assert united.count() == total and united.exceptAll(rows).count() == 0
