@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from obsload.functions.crs import GEOGRAPHIC, reproject
 from obsload.functions.geometry import bounds, centroid, in_rings, on_edges, segments
-from obsload.operators.keyed import fetch
+from obsload.operators.keyed import BROADCAST_BYTES, BROADCAST_KEYS, fetch
+from obsload.workspace import small_enough, written
 
 # Area types accepted for each code field.
 AREA_TYPES = {
@@ -123,7 +124,8 @@ def area_cells(areas: DataFrame, size: float) -> DataFrame:
         "cy",
         "id_area",
         (~F.col("border")).alias("full"),
-        F.when(F.col("border"), F.col("edges"))
+        # a ray to the right never meets the edges left of the cell
+        F.when(F.col("border"), F.filter("edges", lambda e: F.greatest(e["x0"], e["x1"]) >= left))
         .otherwise(F.array().cast(f"array<{EDGE}>"))
         .alias("edges"),
     )
@@ -170,21 +172,34 @@ def outline(areas: DataFrame, id_area: int) -> np.ndarray:
     return np.array([(e["x0"], e["y0"], e["x1"], e["y1"]) for e in row["s"]], dtype=float)
 
 
-def point_outside(df: DataFrame, areas: DataFrame, id_area: int, edges: np.ndarray, x: Column, y: Column) -> DataFrame:
+def point_outside(
+    df: DataFrame,
+    areas: DataFrame,
+    id_area: int,
+    edges: np.ndarray,
+    x: Column,
+    y: Column,
+    spread: Column,
+) -> DataFrame:
     """Adds ``point_out``: the position shares nothing with one area, its border included.
 
-    The area is cut into at most ``(RESTRICTION_CELLS + 2)`` squared cells whatever its extent,
-    which bounds the broadcast.
+    The area is cut into at most ``(RESTRICTION_CELLS + 2)`` squared cells whatever its extent. They
+    are written and measured: small ones are broadcast, the cells of a very detailed outline are
+    looked up by key.
     """
     span = max(np.ptp(edges[:, [0, 2]]), np.ptp(edges[:, [1, 3]]))
     size = float(span) / RESTRICTION_CELLS
     cells = area_cells(areas.where(F.col("id_area") == id_area), size).select(
-        F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "full", "edges"
+        F.col("cx").alias("_pcx"), F.col("cy").alias("_pcy"), "full", "edges"
     )
+    cells = written(cells, "area-cells")
     cx, cy = cell_of(x, y, size)
     placed = df.withColumns({"_px": x, "_py": y, "_pcx": cx, "_pcy": cy})
-    on = (F.col("_pcx") == F.col("_cx")) & (F.col("_pcy") == F.col("_cy"))
-    joined = placed.join(F.broadcast(cells), on, "left")
+    keys = ["_pcx", "_pcy"]
+    if small_enough(cells, BROADCAST_KEYS, BROADCAST_BYTES):
+        joined = placed.join(F.broadcast(cells), keys, "left")
+    else:
+        joined = fetch(placed, cells, keys, ["full", "edges"], spread)
     held = F.coalesce(
         _holds(F.struct("full", "edges"), F.col("_px"), F.col("_py"), True), F.lit(False)
     )

@@ -214,7 +214,8 @@ def _restriction_stage(rows, dims, settings):
     head = first_vertex(geom)
     is_point = geom["kind"] == "POINT"
     rows = area_ops.point_outside(
-        rows, dims.areas, id_area, edges, F.when(is_point, head["x"]), F.when(is_point, head["y"])
+        rows, dims.areas, id_area, edges,
+        F.when(is_point, head["x"]), F.when(is_point, head["y"]), spread,
     )
     attached = F.col("id_area_attachment").isNotNull()
     # written, because a Python test must read its geometry from a column, not from an expression

@@ -53,7 +53,12 @@ def load_files(
 def commit(
     rows: DataFrame, load: Load, settings: Settings, target_path: str, dictionary: Dictionary = DICTIONARY
 ) -> DataFrame:
-    """Appends the valid rows of a checked load as the partition of its source."""
+    """Appends the valid rows of a checked load as the partition of its source.
+
+    A load without a valid row is refused.
+    """
+    if rows.where("valid").isEmpty():
+        raise ValueError(f"load {load.id_load} has no valid row")
     fresh = appended_rows(rows, load, settings, dictionary)
     replace_partition(fresh, target_path, "id_source")
     return fresh

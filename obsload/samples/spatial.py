@@ -308,7 +308,9 @@ def area_restriction(spark, folder):
     areas = nations(spark, folder, triangle_wkt)
     edges = area_ops.outline(areas, 7)
     rows = customers(spark, folder)
-    placed = area_ops.point_outside(rows, areas, 7, edges, F.col("x"), F.col("y"))
+    placed = area_ops.point_outside(
+        rows, areas, 7, edges, F.col("x"), F.col("y"), F.col("c_custkey")
+    )
     shaped = placed.withColumn("g", parse_wkt(square_wkt(F.col("x"), F.col("y"), 1)))
     return shaped.select("c_custkey", "point_out", disjoint_from(F.col("g"), edges).alias("square_out"))
 
