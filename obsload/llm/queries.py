@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsload.llm import bpe
+from obsload.llm import bpe, simhash
 from obsload.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -24,3 +24,10 @@ def op10_bpe(spark, folder):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode(bpe.decoded("ids", BYTE_BPE, coded), "utf-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op1_simhash")
+def op1_simhash(spark, folder):
+    """Fingerprint and component of every document, three words a shingle and two bits apart."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
