@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsload.llm import bpe, simhash
+from obsload.llm import bpe, langid, simhash
 from obsload.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -31,3 +31,13 @@ def op1_simhash(spark, folder):
     """Fingerprint and component of every document, three words a shingle and two bits apart."""
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op8_langid")
+def op8_langid(spark, folder):
+    """Language of every document, learned from the documents outside the fold that is held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    fold = langid.remainder("doc_id", 4)
+    model = langid.fit(docs, fold != 2)
+    held_out = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
+    return langid.with_language(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
