@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsload.llm import bpe, langid, simhash
+from obsload.llm import bpe, langid, quality, simhash
 from obsload.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -41,3 +41,11 @@ def op8_langid(spark, folder):
     model = langid.fit(docs, fold != 2)
     held_out = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
     return langid.with_language(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+
+
+@query("op2_quality")
+def op2_quality(spark, folder):
+    """Base counts of every document and the verdict of the weighed rules."""
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = quality.judged(table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *counts, "base_failed", "kept", "posterior")
