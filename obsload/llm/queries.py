@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsload.llm import bpe, langid, quality, simhash
+from obsload.llm import bpe, langid, quality, simhash, tiling
 from obsload.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -49,3 +49,11 @@ def op2_quality(spark, folder):
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = quality.judged(table(spark, folder, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *counts, "base_failed", "kept", "posterior")
+
+
+@query("op3_tiling")
+def op3_tiling(spark, folder):
+    """Documents that hold benchmark items, with the share of the item that tiles cover."""
+    found = tiling.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    best = F.max(F.struct("coverage", "longest", "n_tiles", "item_words")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
