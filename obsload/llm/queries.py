@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsload.llm import bpe, langid, quality, simhash, tiling
+from obsload.llm import bpe, langid, quality, simhash, surrogates, tiling
 from obsload.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -57,3 +57,10 @@ def op3_tiling(spark, folder):
     found = tiling.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     best = F.max(F.struct("coverage", "longest", "n_tiles", "item_words")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+
+
+@query("op9_surrogates")
+def op9_surrogates(spark, folder):
+    """Every document with its personal data replaced, and how many entities it held."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.with_surrogates(docs, count="n_entities")
