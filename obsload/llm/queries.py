@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsload.llm import bpe, langid, quality, simhash, surrogates, tiling
+from obsload.llm import bpe, langid, quality, simhash, suffixes, surrogates, tiling
 from obsload.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -64,3 +64,10 @@ def op9_surrogates(spark, folder):
     """Every document with its personal data replaced, and how many entities it held."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return surrogates.with_surrogates(docs, count="n_entities")
+
+
+@query("op5_suffixes")
+def op5_suffixes(spark, folder):
+    """What removing repeated strings of 200 bytes leaves of every document."""
+    cleared = suffixes.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleared.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
