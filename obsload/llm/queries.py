@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsload.llm import bpe, langid, quality, simhash, suffixes, surrogates, tiling
+from obsload.llm import bpe, langid, quality, simhash, suffixes, surrogates, tiling, toxicity
 from obsload.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -71,3 +71,13 @@ def op5_suffixes(spark, folder):
     """What removing repeated strings of 200 bytes leaves of every document."""
     cleared = suffixes.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return cleared.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, folder):
+    """Toxicity of every document, learned from the labels outside the fold that is held out."""
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    fold = langid.remainder("doc_id", 5)
+    index = toxicity.build(docs, labels.select("doc_id", "toxic"), fold != 0)
+    held_out = F.coalesce(fold == 0, F.lit(False)).alias("held_out")
+    return toxicity.with_toxicity(docs, index).select("doc_id", held_out, "score", "predicted", "evidence")
