@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsload.llm import bpe, langid, quality, simhash, suffixes, surrogates, tiling, toxicity
+from obsload.llm import bpe, langid, lbl, quality, simhash, suffixes, surrogates, tiling, toxicity
 from obsload.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -81,3 +81,12 @@ def op6_toxicity(spark, folder):
     index = toxicity.build(docs, labels.select("doc_id", "toxic"), fold != 0)
     held_out = F.coalesce(fold == 0, F.lit(False)).alias("held_out")
     return toxicity.with_toxicity(docs, index).select("doc_id", held_out, "score", "predicted", "evidence")
+
+
+@query("op7_lbl")
+def op7_lbl(spark, folder):
+    """Log-probability of every document, learned from the documents outside the fold that is held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    fold = langid.remainder("doc_id", 7)
+    found = lbl.scored(docs, fold != 2)
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), *found.columns[1:])
