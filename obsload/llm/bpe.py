@@ -21,17 +21,20 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: how byte-level vocabularies cut a text into words
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHED_PIECES = 200_000
+CACHED_PIECES = 250_000  # in each of two generations
 CACHED_LENGTH = 48
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 3_000_000
 _SHIFT = 20
 _NONE = np.int64(2**62)
+_ENDS = (".", ",", "!", "?", ";", ":")
 
 
 def byte_letters() -> list[str]:
@@ -93,25 +96,33 @@ def merge_words(words: list[bytes], v: Vocabulary) -> list[bytes]:
     raw = np.frombuffer(b"".join(words), dtype=np.uint8)
     lengths = np.array([len(w) for w in words])
     symbols, owner = v.of_byte[raw], np.repeat(np.arange(len(words)), lengths)
+    rank, made = np.full(len(raw), _NONE), np.zeros(len(raw), dtype=np.int64)
+    changed = np.arange(max(0, len(raw) - 1))
     done: list[tuple[np.ndarray, np.ndarray]] = []
     while len(symbols):
-        rank, at = _ranks(symbols, owner, v)
+        rank[changed], made[changed] = _looked_up(symbols, owner, changed, v)
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        lowest = np.minimum.reduceat(rank, starts)
         sizes = np.diff(np.r_[starts, len(owner)])
-        live = np.repeat(lowest < _NONE, sizes)
+        lowest = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+        live = lowest < _NONE
         if not live.all():  # words without a known pair leave the flat array
             done.append((symbols[~live], owner[~live]))
-        lowest = np.repeat(lowest, sizes)
         chosen = np.flatnonzero(live & (rank == lowest))
         if len(chosen):
             # "aaa" holds the pair twice, overlapping: every other place of such a run counts
             first = np.r_[True, np.diff(chosen) != 1]
             begin = np.maximum.accumulate(np.where(first, np.arange(len(chosen)), 0))
             chosen = chosen[(np.arange(len(chosen)) - begin) % 2 == 0]
-            symbols[chosen] = v.made[at[chosen]]
+            symbols[chosen] = made[chosen]
             live[chosen + 1] = False
-        symbols, owner = symbols[live], owner[live]
+        moved = (np.cumsum(live) - 1)[chosen]
+        symbols, owner, rank, made = symbols[live], owner[live], rank[live], made[live]
+        if len(rank):
+            rank[-1] = _NONE
+        # only pairs that end or begin in a merged symbol are new
+        stale = np.zeros(len(symbols) + 1, dtype=bool)  # the last place takes what precedes the first
+        stale[moved] = stale[moved - 1] = True
+        changed = np.flatnonzero(stale[: max(0, len(symbols) - 1)])
     if not done:
         return [b""] * len(words)
     ids, owner = (np.concatenate(x) for x in zip(*done, strict=True))
@@ -121,63 +132,93 @@ def merge_words(words: list[bytes], v: Vocabulary) -> list[bytes]:
     return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def _ranks(symbols: np.ndarray, owner: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of the pair that begins at each symbol, and its place among the sorted pair keys."""
-    keys = symbols[:-1] << _SHIFT | symbols[1:]
-    at = np.minimum(np.searchsorted(v.keys, keys), len(v.keys) - 1)
-    known = (v.keys[at] == keys) & (owner[:-1] == owner[1:])
-    return np.r_[np.where(known, v.ranks[at], _NONE), _NONE], np.r_[at, 0]
+def _looked_up(
+    symbols: np.ndarray, owner: np.ndarray, at: np.ndarray, v: Vocabulary
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of the pairs that begin at the given places, and the symbol that each would become."""
+    keys = symbols[at] << _SHIFT | symbols[at + 1]
+    found = np.minimum(np.searchsorted(v.keys, keys), len(v.keys) - 1)
+    known = (v.keys[found] == keys) & (owner[at] == owner[at + 1])
+    return np.where(known, v.ranks[found], _NONE), v.made[found]
+
+
+Segment = tuple[str, list[str]] | int
 
 
 class Encoder:
-    """Encodes texts in chunks; keeps the ids of short pieces met before."""
+    """Encodes texts in chunks; keeps the ids of short pieces met before, in two generations."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.words = regex.compile(WORDS)
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
-        self.odd = regex.compile(r"^\s|\s\s|\s$|[^\S \n]")
         self.special = regex.compile("|".join(map(regex.escape, sorted(v.added, key=len)[::-1]))) if v.added else None
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if self.odd.search(text):
-            first, *rest = self.cut.split(text)
-        else:
-            first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
-
-    def parts(self, text: str) -> Iterable[str | int]:
-        """Pieces of a text, and the ids of added tokens that stand in it."""
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def pieces(self, text: str) -> Segment:
+        """The first piece, and those that follow a single space, without it."""
+        blank = text.replace("\n", " ").split(" ")
+        # without neighbouring or outer white space, and with spaces and line ends only, any space is a cut
+        plain = "" not in blank and len(blank) == len(text.split())
+        first, *rest = text.split(" ") if plain else self.cut.split(text)
+        return first, rest
+
+    def segments(self, text: str) -> list[Segment]:
+        """Runs of pieces of a text, and the ids of added tokens that stand between them."""
         if self.special is None or not any(t in text for t in self.v.added):
-            return self.pieces(text)
-        out: list[str | int] = []
+            return [self.pieces(text)]
+        out: list[Segment] = []
         at = 0
         for m in self.special.finditer(text):
             if m.start() > at:
-                out += self.pieces(text[at : m.start()])
+                out.append(self.pieces(text[at : m.start()]))
             out.append(self.v.added[m[0]])
             at = m.end()
-        return out + self.pieces(text[at:]) if at < len(text) else out
+        return out + [self.pieces(text[at:])] if at < len(text) else out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.parts(t) if t else [] for t in texts]
-        new = set().union(*cut) - self.known.keys()
-        fresh = self._encode_pieces([p for p in new if isinstance(p, str)])
-        fresh |= {p: int(p).to_bytes(4, "little") for p in new if not isinstance(p, str)}
-        known = self.known
-        out = [b"".join([fresh[p] if p in fresh else known[p] for p in parts]) for parts in cut]
-        if len(known) + len(fresh) > CACHED_PIECES:
-            known.clear()
-        known.update((p, ids) for p, ids in fresh.items() if isinstance(p, str) and len(p) <= CACHED_LENGTH)
+        cut = [self.segments(t) if t else [] for t in texts]
+        runs = [s for segments in cut for s in segments if not isinstance(s, int)]
+        young, old = self.young, self.old
+        unmet = set().union(*[rest for _, rest in runs]) - young.keys()
+        young.update((p, old[p]) for p in unmet & old.keys())
+        new = list(unmet - old.keys())
+        first = list({f for f, _ in runs})
+        ids = self._encode_pieces([*[" " + p for p in new], *first])
+        young.update(zip(new, ids, strict=False))
+        bare = dict(zip(first, ids[len(new) :], strict=True))
+        of = young.__getitem__
+        out = []
+        for segments in cut:
+            made = [
+                s.to_bytes(4, "little") if isinstance(s, int) else bare[s[0]] + b"".join(map(of, s[1])) for s in segments
+            ]
+            out.append(made[0] if len(made) == 1 else b"".join(made))
+        for p in new:
+            if len(p) > CACHED_LENGTH:
+                del young[p]
+        if len(young) > CACHED_PIECES:
+            self.young, self.old = {}, young
         return out
 
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        words = [self.words.findall(p) for p in pieces]
-        distinct = list(set().union(*words)) if words else []
-        ids = dict(zip(distinct, merge_words([w.encode() for w in distinct], self.v), strict=True)) if distinct else {}
-        return {p: b"".join([ids[w] for w in ws]) for p, ws in zip(pieces, words, strict=True)}
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        words = []
+        for p in pieces:
+            if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
+                words.append([p])
+            elif p[-1:] in _ENDS and p[1:-1].isalpha() and (p[0] == " " or p[0].isalpha()):
+                words.append([p[:-1], p[-1]])
+            else:
+                words.append(self.words.findall(p))
+        distinct = set().union(*words)
+        young = self.young
+        ids = {w: young[w[1:]] for w in distinct if w[0] == " " and w[1:] in young}
+        new = list(distinct - ids.keys())
+        if new:
+            ids.update(zip(new, merge_words([w.encode() for w in new], self.v), strict=True))
+        return [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in words]
 
 
 def decode_ids(ids: bytes, v: Vocabulary) -> str:
@@ -188,8 +229,19 @@ def decode_ids(ids: bytes, v: Vocabulary) -> str:
     return b"".join([v.pieces[i] for i in numbers.tolist()]).decode("utf-8", errors="replace")
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(mark: str, tables: Broadcast) -> Encoder:
+    """The encoder of a worker process, which keeps its pieces from task to task of one vocabulary."""
+    if mark not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[mark] = Encoder(tables.value)
+    return _ENCODERS[mark]
+
+
 def _chunks(column: pa.Array) -> Iterable[list[str]]:
-    """Texts in runs of about a million characters, so that one chunk's pieces fit in memory."""
+    """Texts in runs of some million characters, so that one chunk's pieces fit in memory."""
     chunk, size = [], 0
     for value in column:
         text = value.as_py() or ""
@@ -206,13 +258,13 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -
 
     Other columns pass untouched; a column already named ``ids`` is replaced.
     """
-    tables = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
-    held: list[Encoder] = []
+    vocabulary = Vocabulary.read(path)
+    tables = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    mark = xxhash.xxh128_hexdigest(vocabulary.keys.tobytes() + vocabulary.made.tobytes())
 
     def encode(column: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Encoder(tables.value))
-        return pa.array([x for chunk in _chunks(column) for x in held[0].encode(chunk)], pa.binary())
+        encoder = _encoder(mark, tables)
+        return pa.array([x for chunk in _chunks(column) for x in encoder.encode(chunk)], pa.binary())
 
     return docs.withColumn(ids, F.arrow_udf(encode, "binary")(F.col(text).cast("string")))
 
