@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsload.llm import bpe, langid, lbl, quality, simhash, suffixes, surrogates, tiling, toxicity
+from obsload.llm import blocks, bpe, langid, lbl, quality, simhash, suffixes, surrogates, tiling, toxicity
 from obsload.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -90,3 +90,11 @@ def op7_lbl(spark, folder):
     fold = langid.remainder("doc_id", 7)
     found = lbl.scored(docs, fold != 2)
     return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), *found.columns[1:])
+
+
+@query("op4_blocks")
+def op4_blocks(spark, folder):
+    """Main text of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    read = blocks.with_main_text(pages, blocks.learned(pages))
+    return read.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
