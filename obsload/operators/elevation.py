@@ -63,6 +63,8 @@ def with_altitudes(
     key = F.when(wanted & is_point, F.concat_ws(":", cx, cy)).when(
         wanted & g.isNotNull(), F.sha2(F.to_json(g), 256)
     )
+    # a cell given twice answers once
+    grid = grid.groupBy("cx", "cy").agg(F.min("alt").alias("alt"))
     keyed = df.withColumn("geo_key", key)
     counts = key_counts(keyed, ["geo_key"])
     pieces = F.split("geo_key", ":")

@@ -122,9 +122,13 @@ def fetch(
     spread: Column,
     settle: bool = False,
 ) -> DataFrame:
-    """``values`` of a dimension unique on ``keys``, looked up once per distinct key of ``rows``."""
+    """``values`` of a dimension, looked up once per distinct key of ``rows``.
+
+    Rows never multiply: of several lines of the dimension with one key the smallest counts.
+    """
     counts = key_counts(rows, keys)
-    found = counts.join(dimension.select(*keys, *values), list(keys))
+    met = counts.join(dimension.select(*keys, *values), list(keys))
+    found = met.groupBy(*keys, "n").agg(F.min(F.struct(*values)).alias("_found")).select(*keys, "n", "_found.*")
     return left_lookup(rows, found, keys, values, counts, spread, settle)
 
 

@@ -146,6 +146,13 @@ def position_checks(fields: dict[str, Field]) -> tuple[list[Check], Column]:
     return checks, accepted
 
 
+def ragged_checks(df: DataFrame) -> list[Check]:
+    """Issues of records whose cells do not fit the header, where staging has marked them."""
+    if "_ragged" not in df.columns:
+        return []
+    return [Check(c, "", F.col("_ragged").eqNullSafe(c)) for c in ("ROW_HAVE_TOO_MUCH_COLUMN", "ROW_HAVE_LESS_COLUMN")]
+
+
 def row_checks(
     df: DataFrame, load: Load, settings: Settings, dictionary: Dictionary = DICTIONARY
 ) -> DataFrame:
@@ -175,7 +182,7 @@ def row_checks(
         return F.col(f"_typed_{name}") if name in by_name else None
 
     low, high = typed_or_none("count_min"), typed_or_none("count_max")
-    checks = [*required_checks(checked, label), *format_checks, *position]
+    checks = [*ragged_checks(df), *required_checks(checked, label), *format_checks, *position]
     if low is not None and high is not None:
         disordered = counts_disordered(low, high, settings.default_count)
         checks.append(Check("COUNT_MIN_SUP_COUNT_MAX", label("count_min"), disordered))
@@ -189,4 +196,4 @@ def row_checks(
     ok = F.col("row_ok")
     gated = found.withColumns({name: F.when(ok, value) for name, value in results.items()})
     temporary = [c for c in gated.columns if c.startswith(("_typed_", "_text_"))]
-    return gated.drop(*temporary, "_wkt", "_xy", "_wkt_in", "_xy_in")
+    return gated.drop(*temporary, "_wkt", "_xy", "_wkt_in", "_xy_in", "_ragged")

@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from obsload.model.dictionary import Field
 from obsload.operators.issues import Check
-from obsload.operators.keyed import fetch
-
-# a literal map is searched linearly on every row, so larger mappings are joined instead
-LITERAL_ENTRIES = 300
+from obsload.operators.keyed import BROADCAST_BYTES, BROADCAST_KEYS, fetch
+from obsload.workspace import small_enough, written
 
 PROOF_VOCABULARY, PROOF_YES = "PREUVE_EXIST", "Oui"
 SOURCE_VOCABULARY, SOURCE_LITERATURE = "STATUT_SOURCE", "Li"
@@ -35,49 +33,52 @@ def mapping_rows(spark: SparkSession, content_mapping: dict) -> DataFrame:
 
 
 def value_terms(mapping: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Source values with the term their code stands for; codes no longer in use drop out."""
-    terms = vocabulary.select("vocab", "code", "id")
-    return mapping.join(terms, ["vocab", "code"]).select("vocab", "value", "id")
+    """Source values with the term their code stands for; codes no longer in use drop out.
 
+    One line for each value: of terms that share a code the lowest identifier counts.
+    """
+    terms = vocabulary.groupBy("vocab", "code").agg(F.min("id").alias("id"))
+    return mapping.join(terms, ["vocab", "code"]).groupBy("vocab", "value").agg(F.min("id").alias("id"))
 
-def mapped_by_literals(df: DataFrame, fields: list[Field], terms: list[tuple[str, str, int]]) -> DataFrame:
-    """All coded fields in one projection, from maps small enough to be literals."""
-    columns: dict[str, Column] = {}
-    for f in fields:
-        pairs = [(value, term) for vocab, value, term in terms if vocab == f.vocab]
-        flat = [F.lit(item) for pair in pairs for item in pair]
-        source = F.coalesce(F.col(f.source_column), F.lit(""))
-        found = F.try_element_at(F.create_map(*flat), source) if flat else F.lit(None)
-        columns[f.name] = found.cast("int")
-    return df.withColumns(columns)
 
+def mapped_by_join(
+    df: DataFrame, f: Field, terms: DataFrame, spread: Column, broadcast: bool = False
+) -> DataFrame:
+    """One coded field looked up among ``terms(vocab, value, id)``, which hold each value once.
 
-def mapped_by_join(df: DataFrame, f: Field, terms: DataFrame, spread: Column) -> DataFrame:
-    """One coded field through a keyed look-up, for mappings of any size."""
+    ``broadcast`` picks the way of the join only; the rows are the same.
+    """
     own = terms.where(F.col("vocab") == f.vocab).select(
         F.col("value").alias("_value"), F.col("id").cast("int").alias(f.name)
     )
     keyed = df.drop(f.name).withColumn("_value", F.coalesce(F.col(f.source_column), F.lit("")))
+    if broadcast:
+        return keyed.join(F.broadcast(own), "_value", "left").select(*[c for c in keyed.columns if c != "_value"], f.name)
     return fetch(keyed, own, ["_value"], [f.name], spread).drop("_value")
 
 
 def map_values(
-    df: DataFrame, fields: list[Field], content_mapping: dict, vocabulary: DataFrame, spread: Column
+    df: DataFrame,
+    fields: list[Field],
+    content_mapping: dict,
+    vocabulary: DataFrame,
+    spread: Column,
+    broadcast_rows: int = BROADCAST_KEYS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Term of every mapped coded field; null where the mapping does not know the value."""
+    """Term of every mapped coded field; null where the mapping does not know the value.
+
+    The values are written and measured: below both limits they are broadcast, above they are looked
+    up by key.
+    """
     if not fields:
         return df
     used = {f.vocab: content_mapping.get(f.vocab, {}) for f in fields}
     mapping = mapping_rows(df.sparkSession, {v: codes for v, codes in used.items() if codes})
-    terms = value_terms(mapping, vocabulary)
-    small = [f for f in fields if len(used[f.vocab]) <= LITERAL_ENTRIES]
-    listed = {f.vocab for f in small}
-    # bounded: at most LITERAL_ENTRIES values per vocabulary, all of them from the driver's mapping
-    rows = terms.where(F.col("vocab").isin(*listed)).collect() if listed else []
-    df = mapped_by_literals(df, small, [(r["vocab"], r["value"], r["id"]) for r in rows])
+    terms = written(value_terms(mapping, vocabulary).coalesce(1), "terms")
+    small = small_enough(terms, broadcast_rows, broadcast_bytes)
     for f in fields:
-        if f not in small:
-            df = mapped_by_join(df, f, terms, spread)
+        df = mapped_by_join(df, f, terms, spread, small)
     return df
 
 

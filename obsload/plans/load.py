@@ -6,12 +6,21 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from obsload.model.dictionary import DICTIONARY, Dictionary
 from obsload.model.loads import Load, Settings
 from obsload.operators.mapping import staged_columns
 from obsload.sinks.tables import appended_rows, replace_partition
-from obsload.sources.delimited import numbered, ragged_issues, read_delimited, refuse_surplus, without_blank_records
+from obsload.sources.delimited import (
+    CORRUPT,
+    numbered,
+    ragged_code,
+    ragged_issues,
+    read_delimited,
+    refuse_surplus,
+    without_blank_records,
+)
 
 
 @dataclass(frozen=True)
@@ -24,10 +33,11 @@ class Staged:
 
 
 def stage(records: DataFrame, load: Load, dictionary: Dictionary = DICTIONARY) -> DataFrame:
-    """Numbered records projected onto the dictionary."""
+    """Numbered records projected onto the dictionary; ``_ragged`` is the code of a ragged record."""
     kept = without_blank_records(records, load.columns)
     columns = [expr.alias(name) for name, expr in staged_columns(load, dictionary).items()]
-    return kept.select("id_load", "line_no", *columns)
+    ragged = ragged_code(load.columns, load.separator) if CORRUPT in records.columns else F.lit(None).cast("string")
+    return kept.select("id_load", "line_no", *columns, ragged.alias("_ragged"))
 
 
 def load_files(
@@ -37,17 +47,25 @@ def load_files(
     strict: bool = True,
     multiline: bool = True,
     dictionary: Dictionary = DICTIONARY,
+    staging_path: str | None = None,
 ) -> Staged:
     """Reads, numbers and stages the files of one load.
 
-    ``strict`` aborts on a record with surplus cells; otherwise such records are reported.
+    A file of another header or encoding aborts it. ``strict`` also aborts on a record with surplus
+    cells; otherwise ragged records are staged with their code, which makes them invalid when the load
+    is checked. With ``staging_path`` the rows are written there as the load's partition.
     """
     raw = read_delimited(spark, paths, load.columns, load.separator, load.encoding, multiline)
     records = numbered(raw, load.id_load)
     if strict:
         refuse_surplus(records, load.columns, load.separator)
     ragged = ragged_issues(records, load.columns, load.separator)
-    return Staged(records, stage(records, load, dictionary), ragged)
+    rows = stage(records, load, dictionary)
+    if staging_path is not None:
+        replace_partition(rows, staging_path, "id_load")
+        back = spark.read.schema(rows.schema).parquet(staging_path)
+        rows = back.where(F.col("id_load") == load.id_load).select(*rows.columns)
+    return Staged(records, rows, ragged)
 
 
 def commit(

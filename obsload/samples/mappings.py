@@ -90,6 +90,28 @@ def value_mapping_join(spark, folder):
     return mapped.select(key, text("priority").alias("term"))
 
 
+@query(
+    "value_mapping_repeated_code",
+    f"""{_MAPPED} SELECT way, o_orderkey, CAST(id AS VARCHAR) AS term
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE o_orderpriority END AS v FROM orders)
+CROSS JOIN (SELECT unnest(['broadcast', 'keyed']) AS way) LEFT JOIN vt ON vt.vocab = 'PRIO' AND vt.value = v""",
+)
+def value_mapping_repeated_code(spark, folder):
+    """A second term on every code: the lowest counts, no row doubles, whichever way the join goes."""
+    key = F.col("o_orderkey")
+    rows = table(spark, folder, "orders").select(
+        key, F.when(key % 6 != 0, F.col("o_orderpriority")).alias("src_priority")
+    )
+    twice = terms(spark, folder)
+    twice = twice.unionByName(twice.withColumn("id", F.col("id") + 1))
+
+    def mapped(way: str, limit: int):
+        found = vocab_ops.map_values(rows, [PRIORITY], CONTENT, twice, key, broadcast_rows=limit)
+        return found.select(F.lit(way).alias("way"), key, text("priority").alias("term"))
+
+    return mapped("broadcast", 1000).unionByName(mapped("keyed", 0))
+
+
 @query(
     "mapping_defaults",
     f"""{_MAPPED}, c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS v
@@ -523,7 +545,7 @@ def orphan_mappings(spark, folder):
 
 
 # files: brands with the columns found in them; template: targets of the dictionary above
-_FILES_SQL = """files AS (SELECT DISTINCT p_brand AS id_file, 'col' || p_size AS col FROM part WHERE p_partkey % 3 = 0),
+_FILES_SQL = """files AS (SELECT DISTINCT p_brand AS id_file, 'col' || p_size AS col FROM part),
 f AS (SELECT DISTINCT p_size, 'f' || p_size AS target, p_size % 7 = 0 OR p_size % 11 = 0 AS generated
   FROM part WHERE p_size % 9 <> 0),
 filled AS (SELECT id_file, target, string_agg(col, ',' ORDER BY col) AS sources FROM files JOIN f
@@ -534,7 +556,7 @@ UNION ALL SELECT id_file, target, 'true' FROM (SELECT DISTINCT id_file FROM file
 def files_and_template(spark, folder):
     _, fields = field_rows(spark, folder)
     files = (
-        table(spark, folder, "part").where("p_partkey % 3 = 0")
+        table(spark, folder, "part")
         .groupBy(F.col("p_brand").alias("id_file"))
         .agg(F.collect_set(F.concat(F.lit("col"), text("p_size"))).alias("columns"))
     )

@@ -100,8 +100,9 @@ def reload(spark, folder):
 
 @query(
     "append_rows",
-    """SELECT o_orderkey AS cd_nom, o_orderpriority AS nom_cite, 9 AS id_source, 4 AS id_module,
-  5 AS id_dataset, 'I' AS last_action FROM orders WHERE o_orderstatus <> 'P'""",
+    """SELECT o_orderkey AS cd_nom, o_orderpriority AS nom_cite, CAST(NULL AS INTEGER) AS depth_min,
+  CAST(NULL AS VARCHAR) AS reference_biblio, 9 AS id_source, 4 AS id_module, 5 AS id_dataset,
+  'I' AS last_action FROM orders WHERE o_orderstatus <> 'P'""",
 )
 def append_rows(spark, folder):
     import datetime as dt
@@ -115,7 +116,36 @@ def append_rows(spark, folder):
         (F.col("o_orderstatus") != "P").alias("valid"),
     )
     load = Load(1, (), {"cd_nom": "a", "nom_cite": "b"}, id_dataset=5, id_source=9, id_module=4)
-    return sink.appended_rows(rows, load, Settings(as_of=dt.date(2024, 1, 1)))
+    fresh = sink.appended_rows(rows, load, Settings(as_of=dt.date(2024, 1, 1)))
+    made = ["cd_nom", "nom_cite", "depth_min", "reference_biblio"]
+    return fresh.select(*made, "id_source", "id_module", "id_dataset", "last_action")
+
+
+@query(
+    "two_mappings_target",
+    """SELECT o_orderkey AS cd_nom, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS nom_cite,
+  CASE WHEN o_orderkey % 2 = 1 THEN o_custkey END AS depth_min, 20 + o_orderkey % 2 AS id_source
+FROM orders""",
+)
+def two_mappings_target(spark, folder):
+    """Two loads that map other fields, committed to one table and read back."""
+    import datetime as dt
+
+    from obsload.model.loads import Load, Settings
+    from obsload.plans.load import commit
+    from obsload.workspace import work_path
+
+    path = work_path(spark, "two-mappings")
+    rows = table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("int").alias("cd_nom"),
+        F.col("o_orderpriority").alias("nom_cite"),
+        F.col("o_custkey").cast("int").alias("depth_min"),
+        F.lit(True).alias("valid"),
+    )
+    for half, other in ((0, "nom_cite"), (1, "depth_min")):
+        load = Load(half, (), {"cd_nom": "a", other: "b"}, id_source=20 + half)
+        commit(rows.where(F.col("cd_nom") % 2 == half), load, Settings(as_of=dt.date(2024, 1, 1)), path)
+    return spark.read.parquet(path).select("cd_nom", "nom_cite", "depth_min", "id_source")
 
 
 @query(

@@ -9,10 +9,14 @@ from enum import IntEnum
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from obsload.functions.geometry import GEOMETRY
 from obsload.model.dictionary import ALWAYS_APPENDED, DICTIONARY, Dictionary
 from obsload.model.loads import Load, Settings
 
 
+_MADE_TYPES = {"datetime_min": "timestamp_ntz", "datetime_max": "timestamp_ntz", "id_area_attachment": "int"}
+
+
 class Step(IntEnum):
     """Steps of a load; resetting one clears what later steps made."""
 
@@ -66,8 +70,17 @@ def target_columns(load: Load, settings: Settings, dictionary: Dictionary = DICT
 def appended_rows(
     rows: DataFrame, load: Load, settings: Settings, dictionary: Dictionary = DICTIONARY
 ) -> DataFrame:
-    """Valid rows as target rows, with their provenance."""
-    columns = [c for c in target_columns(load, settings, dictionary) if c in rows.columns]
+    """Valid rows as target rows, with their provenance.
+
+    Whatever the load maps, all target columns of the dictionary are there, in its order and with its
+    types, null where the load has nothing for them: partitions of any two loads read back alike.
+    """
+    appended = set(target_columns(load, settings, dictionary))
+    kinds = target_types(dictionary)
+    columns = [
+        (F.col(n) if n in appended and n in rows.columns else F.lit(None)).cast(kind).alias(n)
+        for n, kind in kinds.items()
+    ]
     return rows.where("valid").select(
         *columns,
         F.lit(load.id_source).cast("int").alias("id_source"),
@@ -77,6 +90,13 @@ def appended_rows(
     )
 
 
+def target_types(dictionary: Dictionary = DICTIONARY) -> dict[str, str]:
+    """Type of every column of the target table that comes from the dictionary."""
+    kinds = {"integer": "int", "timestamp": "timestamp_ntz", "geometry": GEOMETRY}
+    made = {f.name: kinds.get(f.kind, "string") for f in dictionary if f.target}
+    return made | {n: _MADE_TYPES[n] for n in ALWAYS_APPENDED if n in _MADE_TYPES}
+
+
 def retract(target: DataFrame, id_source: int) -> DataFrame:
     """The target without the rows of one source; rows of no source stay."""
     return target.where(~F.col("id_source").eqNullSafe(F.lit(id_source)))
@@ -93,7 +113,7 @@ def invalid_records(source: DataFrame, rows: DataFrame, columns: Sequence[str])
     """Source records of the invalid lines, original columns in original order."""
     bad = rows.where(~F.col("valid")).select("id_load", "line_no")
     picked = source.join(bad, ["id_load", "line_no"], "left_semi")
-    return picked.orderBy("line_no").select(*[F.col(f"`{c}`") for c in columns])
+    return picked.orderBy("id_load", "line_no").select(*[F.col(f"`{c}`") for c in columns])
 
 
 def write_delimited(df: DataFrame, path: str, separator: str, encoding: str = "UTF-8") -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from obsload.sources.profile import ENCODINGS
 from obsload.workspace import written
 
 CORRUPT = "_corrupt"
@@ -40,14 +41,19 @@ def read_delimited(
 ) -> DataFrame:
     """Raw records with their place: ``columns…, _corrupt, _file, _block, _pos``.
 
+    The header of every file is compared with ``columns``, names and order; reading fails where they
+    differ, and so does this function on bytes that do not fit the encoding.
+
     ``multiline`` keeps line breaks inside quoted cells and makes each file one task; turn it off for
     huge files without such cells, which are then split.
     """
+    refuse_undecodable(spark, paths, encoding)
     schema = StructType([StructField(c, StringType()) for c in [*columns, CORRUPT]])
     raw = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("enforceSchema", True)
+        .option("enforceSchema", False)
+        .option("columnPruning", False)  # or only the columns in use would be compared
         .option("sep", separator)
         .option("quote", '"')
         .option("escape", '"')
@@ -67,6 +73,22 @@ def read_delimited(
     )
 
 
+def undecodable(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Files with lines that are not valid UTF-8, ``(path, lines)``; lines are scanned, never whole files."""
+    lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
+    bad = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("path"))
+    return bad.groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def refuse_undecodable(spark: SparkSession, paths: str | Sequence[str], encoding: str) -> None:
+    """Aborts a load of another encoding than declared; in the Latin sets every byte has a meaning."""
+    if encoding.lower() not in ENCODINGS:
+        raise ValueError(f"encoding {encoding!r} is not accepted")
+    fault = undecodable(spark, paths).orderBy("path").first() if encoding.lower() == "utf-8" else None
+    if fault is not None:
+        raise ValueError(f"{fault['lines']} lines of {fault['path']} are not {encoding}")
+
+
 def numbered(raw: DataFrame, id_load: int | None = None) -> DataFrame:
     """Adds ``line_no``, the 1-based count of records of a load over its files in path order.
 
@@ -113,15 +135,16 @@ def cell_count(record: Column, separator: str) -> Column:
     return F.char_length(bare) - F.char_length(F.replace(bare, F.lit(separator), F.lit(""))) + 1
 
 
+def ragged_code(columns: Sequence[str], separator: str) -> Column:
+    """Issue code of a record with more or fewer cells than the header, null for others."""
+    cells = cell_count(F.col(CORRUPT), separator)
+    return F.when(cells > len(columns), "ROW_HAVE_TOO_MUCH_COLUMN").when(cells < len(columns), "ROW_HAVE_LESS_COLUMN")
+
+
 def ragged_issues(df: DataFrame, columns: Sequence[str], separator: str) -> DataFrame:
     """Long issues for records with more or fewer cells than the header."""
-    cells = cell_count(F.col(CORRUPT), separator)
-    bad = df.where(F.col(CORRUPT).isNotNull()).withColumn("_cells", cells)
-    code = F.when(F.col("_cells") > len(columns), "ROW_HAVE_TOO_MUCH_COLUMN").when(
-        F.col("_cells") < len(columns), "ROW_HAVE_LESS_COLUMN"
-    )
     return (
-        bad.withColumn("code", code)
+        df.withColumn("code", ragged_code(columns, separator))
         .where(F.col("code").isNotNull())
         .select("id_load", "line_no", "code", F.lit("").alias("column"), F.col(CORRUPT).alias("value"))
     )

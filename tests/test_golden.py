@@ -1,313 +1,260 @@
-"""Whole loads: one file per family of checks, with the lines each issue must name."""
+"""Whole loads: for each family of checks a small file made from the rules, and the issues it must raise.
+
+Cases come as a table of cells with the codes expected of each line, so that what a line tests stands
+beside it.
+"""
+
+import csv
+import glob
+import json
+import uuid
 
 from pyspark.sql import functions as F
 
 from conftest import issue_sets, label_mapping
 from obsload.model.error_types import GEOMETRY_FIELDS, LEVELS
 from obsload.plans.load import commit
-
-
-def expect(checked, wanted):
-    assert issue_sets(checked) == {k: set(v) for k, v in wanted.items()}
-    errors = {n for (code, _), lines in wanted.items() for n in lines if LEVELS[code] == "ERROR"}
-    invalid = {r["line_no"] for r in checked.rows.where(~F.col("valid")).collect()}
-    assert invalid == errors
-
-
-def dates(*values):
-    names = ["date_min", "date_max", "hour_min", "hour_max"]
-    return [dict(zip(names, v, strict=False)) for v in values]
-
-
-def test_dates(run):
-    rows = dates(
-        ("2017-01-01", "2017-01-01"),
-        ("2117-01-01", "2117-01-01"),
-        ("2117-01-01", "2017-01-01"),
-        ("2017-01-01", "2117-01-01"),
-        ("2017-01-01", "2017-01-01", "20:00"),
-        ("2017-01-01", "2017-01-01", "", "20:00"),
-        ("2017-01-01", "2017-01-01", "20:00", "20:00"),
-        ("2017-01-01", "2017-01-01", "20:00", "21:00"),
-        ("2017-01-01", "2017-01-01", "21:00", "20:00"),
-        ("2017-01-01", "2017-01-02", "21:00", "20:00"),
-        ("", "2017-01-01"),
-        ("aaa", "2017-01-01"),
-        ("1817-01-01", "2017-01-01"),
-        ("1817-01-01", "1817-01-01"),
+from obsload.sinks.tables import invalid_records, write_delimited
+
+
+def held(checked, lines):
+    """``lines``: for each line of the file the pairs of code and column it raises."""
+    wanted = {}
+    for number, raised in enumerate(lines, 1):
+        for issue in raised:
+            wanted.setdefault(issue, set()).add(number)
+    assert issue_sets(checked) == wanted
+    wrong = {n for n, raised in enumerate(lines, 1) if any(LEVELS[code] == "ERROR" for code, _ in raised)}
+    assert {r["line_no"] for r in checked.rows.where(~F.col("valid")).collect()} == wrong
+
+
+def table(names, *lines):
+    """Cells by name, and the issues that end each line."""
+    return [dict(zip(names, line[:-1], strict=True)) for line in lines], [line[-1] for line in lines]
+
+
+def test_moments_against_each_other_and_the_calendar(run):
+    late, low = ("DATE_MIN_TOO_HIGH", "date_min"), ("DATE_MIN_TOO_LOW", "date_min")
+    swapped = ("DATE_MIN_SUP_DATE_MAX", "date_min")
+    rows, issues = table(
+        ["date_min", "date_max", "hour_min", "hour_max"],
+        ("2024-06-01", "2024-06-01", "", "", []),  # the day of the check itself
+        ("03/05/2023", "04.05.2023", "22:15", "1:05", []),  # over midnight
+        ("2023-05-03", "2023-05-03", "22:15", "1:05", [swapped]),
+        ("2023-05-03", "2023-05-02", "", "", [swapped]),
+        ("2023-05-03", "", "9h30", "", []),
+        ("2023-05-03", "2023-05-03", "", "6", []),
+        ("2024-06-02", "2024-06-02", "", "", [late]),
+        ("2024-05-31", "2031-01-01", "", "", [("DATE_MAX_TOO_HIGH", "date_max")]),
+        ("1899-12-31", "2001-07-14", "", "", [low]),
+        ("1899-12-31", "1899-12-31", "", "", [low, ("DATE_MAX_TOO_LOW", "date_max")]),
+        ("", "", "", "", [("MISSING_VALUE", "date_min")]),
+        ("spring", "2001-07-14", "", "", [("INVALID_DATE", "date_min")]),
     )
-    rows += [{"meta_validation_date": "2017-01-01"}, {"meta_validation_date": "aaa"}]
+    rows.append({"meta_validation_date": "2001-02-29"})
+    issues.append([("INVALID_DATE", "meta_validation_date")])
     _, checked, _, _ = run(rows)
-    expect(
-        checked,
-        {
-            ("DATE_MIN_SUP_DATE_MAX", "date_min"): {3, 9},
-            ("DATE_MIN_TOO_HIGH", "date_min"): {2, 3},
-            ("DATE_MAX_TOO_HIGH", "date_max"): {4},
-            ("MISSING_VALUE", "date_min"): {11},
-            ("INVALID_DATE", "date_min"): {12},
-            ("DATE_MIN_TOO_LOW", "date_min"): {13, 14},
-            ("DATE_MAX_TOO_LOW", "date_max"): {14},
-            ("INVALID_DATE", "meta_validation_date"): {16},
-        },
-    )
-
-
-def test_geometry(run):
-    empty = {"WKT": ""}
-    lambert = {"codecommune": "05101", "codedepartement": "05", "codemaille": "10kmL93E097N642"}
-    near = "POINT(5.4877 43.3056)"
-    rows = [
-        {**empty, "codecommune": "13088"},
-        {**empty, "codecommune": "unknown"},
-        {**empty, "codedepartement": "13"},
-        {**empty, "codedepartement": "unknown"},
-        {**empty, "codemaille": "10kmL93E091N625"},
-        {**empty, "codemaille": "unknown"},
-        {**empty, **lambert},
-        {"WKT": near, **lambert},
-        {**empty, "latitude": "43.3056", "longitude": "5.4877", **lambert},
-        {"WKT": near, "latitude": "44.85", "longitude": "6.5", **lambert},
-        {"WKT": near},
-        {**empty, "latitude": "43.3056", "longitude": "5.4877"},
-        {**empty, "latitude": "43,3056", "longitude": "5,4877"},
-        {"latitude": "44.85", "longitude": "6.5"},
-        empty,
-        {"WKT": "POLYGON((0 0, 1 1, 1 2, 1 1, 0 0))"},
-        {},
-        {**empty, "latitude": "44.85", "longitude": "6.5"},
+    held(checked, issues)
+
+
+def test_one_way_to_place_a_row(run):
+    town, square = "13088", "10kmL93E091N625"
+    marseille = {"longitude": "5,37", "latitude": "43.3"}
+    none = {"WKT": ""}
+    outside = [("GEOMETRY_OUTSIDE", GEOMETRY_FIELDS)]
+    twice = [("MULTIPLE_ATTACHMENT_TYPE_CODE", GEOMETRY_FIELDS)]
+    cases = [
+        ({**none, "codemaille": square}, []),
+        ({**none, "codecommune": town}, []),
+        ({**none, "codecommune": "99999"}, [("INVALID_ATTACHMENT_CODE", "codecommune")]),
+        ({**none, "codedepartement": "99"}, [("INVALID_ATTACHMENT_CODE", "codedepartement")]),
+        ({**none, "codecommune": town, "codemaille": square}, [("MULTIPLE_CODE_ATTACHMENT", GEOMETRY_FIELDS)]),
+        ({**none, **marseille}, []),
+        ({**none, **marseille, "codecommune": town}, []),  # a position wins over a code
+        ({"WKT": "POINT(5.37 43.3)", **marseille}, twice),
+        ({"WKT": "LINESTRING(5.37 43.3, 5.38 43.31)"}, []),
+        ({"WKT": "POINT(2.35 48.85)"}, outside),
+        ({**none, "longitude": "2.35", "latitude": "48.85"}, outside),
+        (none, [("NO-GEOM", GEOMETRY_FIELDS)]),
+        ({"WKT": "POLYGON((5 43, 6 44, 6 43, 5 44, 5 43))"}, [("INVALID_GEOMETRY", "WKT")]),
+        ({"WKT": "somewhere"}, [("INVALID_WKT", "WKT")]),
     ]
-    _, checked, _, _ = run(rows, generate=False, settings={"restrict_to_area": 2})
-    expect(
-        checked,
-        {
-            ("INVALID_ATTACHMENT_CODE", "codecommune"): {2},
-            ("INVALID_ATTACHMENT_CODE", "codedepartement"): {4},
-            ("INVALID_ATTACHMENT_CODE", "codemaille"): {6},
-            ("MULTIPLE_CODE_ATTACHMENT", GEOMETRY_FIELDS): {7},
-            ("MULTIPLE_ATTACHMENT_TYPE_CODE", GEOMETRY_FIELDS): {10, 14},
-            ("NO-GEOM", GEOMETRY_FIELDS): {15},
-            ("INVALID_GEOMETRY", "WKT"): {16},
-            ("GEOMETRY_OUTSIDE", GEOMETRY_FIELDS): {17, 18},
-        },
+    _, checked, _, _ = run([c for c, _ in cases], generate=False, settings={"restrict_to_area": 2})
+    held(checked, [i for _, i in cases])
+    area = {r["line_no"]: r["id_area_attachment"] for r in checked.rows.collect()}
+    assert (area[1], area[2], area[7]) == (3, 1, None)
+    placed = {r["line_no"]: r["the_geom_point"] for r in checked.rows.where("valid").collect()}
+    assert {placed[n]["kind"] for n in (1, 6, 9)} == {"POINT"}
+
+
+def test_referentials(run):
+    gone = ("CD_NOM_NOT_FOUND", "cd_nom")
+    rows, issues = table(
+        ["cd_nom", "cd_hab"],
+        ("67111", "629", []),
+        (" 67111", "", []),
+        ("351", "", [gone]),  # known, but not on the list
+        ("1", "2", [gone, ("CD_HAB_NOT_FOUND", "cd_hab")]),
+        ("67111", "630", [("CD_HAB_NOT_FOUND", "cd_hab")]),
+        ("6711l", "629", [("INVALID_INTEGER", "cd_nom")]),
+        ("67111", "6.29", [("INVALID_INTEGER", "cd_hab")]),
+        ("", "629", [("MISSING_VALUE", "cd_nom")]),
     )
-    ids = {r["line_no"]: r["id_area_attachment"] for r in checked.rows.collect()}
-    assert [ids[n] for n in (1, 3, 5, 8)] == [1, 2, 3, None]
-    points = {r["line_no"]: r["the_geom_point"] for r in checked.rows.where("valid").collect()}
-    assert points[8]["kind"] == "POINT" and points[3]["kind"] == "POINT"
-
-
-def test_codes_and_habitats(run):
-    pairs = [
-        ("", ""), ("123456789", ""), ("67111", ""), ("", "123456789"), ("", "629"),
-        ("123456789", "123456789"), ("67111", "123456789"), ("123456789", "629"), ("67111", "629"),
-        ("886847", "629"), ("aaa", "629"), ("67111", "aaa"),
-    ]
-    rows = [{"cd_nom": a, "cd_hab": b} for a, b in pairs]
     _, checked, _, _ = run(rows, settings={"restrict_to_taxa_list": 1})
-    expect(
-        checked,
-        {
-            ("MISSING_VALUE", "cd_nom"): {1, 4, 5},
-            ("CD_NOM_NOT_FOUND", "cd_nom"): {2, 6, 8, 10},
-            ("CD_HAB_NOT_FOUND", "cd_hab"): {6, 7},
-            ("INVALID_INTEGER", "cd_nom"): {11},
-            ("INVALID_INTEGER", "cd_hab"): {12},
-        },
-    )
-
-
-def test_source_keys(run):
-    _, checked, _, _ = run([{"entity_source_pk_value": v} for v in ["", "", "1", "2", "2"]])
-    expect(checked, {("DUPLICATE_ENTITY_SOURCE_PK", "entity_source_pk_value"): {4, 5}})
+    held(checked, issues)
 
 
-def test_altitudes(run):
-    pairs = [
-        ("", ""), ("10", ""), ("5000", ""), ("", "5000"), ("", "10"), ("10", "10"), ("10", "20"),
-        ("20", "10"), ("a", ""), ("", "b"), ("a", "b"),
-    ]
-    rows = [{"altitude_min": a, "altitude_max": b} for a, b in pairs]
+def test_keys_of_the_source(run):
+    same = [("DUPLICATE_ENTITY_SOURCE_PK", "entity_source_pk_value")]
+    rows, issues = table(["entity_source_pk_value"], ("k-1", same), ("", []), ("k-2", []), ("K-1", []), ("", []), ("k-1", same))
     _, checked, _, _ = run(rows)
-    expect(
-        checked,
-        {
-            ("ALTI_MIN_SUP_ALTI_MAX", "altitude_min"): {3, 5, 8},
-            ("INVALID_INTEGER", "altitude_min"): {9, 11},
-            ("INVALID_INTEGER", "altitude_max"): {10, 11},
-        },
+    held(checked, issues)
+
+
+def test_altitudes_are_read_off_the_grid_where_a_cell_is_empty(run):
+    above = [("ALTI_MIN_SUP_ALTI_MAX", "altitude_min")]
+    no = lambda name: ("INVALID_INTEGER", name)
+    rows, issues = table(
+        ["altitude_min", "altitude_max"],
+        ("", "", []),
+        ("1389", "", []),
+        ("1390", "", above),  # one above the ground
+        ("", "1388", above),
+        ("4", "40", []),
+        ("300", "299", above),
+        ("high", "", [no("altitude_min")]),
+        ("1m", "2m", [no("altitude_min"), no("altitude_max")]),
     )
-    got = checked.rows.orderBy("line_no").select("altitude_min", "altitude_max").collect()
-    assert [tuple(r) for r in got] == [
-        (1389, 1389), (10, 1389), (5000, 1389), (1389, 5000), (1389, 10), (10, 10), (10, 20), (20, 10),
-        (None, None), (None, None), (None, None),
-    ]
+    _, checked, _, _ = run(rows)
+    held(checked, issues)
+    got = [tuple(r) for r in checked.rows.orderBy("line_no").select("altitude_min", "altitude_max").collect()]
+    ground = 1389
+    assert got == [(ground, ground), (1389, ground), (1390, ground), (ground, 1388), (4, 40), (300, 299), (None, None), (None, None)]
 
 
 def test_identifiers(run):
-    ids = [
-        "5cef829a-cf6a-11ec-80e4-7b789162d5b4", "60f14950-cf6a-11ec-a455-2ff4be8ecf40",
-        "60f14950-cf6a-11ec-a455-2ff4be8ecf40", "f4428222-d038-40bc-bc5c-6e977bbbc92b", "abcdef", "",
-    ]
-    _, checked, _, _ = run([{"unique_id_sinp": v} for v in ids])
-    expect(
-        checked,
-        {
-            ("DUPLICATE_UUID", "unique_id_sinp"): {2, 3},
-            ("EXISTING_UUID", "unique_id_sinp"): {4},
-            ("INVALID_UUID", "unique_id_sinp"): {5},
-        },
+    one, two = (str(uuid.UUID(int=n << 90 | 7, version=4)) for n in (1, 2))
+    same = [("DUPLICATE_UUID", "unique_id_sinp")]
+    rows, issues = table(
+        ["unique_id_sinp"],
+        (one, same),
+        (two, []),
+        (one.upper(), same),  # the same in another spelling
+        ("", []),
+        (one[:-1], [("INVALID_UUID", "unique_id_sinp")]),
+        ("f4428222-d038-40bc-bc5c-6e977bbbc92b", [("EXISTING_UUID", "unique_id_sinp")]),  # in the target
     )
-    made = checked.rows.where("line_no = 6").first()["unique_id_sinp"]
-    assert len(made) == 36 and made[14] == "4"
-
-
-def test_proof_addresses(run):
-    pairs = [
-        ("Oui", "https://test.fr"), ("Oui", "http:/ik.fr"), ("Oui", "http://178.32.193.151"),
-        ("Oui", "htt://ik.fr"), ("Oui", "http://ik"), ("Oui", "example.fr"), ("Oui", "ftp://test.com"),
-        ("Oui", ""), ("Non", "example.fr"), ("Non", ""), ("Non acquise", "example.fr"),
-        ("Non acquise", ""), ("Inconnu", "example.fr"), ("Inconnu", ""), ("", "example.fr"), ("", ""),
-    ]
-    rows = [{"id_nomenclature_exist_proof": a, "digital_proof": b} for a, b in pairs]
     _, checked, _, _ = run(rows)
-    expect(
-        checked,
-        {
-            ("INVALID_URL_PROOF", "digital_proof"): {2, 4, 5},
-            ("INVALID_EXISTING_PROOF_VALUE", "id_nomenclature_exist_proof"): {8, 9, 11, 13, 15},
-        },
+    held(checked, issues)
+    made = checked.rows.where("line_no = 4").first()["unique_id_sinp"]
+    assert uuid.UUID(made).version == 4
+
+
+def test_proofs_and_their_addresses(run):
+    status, address = ("INVALID_EXISTING_PROOF_VALUE", "id_nomenclature_exist_proof"), ("INVALID_URL_PROOF", "digital_proof")
+    rows, issues = table(
+        ["id_nomenclature_exist_proof", "digital_proof", "non_digital_proof"],
+        ("Oui", "https://photos.example.org/7", "", []),
+        ("Oui", "", "box 12", []),
+        ("Oui", "", "", [status]),
+        ("Oui", "https//photos.example.org", "", [address]),
+        ("Non", "", "", []),
+        ("Non", "https://photos.example.org/7", "", [status]),
+        ("Inconnu", "", "box 12", [status]),
+        ("Non acquise", "", "", []),
+        ("", "", "", []),
+        ("perhaps", "", "", [("INVALID_NOMENCLATURE", "id_nomenclature_exist_proof")]),
     )
+    _, checked, _, _ = run(rows)
+    held(checked, issues)
 
 
 def test_depths(run):
-    pairs = [("", ""), ("10", ""), ("", "10"), ("10", "10"), ("10", "20"), ("20", "10")]
-    _, checked, _, _ = run([{"depth_min": a, "depth_max": b} for a, b in pairs])
-    expect(checked, {("DEPTH_MIN_SUP_ALTI_MAX", "depth_min"): {6}})
+    rows, issues = table(
+        ["depth_min", "depth_max"],
+        ("3", "3", []), ("4", "3", [("DEPTH_MIN_SUP_ALTI_MAX", "depth_min")]), ("4", "", []), ("", "3", []),
+    )
+    _, checked, _, _ = run(rows)
+    held(checked, issues)
 
 
-def _vocabulary_rows():
-    names = [
-        "id_nomenclature_exist_proof", "digital_proof", "non_digital_proof",
-        "id_nomenclature_source_status", "reference_biblio",
-    ]
-    cells = [
-        ("",), ("?",), ("Non",), ("Non", "http://A.fr"), ("Non", "", "B"), ("Non", "http://A.fr", "B"),
-        ("Oui",), ("Oui", "http://A.fr"), ("Oui", "", "B"), ("Oui", "http://A.fr", "B"),
-        ("", "", "", "Littérature", "A book"), ("", "", "", "Littérature"),
-    ]
-    return [dict(zip(names, c, strict=False)) for c in cells]
-
-
-def test_vocabulary_rules(run):
-    rows = [{**r, "id_nomenclature_blurring": "Non"} for r in _vocabulary_rows()]
-    _, checked, _, _ = run(rows, private=True)
-    expect(
-        checked,
-        {
-            ("INVALID_NOMENCLATURE", "id_nomenclature_exist_proof"): {2},
-            ("INVALID_EXISTING_PROOF_VALUE", "id_nomenclature_exist_proof"): {4, 5, 6, 7},
-            ("CONDITIONAL_MANDATORY_FIELD_ERROR", "id_nomenclature_source_status"): {12},
-        },
-    )
+def test_literature_needs_its_reference(run):
+    bare = [("CONDITIONAL_MANDATORY_FIELD_ERROR", "id_nomenclature_source_status")]
+    rows, issues = table(
+        ["id_nomenclature_source_status", "reference_biblio"],
+        ("Littérature", "", bare), ("Littérature", "Flora, vol. 2", []), ("Terrain", "", []), ("", "", []),
+    )
+    _, checked, _, _ = run(rows)
+    held(checked, issues)
 
 
-def test_private_dataset_without_defaults_needs_blurring(run):
-    _, checked, _, _ = run(
-        [{"nom_cite": "Ablette"}], private=True, settings={"fill_missing_vocabulary": False}
-    )
-    expect(checked, {("CONDITIONAL_MANDATORY_FIELD_ERROR", "id_nomenclature_blurring"): {1}})
+def test_blurring_of_private_data(run):
+    bare = [("CONDITIONAL_MANDATORY_FIELD_ERROR", "id_nomenclature_blurring")]
+    unknown = [("INVALID_NOMENCLATURE", "id_nomenclature_blurring")]
+    rows = [{"id_nomenclature_blurring": v} for v in ("Oui", "Non", "")]
+    strict = {"fill_missing_vocabulary": False}
+    held(run(rows, private=True, settings=strict)[1], [[], [], bare + unknown])
+    held(run(rows, private=False, settings=strict)[1], [[], [], unknown])
 
 
-def _partly_empty():
-    names = [
-        "entity_source_pk_value", "id_nomenclature_geo_object_nature", "id_nomenclature_naturalness",
-        "id_nomenclature_life_stage",
-    ]
-    cells = [("1", "Inventoriel", "Sauvage", "Adulte"), ("2", "Inventoriel", "", "Adulte"),
-             ("3", "Inventoriel", "Sauvage", "")]
+def test_defaults_of_vocabularies(run):
+    """An empty cell takes what the mapping says of the empty value, then the default."""
     content = label_mapping()
-    content["STADE_VIE"][""] = "17"
-    return [dict(zip(names, c, strict=True)) for c in cells], content
-
-
-def test_vocabulary_defaults(run):
-    rows, content = _partly_empty()
-    _, checked, _, _ = run(rows, content=content)
-    expect(checked, {})
-    got = {r["line_no"]: r for r in checked.rows.collect()}
-    assert got[2]["id_nomenclature_determination_method"] == 379
-    assert got[2]["id_nomenclature_diffusion_level"] is None
-    assert got[2]["id_nomenclature_naturalness"] == 181
-    assert got[3]["id_nomenclature_life_stage"] == 18
-
-
-def test_vocabulary_without_defaults(run):
-    rows, content = _partly_empty()
-    _, checked, _, _ = run(rows, content=content, settings={"fill_missing_vocabulary": False})
-    expect(checked, {("INVALID_NOMENCLATURE", "id_nomenclature_naturalness"): {2}})
-    got = {r["line_no"]: r for r in checked.rows.collect()}
-    assert got[3]["id_nomenclature_determination_method"] == 379
-    assert got[3]["id_nomenclature_life_stage"] == 18
-
-
-def test_additional_data_merges_objects_and_cells(run, spark, tmp_path):
-    import json
-
-    menu = {"menu": {"id": "file", "value": "File", "popup": {"item": [{"value": "New"}, {"value": "Open"}]}}}
-    _, checked, load, options = run([{"additional_data": json.dumps(menu, indent=1)}])
-    expect(checked, {})
+    content["STADE_VIE"][""] = "2"
+    rows, nothing = table(
+        ["id_nomenclature_naturalness", "id_nomenclature_life_stage"],
+        ("Sauvage", "Alevin", []), ("", "Alevin", []), ("Sauvage", "", []),
+    )
+    _, filled, _, _ = run(rows, content=content)
+    held(filled, nothing)
+    by_line = {r["line_no"]: r for r in filled.rows.collect()}
+    assert [by_line[n]["id_nomenclature_naturalness"] for n in (1, 2, 3)] == [182, 181, 182]
+    assert [by_line[n]["id_nomenclature_life_stage"] for n in (1, 2, 3)] == [18, 18, 3]
+    assert by_line[1]["id_nomenclature_determination_method"] == 379  # not in the file at all
+    _, bare, _, _ = run(rows, content=content, settings={"fill_missing_vocabulary": False})
+    held(bare, [[], [("INVALID_NOMENCLATURE", "id_nomenclature_naturalness")], []])
+
+
+def test_json_cells_merge_with_plain_ones(run, spark, tmp_path):
+    site = {"site": {"name": "Étang", "visits": [1, 2, {"by": "boat"}]}}
+    _, checked, load, options = run([{"additional_data": json.dumps(site, ensure_ascii=False, indent=2)}])
+    held(checked, [[]])
     commit(checked.rows, load, options, str(tmp_path / "target"))
     stored = spark.read.parquet(str(tmp_path / "target")).first()
-    assert json.loads(stored["additional_data"]) == {**menu, "cd_nom": "67111"}
+    assert json.loads(stored["additional_data"]) == site | {"cd_nom": "67111"}
     assert (stored["id_source"], stored["id_dataset"], stored["last_action"]) == (50, 7, "I")
 
 
-def test_line_breaks_in_cells(run, spark, tmp_path):
-    from obsload.sinks.tables import invalid_records, write_delimited
-
-    rows = [
-        {"cd_nom": "", "comment_description": "first"},
-        {"cd_nom": "123456789", "comment_description": "bad line:\nnot found; really"},
-        {"comment_description": 'this "line"\nis fine'},
-    ]
+def test_breaks_and_quotes_come_back_in_the_export(run, spark, tmp_path):
+    notes = ['two\nlines; one "quoted"', "plain", "a;b"]
+    names = ["cd_nom", "comment_description"]
+    rows = [dict(zip(names, cells, strict=True)) for cells in zip(["", "67111", "0"], notes, strict=True)]
     staged, checked, load, options = run(rows)
-    expect(checked, {("MISSING_VALUE", "cd_nom"): {1}, ("CD_NOM_NOT_FOUND", "cd_nom"): {2}})
+    held(checked, [[("MISSING_VALUE", "cd_nom")], [], [("CD_NOM_NOT_FOUND", "cd_nom")]])
     commit(checked.rows, load, options, str(tmp_path / "target"))
-    target = spark.read.parquet(str(tmp_path / "target"))
-    assert [r["comment_description"] for r in target.collect()] == ['this "line"\nis fine']
-    out = invalid_records(staged.records, checked.rows, load.columns)
-    write_delimited(out.coalesce(1), str(tmp_path / "bad"), ";")
-    import csv
-    import glob
-
+    assert [r["comment_description"] for r in spark.read.parquet(str(tmp_path / "target")).collect()] == [notes[1]]
+    write_delimited(invalid_records(staged.records, checked.rows, load.columns).coalesce(1), str(tmp_path / "bad"), ";")
     with open(glob.glob(str(tmp_path / "bad" / "*.csv"))[0], newline="") as f:
         back = list(csv.DictReader(f, delimiter=";"))
-    assert [r["comment_description"] for r in back] == ["first", "bad line:\nnot found; really"]
-    assert list(back[0]) == list(load.columns)
+    assert [r["comment_description"] for r in back] == [notes[0], notes[2]] and list(back[0]) == list(load.columns)
 
 
-def test_export_format(run):
+def test_issues_bear_the_names_of_the_file(run):
+    """Columns of the file's own names, mapped; the columns in the issues are the file's."""
     mapping = {
-        "entity_source_pk_value": "id_source_row", "date_min": "date_debut", "date_max": "date_fin",
-        "cd_nom": "cd_nom", "nom_cite": "nom_cite", "count_min": "nombre_min", "count_max": "nombre_max",
-        "WKT": "geometrie",
-    }
-    base = {"date_debut": "2017-01-08", "nom_cite": "x", "geometrie": "POINT(6.5 44.85)", "cd_nom": "67111"}
-    rows = [
-        {"id_source_row": "1", "nombre_min": "5", "nombre_max": "5", "cd_nom": "60612"},
-        {"id_source_row": "2", "nombre_min": "1", "nombre_max": "1", "cd_nom": "351"},
-        {"id_source_row": "3"}, {"id_source_row": "3", "date_fin": "2017/01/08"},
-        {"id_source_row": "5", "nombre_min": "20", "nombre_max": "5"},
-        {"id_source_row": "6", "cd_nom": "351"},
-    ]
-    _, checked, load, options = run(rows, mapping=mapping, base=base)
-    expect(
-        checked,
-        {
-            ("DUPLICATE_ENTITY_SOURCE_PK", "id_source_row"): {3, 4},
-            ("COUNT_MIN_SUP_COUNT_MAX", "nombre_min"): {5},
-        },
+        "entity_source_pk_value": "no", "date_min": "seen", "cd_nom": "taxon", "nom_cite": "said", "WKT": "where",
+        "count_min": "from", "count_max": "to",
+    }
+    base = {"seen": "2023-05-03", "said": "x", "where": "POINT(6.5 44.85)", "taxon": "67111", "no": "", "from": "", "to": ""}
+    rows, issues = table(
+        ["no", "from", "to", "taxon"],
+        ("a", "2", "2", "67111", []),
+        ("a-", "", "4", "60612", []),
+        ("b", "9", "8", "351", [("COUNT_MIN_SUP_COUNT_MAX", "from")]),
+        ("c", "", "", "886847", [("DUPLICATE_ENTITY_SOURCE_PK", "no")]),
+        ("c", "1", "", "886847", [("DUPLICATE_ENTITY_SOURCE_PK", "no")]),
+        ("d", "", "", "none", [("INVALID_INTEGER", "taxon")]),
     )
-    valid = checked.rows.where("valid")
-    assert valid.count() == 3 and valid.select("cd_nom").distinct().count() == 2
+    _, checked, _, _ = run(rows, mapping=mapping, base=base)
+    held(checked, issues)
+    assert {r["cd_nom"] for r in checked.rows.where("valid").collect()} == {67111, 60612}

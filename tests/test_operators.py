@@ -139,3 +139,53 @@ def test_slices_cover_the_load(spark):
     for part in parts[1:]:
         united = united.unionByName(part)
     assert united.count() == total and united.exceptAll(rows).count() == 0
+
+
+def test_another_header_or_encoding_is_refused(spark, tmp_path):
+    good, other = tmp_path / "good.csv", tmp_path / "other"
+    good.write_text("a;b\n1;2\n")
+    other.mkdir()
+    (other / "x.csv").write_text("a;b\n1;2\n")
+    (other / "y.csv").write_text("b;a\n2;1\n")
+    (tmp_path / "latin.csv").write_bytes("a;b\né;2\n".encode("latin-1"))
+    assert numbered(read_delimited(spark, str(good), ["a", "b"]), 1).count() == 1
+    for path in (other, str(good)):
+        names = ["a", "b"] if path is other else ["a", "c"]
+        with pytest.raises(Exception, match="(?i)header"):
+            numbered(read_delimited(spark, str(path), names), 1)
+    with pytest.raises(ValueError, match="1 lines of .*latin.csv"):
+        read_delimited(spark, str(tmp_path / "latin.csv"), ["a", "b"])
+    read = read_delimited(spark, str(tmp_path / "latin.csv"), ["a", "b"], encoding="ISO-8859-1")
+    assert [r["a"] for r in numbered(read, 1).collect()] == ["é"]
+    with pytest.raises(ValueError, match="utf-7"):
+        read_delimited(spark, str(good), ["a", "b"], encoding="utf-7")
+
+
+def test_ragged_records_are_invalid_after_the_check(spark, dims, tmp_path):
+    import datetime as dt
+
+    from obsload.model.loads import Load, Settings
+    from obsload.plans.check import check_load
+    from obsload.plans.load import load_files
+
+    names = ("date_min", "nom_cite", "cd_nom", "WKT")
+    good = "2017-01-01;x;67111;POINT(6.5 44.85)"
+    path = tmp_path / "f.csv"
+    path.write_text("\n".join([";".join(names), good, good + ";more", good.rsplit(";", 1)[0]]) + "\n")
+    load = Load(5, names, {n: n for n in names}, id_source=1)
+    staged = load_files(spark, str(path), load, strict=False, staging_path=str(tmp_path / "staging"))
+    checked = check_load(staged.rows, load, dims, Settings(as_of=dt.date(2024, 6, 1)))
+    found = {(r["line_no"], r["code"]) for r in checked.issues.collect()}
+    assert {(2, "ROW_HAVE_TOO_MUCH_COLUMN"), (3, "ROW_HAVE_LESS_COLUMN")} <= found
+    assert [r["line_no"] for r in checked.rows.where("valid").collect()] == [1]
+    assert spark.read.parquet(str(tmp_path / "staging")).where("id_load = 5").count() == 3
+
+
+def test_a_dimension_with_repeated_keys_does_not_multiply_rows(spark):
+    rows = skewed(spark)
+    dimension = spark.createDataFrame([("hot", 4), ("hot", 1), ("u8", 2), ("u8", 2)], "k string, v int")
+    for settle in (False, True):
+        got = fetch(rows, dimension, ["k"], ["v"], F.col("line_no"), settle)
+        assert {(r["v"], r["n"]) for r in got.groupBy("v").agg(F.count("*").alias("n")).collect()} == {
+            (1, 2000), (2, 1), (None, 3999),
+        }
