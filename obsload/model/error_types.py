@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 ERROR, WARNING = "ERROR", "WARNING"
@@ -70,11 +72,16 @@ def describe(code: str) -> str:
     return code.replace("_", " ").replace("-", " ").lower()
 
 
-def error_table(spark: SparkSession) -> DataFrame:
-    """The catalogue as a dimension table; some sixty rows, so it may be broadcast."""
-    rows = [
-        (code, category, describe(code), LEVELS[code])
+def error_table(spark: SparkSession, own: Iterable[tuple[str, str, str, str]] = ()) -> DataFrame:
+    """The catalogue as a dimension table; some sixty rows, so it may be broadcast.
+
+    ``own`` are lines ``(code, category, description, level)`` of the caller: they replace the lines
+    of their codes, or add to them.
+    """
+    lines = {
+        code: (code, category, describe(code), LEVELS[code])
         for category, codes in CODES.items()
         for code in codes
-    ]
+    }
+    rows = list((lines | {line[0]: tuple(line) for line in own}).values())
     return spark.createDataFrame(rows, "code string, category string, description string, level string")

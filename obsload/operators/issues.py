@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsload.model.error_types import COMMENTS, ERROR, LEVELS, level_of
+from obsload.model.error_types import COMMENTS, ERROR, LEVELS, WARNING, level_of
 
 ISSUE = "struct<code:string,column:string,value:string>"
 ISSUES = f"array<{ISSUE}>"
@@ -24,16 +24,19 @@ SPAN = 100_000
 class Check:
     """A row is reported under ``code`` and ``column`` where ``condition`` is true.
 
-    Users extend the catalogue by adding checks; ``value`` is the offending cell, if any.
+    Users extend the catalogue by adding checks; ``value`` is the offending cell, if any. A code that
+    the catalogue does not have needs a ``level``, ERROR or WARNING.
     """
 
     code: str
     column: str
     condition: Column
     value: Column | None = None
+    level: str | None = None
 
     def issue(self) -> Column:
-        level_of(self.code)
+        if self.level not in (ERROR, WARNING):
+            level_of(self.code)
         value = F.lit(None) if self.value is None else self.value
         made = F.struct(
             F.lit(self.code).alias("code"),
@@ -50,9 +53,10 @@ def collected(checks: Sequence[Check]) -> Column:
     return F.array_compact(F.array(*[c.issue() for c in checks])).cast(ISSUES)
 
 
-def has_error(issues: Column) -> Column:
-    """True when an issue of ERROR level is present."""
-    warnings = [code for code, level in LEVELS.items() if level != ERROR]
+def has_error(issues: Column, own: Sequence[Check] = ()) -> Column:
+    """True when an issue of ERROR level is present; ``own`` are checks with levels of their own."""
+    levels = LEVELS | {c.code: c.level for c in own if c.level is not None}
+    warnings = [code for code, level in levels.items() if level != ERROR]
     return F.exists(issues, lambda i: ~i["code"].isin(*warnings))
 
 
@@ -79,7 +83,7 @@ def issue_runs(issues: DataFrame, span: int = SPAN) -> DataFrame:
     """
     per_line = issues.groupBy(
         "id_load", "code", "column", F.floor((F.col("line_no") - 1) / span).alias("run"), "line_no"
-    ).agg(F.first("value", ignorenulls=True).alias("value"))
+    ).agg(F.first(F.when(F.col("code").isin(*COMMENTS), F.col("value")), ignorenulls=True).alias("value"))
     grouped = per_line.groupBy("id_load", "code", "column", "run").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("hits")
     )

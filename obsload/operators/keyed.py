@@ -140,6 +140,18 @@ def flag_duplicates(
     return flag_keys(rows, keys, counts.where(F.col("n") > 1), counts, flag, spread, settle)
 
 
+def flag_duplicate_records(
+    rows: DataFrame, columns: Sequence[str], flag: str, spread: Column, settle: bool = False
+) -> DataFrame:
+    """Marks records that agree with another one in all ``columns``; nulls agree with nulls.
+
+    Digests of the records are compared, so wide records travel as 32 bytes.
+    """
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}), 256)
+    marked = flag_duplicates(rows.withColumn("_record", digest), ["_record"], flag, spread, settle)
+    return marked.drop("_record")
+
+
 def flag_unknown(
     rows: DataFrame,
     key: str,

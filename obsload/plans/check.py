@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from obsload.operators import vocabulary as vocab_ops
 from obsload.operators.elevation import filled_altitudes, with_altitudes
 from obsload.operators.georef import attach_areas, attachment_checks, both_systems
 from obsload.operators.issues import Check, has_error, long_issues, with_issues
-from obsload.operators.keyed import fetch, flag_duplicates, flag_existing, flag_lines, flag_unknown
+from obsload.operators.keyed import fetch, flag_duplicate_records, flag_duplicates, flag_existing, flag_lines, flag_unknown
 from obsload.operators.rows import row_checks
 from obsload.operators.sets import date_checks, range_checks, url_check
 from obsload.workspace import written
@@ -38,8 +39,13 @@ def check_load(
     dims: Dimensions,
     settings: Settings,
     dictionary: Dictionary = DICTIONARY,
+    extra_checks: Sequence[Check] = (),
+    report_duplicate_rows: bool = False,
 ) -> Checked:
-    """Runs the whole catalogue on one load.
+    """Runs the whole catalogue on one load, then ``extra_checks`` of the caller.
+
+    Extra checks may name staged and target columns; a code of their own needs a level.
+    ``report_duplicate_rows`` adds the comparison of whole records, one more shuffle of digests.
 
     The row stage is written once; every key count then scans two or three of its columns, and the
     final pass joins the small answers back. The result is written too, so reports, previews and
@@ -75,10 +81,14 @@ def check_load(
         rows = flag_lines(rows, shapes.where(~is_valid(F.col("geom"))), "_unsound")
         given = F.col(fields["WKT"].source_column).isNotNull()
         checks.append(Check("INVALID_GEOMETRY", label("WKT"), given & F.col("_unsound")))
-    rows = with_issues(rows, checks)
+    if report_duplicate_rows:
+        staged_cells = [c for c in staged.columns if c not in ("line_no", "_ragged")]
+        rows = flag_duplicate_records(rows, staged_cells, "_same_row", spread, settle=True)
+        checks.append(Check("DUPLICATE_ROWS", "", F.col("_same_row")))
+    rows = with_issues(rows, [*checks, *extra_checks])
     if settings.restrict_to_area is not None and dims.areas is not None:
         rows = _restriction_stage(rows, dims, settings)
-    valid = ~has_error(F.col("issues"))
+    valid = ~has_error(F.col("issues"), extra_checks)
     # the centre only matters for rows that reach the target
     located = F.when(valid, F.coalesce("area_point", centroid(F.col("the_geom_4326"))))
     rows = rows.withColumns({"valid": valid, "the_geom_point": located})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from obsload.model.error_types import error_table
 from obsload.operators import issues as issue_ops
 from obsload.operators.issues import long_issues, with_issues
-from obsload.operators.keyed import flag_duplicates, flag_existing, flag_unknown
+from obsload.operators.keyed import flag_duplicate_records, flag_duplicates, flag_existing, flag_unknown
 from obsload.operators.sets import date_checks
 from obsload.samples.registry import query, table, text
 from obsload.sources.staging import batch_slice
@@ -62,9 +62,9 @@ FROM documents""",
 )
 def duplicate_rows(spark, folder):
     """Whole-record duplicates: records meet on a 256-bit digest of all their cells."""
-    cells = F.to_json(F.struct("text", "lang", "source"))
-    rows = table(spark, folder, "documents").select("doc_id", F.sha2(cells, 256).alias("digest"))
-    return flag_duplicates(rows, ["digest"], "duplicated", F.col("doc_id")).drop("digest")
+    rows = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    flagged = flag_duplicate_records(rows, ["text", "lang", "source"], "duplicated", F.col("doc_id"))
+    return flagged.select("doc_id", "duplicated")
 
 
 @query(

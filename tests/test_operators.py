@@ -189,3 +189,34 @@ def test_a_dimension_with_repeated_keys_does_not_multiply_rows(spark):
         assert {(r["v"], r["n"]) for r in got.groupBy("v").agg(F.count("*").alias("n")).collect()} == {
             (1, 2000), (2, 1), (None, 3999),
         }
+
+
+def test_checks_of_the_caller_and_whole_records(spark, dims, tmp_path):
+    import datetime as dt
+
+    from obsload.model.error_types import error_table
+    from obsload.model.loads import Load, Settings
+    from obsload.operators.issues import Check, report_rows
+    from obsload.plans.check import check_load
+    from obsload.plans.load import load_files
+
+    names = ("date_min", "nom_cite", "cd_nom", "WKT")
+    lines = [f"2017-01-0{d};{said};67111;POINT(6.5 44.85)" for d, said in ((1, "x"), (2, "y"), (1, "x"), (3, "z"))]
+    path = tmp_path / "f.csv"
+    path.write_text("\n".join([";".join(names), *lines]) + "\n")
+    load = Load(6, names, {n: n for n in names}, id_source=1)
+    own = [
+        Check("NAME_TOO_SHORT", "nom_cite", F.col("nom_cite") == "y", F.col("nom_cite"), level="ERROR"),
+        Check("NAME_ODD", "nom_cite", F.col("nom_cite") == "z", level="WARNING"),
+    ]
+    staged = load_files(spark, str(path), load)
+    settings = Settings(as_of=dt.date(2024, 6, 1))
+    checked = check_load(staged.rows, load, dims, settings, extra_checks=own, report_duplicate_rows=True)
+    found = {(r["line_no"], r["code"]) for r in checked.issues.collect()}
+    assert found == {(1, "DUPLICATE_ROWS"), (2, "NAME_TOO_SHORT"), (3, "DUPLICATE_ROWS"), (4, "NAME_ODD")}
+    assert [r["line_no"] for r in checked.rows.where("valid").collect()] == [4]
+    kinds = error_table(spark, [("NAME_TOO_SHORT", "own", "The name is too short", "ERROR"), ("NAME_ODD", "own", "Odd", "WARNING")])
+    shown = {r["code"]: (r["category"], r["level"]) for r in report_rows(checked.issues, kinds).collect()}
+    assert shown["NAME_TOO_SHORT"] == ("own", "ERROR") and shown["DUPLICATE_ROWS"][1] == "ERROR"
+    with pytest.raises(ValueError, match="NAME_ODD"):
+        Check("NAME_ODD", "x", F.lit(True)).issue()
