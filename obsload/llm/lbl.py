@@ -37,6 +37,7 @@ from obsload.workspace import written
 WORDS = 1024
 CLASSES = 255
 HEAVY = 100_000
+LEAST_SHARE = 3_000_000  # a frequent word is more than one token in so many, so there are fewer than that
 SIZE = 16
 NOISE = 32
 BATCH = 8192
@@ -138,10 +139,14 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """``counts`` is written; the driver sees its ``HEAVY`` largest rows and a row for each class."""
+    """``counts`` is written; the driver sees its ``HEAVY`` largest rows and a row for each class.
+
+    Words too rare to be among these by their share alone are left out before any task sends its largest.
+    """
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     words = counts.where(F.octet_length("word") > 0)
-    heavy = words.orderBy(F.desc("n"), "word").limit(HEAVY).collect()
+    frequent = words.where(F.col("n") * LEAST_SHARE > totals["n"])
+    heavy = frequent.orderBy(F.desc("n"), "word").limit(HEAVY).collect()
     ends = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = 1 + WORDS + CLASSES
     mass, kinds = np.zeros(size), np.zeros(size)
