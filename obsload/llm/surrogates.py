@@ -43,10 +43,20 @@ ADDRESS = {
 SYLLABLES = "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve vo"
 CYRILLIC_SYLLABLES = "ба бе бо ва ве во га го да де до ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то"
 
-_GIVEN = "|".join(x for names in GIVEN.values() for n in names.split() for x in (n, n.upper()))
-_ADDRESS = "|".join(n for names in ADDRESS.values() for n in names.split())
+
+
+def _by_first_letter(words: list[str]) -> str:
+    """An alternation that looks at the first letter once, not once for each word."""
+    ends: dict[str, list[str]] = {}
+    for w in dict.fromkeys(words):
+        ends.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(ends.items())) + ")"
+
+
+_GIVEN = _by_first_letter([x for names in GIVEN.values() for n in names.split() for x in (n, n.upper())])
+_ADDRESS = _by_first_letter([n for names in ADDRESS.values() for n in names.split()])
 _NAME = r"\p{Lu}\p{L}{1,40}+(?:-\p{Lu}\p{L}{1,40}+)?"
-_WORD = r"(?<![\p{L}\p{N}_])"
+_WORD = r"(?=\p{Lu})(?<![\p{L}\p{N}_])"
 #: kinds in the order in which they are tried at a place
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
@@ -57,9 +67,11 @@ PATTERNS = {
     "card": r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9])"
     r"|(?<![0-9])\+[0-9]{8,15}(?![0-9])",
-    "name": rf"{_WORD}(?:{_ADDRESS})\.? {_NAME}(?: {_NAME})?|{_WORD}(?:{_GIVEN}) {_NAME}",
+    "name": rf"{_WORD}(?:{_ADDRESS}\.? {_NAME}(?: {_NAME})?|{_GIVEN} {_NAME})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: what every entity holds; a text without it is not searched further
+SIGN = rf"[0-9@]|{_WORD}(?:{_ADDRESS}|{_GIVEN})\.? "
 
 
 def _pick(words: str, number: Column) -> Column:
@@ -71,6 +83,11 @@ def _one_of(words: str) -> Column:
     return F.array(*map(F.lit, words.split()))
 
 
+def entities(text: Column) -> Column:
+    """All entities of a text in order; each kind holds a digit, an at sign or a known name."""
+    return F.when(text.rlike(SIGN), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def kind_of(entity: Column) -> Column:
     out = F.when(entity.rlike(f"^(?:{PATTERNS['email']})$"), "email")
     for kind in list(PATTERNS)[1:]:
@@ -220,7 +237,7 @@ def beyond_first(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
 
     Parts are distinct here, so groups are as small as accidents are. Stand-ins that have been given stay.
     """
-    found = docs.select(F.explode(F.regexp_extract_all(F.col(text).cast("string"), F.lit(ANY), F.lit(0))).alias("entity"))
+    found = docs.select(F.explode(entities(F.col(text).cast("string"))).alias("entity"))
     # equal entities meet before they are taken apart
     split = found.distinct().select(F.explode(parts_of(F.col("entity"))).alias("p"))
     parts = written(split.where("p.kind != 'address'").select("p.kind", "p.form").distinct(), "entities")
@@ -252,13 +269,13 @@ def _replaced(text: Column, attempts: Column, key: str) -> Column:
         attempt = F.coalesce(F.try_element_at(attempts, F.concat_ws("\x1f", part["kind"], part["form"])), F.lit(0))
         return dressed(part["kind"], part["original"], stand_in(part["kind"], part["form"], attempt, key))
 
-    def woven(entities: Column) -> Column:
-        stands = F.transform(entities, lambda e: F.array_join(F.transform(parts_of(e), one), " "))
+    def woven(found: Column) -> Column:
+        stands = F.transform(found, lambda e: F.array_join(F.transform(parts_of(e), one), " "))
         both = F.zip_with(F.split(text, ANY, -1), stands, lambda b, s: F.concat(b, F.coalesce(s, F.lit(""))))
-        out = F.when(F.size(entities) > 0, F.array_join(both, "")).otherwise(text)
-        return F.struct(out.alias("text"), F.coalesce(F.size(entities), F.lit(0)).cast("long").alias("n"))
+        out = F.when(F.size(found) > 0, F.array_join(both, "")).otherwise(text)
+        return F.struct(out.alias("text"), F.size(found).cast("long").alias("n"))
 
-    return let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), woven)
+    return let(entities(text), woven)
 
 
 def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
@@ -272,7 +289,7 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY, count:
     rows = docs
     if not later.isEmpty():
         found = docs.select(
-            F.xxhash64(said).alias("row_key"), F.explode(F.regexp_extract_all(said, F.lit(ANY), F.lit(0))).alias("entity")
+            F.xxhash64(said).alias("row_key"), F.explode(entities(said)).alias("entity")
         )
         parts = found.distinct().select("row_key", F.explode(parts_of(F.col("entity"))).alias("p"))
         hit = parts.select("row_key", "p.kind", "p.form").distinct().join(later, ["kind", "form"])
