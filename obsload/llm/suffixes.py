@@ -30,7 +30,7 @@ from obsload.workspace import written
 
 LENGTH = 200
 SEED = 40
-SHARD = 1 << 20
+SHARD = 1 << 19
 _BLOCK = 1 << 20
 _WORD = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_WORD), -1, 1 << 64))
@@ -93,20 +93,37 @@ def anchors(raw: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np
     return places, hashes[once], around[once]
 
 
+def _sorted_places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ``keys`` of up to ``bits`` bits, and where a new key begins in it.
+
+    The place is packed under the key where both fit: sorting numbers is several times faster than
+    sorting places by numbers.
+    """
+    n = len(keys)
+    low = max(1, n.bit_length())
+    if bits + low <= 63:
+        packed = np.sort(keys << low | np.arange(n))
+        order, sorted_ = packed & ((1 << low) - 1), packed >> low
+    else:
+        order = np.argsort(keys)
+        sorted_ = keys[order]
+    return order, np.r_[True, sorted_[1:] != sorted_[:-1]] if n else np.zeros(0, bool)
+
+
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes by their first ``depth`` symbols at least; ties beyond stand in any order."""
     n = len(symbols)
     bits = max(1, int(symbols.max()).bit_length() + 1) if n else 1
-    h = max(1, 62 // bits)
+    h = max(1, (62 - n.bit_length()) // bits)
     key = np.zeros(n, dtype=np.int64)
     padded = np.r_[symbols.astype(np.int64) + 1, np.zeros(h, dtype=np.int64)]
     for k in range(h):
         key = key << bits | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    fresh = np.r_[True, key[order][1:] != key[order][:-1]] if n else np.zeros(0, bool)
+    order, fresh = _sorted_places(key, bits * h)
     rank = np.empty(n + 1, dtype=np.int64)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    width = max(1, n.bit_length())
     while h < depth:
         tied = ~fresh
         tied[:-1] |= ~fresh[1:]
@@ -114,12 +131,11 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         if not len(at):
             break
         suffixes = order[at]
-        own, next_ = rank[suffixes], rank[np.minimum(suffixes + h, n)]
-        again = np.lexsort((next_, own))
-        suffixes, own, next_ = suffixes[again], own[again], next_[again]
-        order[at] = suffixes  # groups keep their places, so sorted by group they fill them again
-        fresh[at] = np.r_[True, (own[1:] != own[:-1]) | (next_[1:] != next_[:-1])]
-        rank[suffixes] = at[np.maximum.accumulate(np.where(fresh[at], np.arange(len(at)), 0))]
+        # groups keep their places, so sorted by group they fill them again
+        again, new = _sorted_places(rank[suffixes] << width | rank[np.minimum(suffixes + h, n)] + 1, 2 * width)
+        suffixes = suffixes[again]
+        order[at], fresh[at] = suffixes, new
+        rank[suffixes] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
         h *= 2
     return order
 
@@ -196,10 +212,10 @@ class Shard:
 
     def spans(self) -> Iterator[tuple[int, int, int]]:
         """``(text, begin, end)`` of the bytes that repeated strings cover."""
-        for i in np.unique(self.text_of[self.repeated]).tolist():
-            own = self.repeated[self.starts[i] : self.starts[i] + self.sizes[i]]
-            for a, b in zip(*_runs(own), strict=True):
-                yield i, int(self.begins[i] + a), int(self.begins[i] + b - 1 + self.length)
+        first, last = _runs(self.repeated)  # no run goes on over a separator
+        texts = self.text_of[first]
+        begins, ends = self.begins[texts] + self.at[first], self.begins[texts] + self.at[last - 1] + self.length
+        return zip(texts.tolist(), begins.tolist(), ends.tolist(), strict=True)
 
 
 def merge(shards: list[Shard]) -> None:
