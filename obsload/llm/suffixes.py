@@ -10,7 +10,8 @@ goes to shards dealt by anchor: each builds a suffix array (doubling of sorted p
 still tied are sorted again), takes the common prefixes of neighbours from Kasai's relation between
 successive suffixes, and marks runs of suffixes that share ``LENGTH`` bytes and begin at two places. A
 group larger than a shard is split over several, whose strings are then looked up in each other's sorted
-string hashes by binary search and confirmed byte for byte.
+string hashes by binary search and confirmed byte for byte. A group of more than ``HOT`` kinds of surroundings,
+such as a passage of which each copy stands in another text, is first taken apart by counting.
 
 Odd input: a null text is empty; texts shorter than ``LENGTH`` bytes keep all bytes. Rows repeated remove
 each other's bytes as other copies do. Ids are not looked at. Extra columns pass untouched unless they bear
@@ -31,6 +32,7 @@ from obsload.workspace import written
 LENGTH = 200
 SEED = 40
 SHARD = 1 << 19
+HOT = 4096  # anchors with more kinds of surroundings are taken apart before they reach a shard
 _BLOCK = 1 << 20
 _WORD = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_WORD), -1, 1 << 64))
@@ -317,23 +319,79 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, se
     )
 
     # of surroundings that differ, one copy of each kind is compared
-    needed = kinds.select("anchor", "first.owner", "first.at").groupBy("owner").agg(F.collect_list(F.struct("anchor", "at")).alias("wanted"))
-    needed = written(needed, "wanted")
+    def pieces(of: DataFrame) -> DataFrame:
+        wanted = F.collect_list(F.struct("anchor", "at")).alias("wanted")
+        needed = written(of.select("anchor", "first.owner", "first.at").groupBy("owner").agg(wanted), "wanted")
+        met = owned.join(needed, "owner").select("owner", "raw", "wanted")
+        return met.mapInArrow(cut, "anchor long, owner binary, begin long, left int, around binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for owner, raw_, wanted in zip(*batch.columns, strict=True):
-                whole = raw_.as_py()
-                rows = [(w["anchor"], owner.as_py(), max(0, w["at"] - (length - seed)), w["at"] + length) for w in wanted.as_py()]
-                columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [whole[r[2] : r[3]] for r in rows]]
-                kinds_ = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], ["anchor", "owner", "begin", "around"])
-
-    pieces = owned.join(needed, "owner").select("owner", "raw", "wanted").mapInArrow(cut, "anchor long, owner binary, begin long, around binary")
-    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "owner", "begin")
-    compared = dealt.mapInArrow(lambda batches: _search(batches, length), "owner binary, begin long, end long")
-    both = spans.union(compared)
-    return both.groupBy("owner").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+                whole, name, rows = raw_.as_py(), owner.as_py(), []
+                for w in wanted.as_py():
+                    begin = max(0, w["at"] - (length - seed))
+                    rows.append((w["anchor"], name, begin, w["at"] - begin, whole[begin : w["at"] + length]))
+                types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "owner", "begin", "left", "around"])
+
+    sizes = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    hot = written(sizes.where(F.col("n") > HOT).select("anchor"), "hot")
+    both = spans
+    if hot.isEmpty():
+        compared = pieces(kinds)
+    else:
+        apart = pieces(kinds.join(hot, "anchor", "left_semi")).dropDuplicates(["anchor", "owner", "begin"])
+        found, rest = _taken_apart(written(apart, "apart"), length, seed)
+        both = both.union(found)
+        compared = pieces(kinds.join(hot, "anchor", "left_anti")).unionByName(rest)
+    dealt = compared.select("anchor", "owner", "begin", "around").repartition("anchor")
+    searched = dealt.sortWithinPartitions("anchor", "owner", "begin").mapInArrow(
+        lambda batches: _search(batches, length), "owner binary, begin long, end long"
+    )
+    return both.union(searched).groupBy("owner").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+
+
+def _taken_apart(pieces: DataFrame, length: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Spans that counting settles among surroundings of hot anchors, and what is left for shards.
+
+    The strings around an anchor are told by the bytes they hold before it. A range of these has a core
+    that each of its strings holds, and a union that holds them all: surroundings without their core's
+    equal have nothing to share in the range, those with their union's equal share all of it, and of the
+    others one of each union goes on, either to a shard, as a group of its core, or while that group is
+    still hot, to both halves of the range. A range of one string is its own core and union, so this ends.
+    """
+    rows = pieces.select(
+        F.col("anchor").cast("string").alias("key"), "owner", "begin", "left", "around",
+        F.lit(0).alias("low"), F.lit(length - seed).alias("high"),
+    )
+    found, rest = None, None
+    # a text's first and last strings have fewer bytes around them
+    least = F.greatest(F.col("low"), F.col("left") + length - F.octet_length("around"))
+    most = F.least(F.col("high"), F.col("left"))
+    while True:
+        begin, end = F.col("left") - most, F.col("left") - least + length
+        core = F.substr("around", F.col("left") - F.col("low") + 1, length - F.col("high") + F.col("low"))
+        union = F.concat_ws(":", F.md5(F.substr("around", begin + 1, end - begin)), least, most)
+        cut = rows.where(least <= most).withColumns({"core": F.md5(core), "union": union})
+        by = ["key", "core", "union"]
+        first = F.min(F.struct("owner", "begin", "left", "around")).alias("first")
+        kinds = written(cut.groupBy(*by, "low", "high").agg(F.count(F.lit(1)).alias("n"), first), "unions")
+        cores = kinds.groupBy("key", "core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        settled = cut.join(kinds.where("n > 1").select(*by), by)
+        spans = settled.select("owner", (F.col("begin") + begin).alias("begin"), (F.col("begin") + end).alias("end"))
+        more = written(kinds.join(cores, ["key", "core"]).select("key", "core", "kinds", "low", "high", "first.*"), "more")
+        small = more.where(F.col("kinds") <= HOT)
+        small = small.select(F.xxhash64("key", "core").alias("anchor"), "owner", "begin", "left", "around")
+        found, rest = (spans, small) if found is None else (found.union(spans), rest.union(small))
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high")))
+        large = more.where(F.col("kinds") > HOT).withColumn("half", F.explode(halves))
+        name = F.md5(F.concat_ws(":", "key", "core", "half.low"))
+        rows = written(large.select(name.alias("key"), "owner", "begin", "left", "around", "half.*"), "halves")
+        if rows.isEmpty():
+            return found, rest
 
 
 _RESULT = "n_bytes long, n_removed long, n_spans long, kept binary"

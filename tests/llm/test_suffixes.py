@@ -67,9 +67,11 @@ def documents(seed):
     return [*texts, texts[0], texts[0], "", None, "a" * 150, "ab" * 60, passages[0][:29], passages[1] * 3]
 
 
-@pytest.mark.parametrize("shard", [1 << 20, 300])
-def test_removed_bytes_against_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard, hot", [(1 << 20, 1000), (300, 1000), (1 << 20, 2)])
+def test_removed_bytes_against_brute_force(spark, monkeypatch, shard, hot):
+    """Shards of any size and groups taken apart or not leave the same bytes."""
     monkeypatch.setattr(suffixes, "SHARD", shard)
+    monkeypatch.setattr(suffixes, "HOT", hot)
     texts = documents(shard)
     rows = [(i, t, "x") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
