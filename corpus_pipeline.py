@@ -4,7 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one be
 returns is written as Parquet and read again. All but the last return the columns of ``documents``.
 
 * Rows go where the text is null or has no letter, or where its language is predicted with a
-  probability under one half. Rows without language teach nothing; none goes for its label.
+  probability under one half. Rows without language teach nothing; none goes for its label. Where no row
+  teaches a language nothing is predicted, and every text with a letter stays.
 * Of each group of near copies the row of the smallest ``doc_id`` stays; rows without id all stay.
 * Rows go that hold four fifths or more of a benchmark item. ``benchmark`` may be empty.
 * Personal data is replaced; no row goes.
@@ -37,6 +38,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.lit(True))
+    if not model.languages:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     named = langid.with_language(docs, model, pred="_pred", score="_sure")
     return named.where((F.col("_pred") != "und") & (F.col("_sure") >= SURE)).select(*docs.columns)
 

@@ -62,3 +62,12 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
         out = corpus_pipeline.run(spark, folder)
         assert sorted(str(r["doc_id"]) for r in out.collect()) == (["1", "None"] if data else [])
     assert out.where(F.col("n_tokens") < 0).count() == 0
+
+
+def test_texts_with_a_letter_stay_where_no_row_has_a_language(spark, tmp_path):
+    rows = [(1, "the house and the garden", None), (2, "Дом и сад", None), (3, "12 34 !!", None), (4, None, None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.languages(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 2}
+    unnamed = spark.createDataFrame([(None, "the house", "en")], docs.schema)
+    assert corpus_pipeline.languages(spark, unnamed, str(tmp_path)).count() == 1
