@@ -6,13 +6,15 @@ returns is written as Parquet and read again. All but the last return the column
 * Rows go where the text is null or has no letter, or where its language is predicted with a
   probability under one half. Rows without language teach nothing; none goes for its label. Where no row
   teaches a language nothing is predicted, and every text with a letter stays.
-* Of each group of near copies the row of the smallest ``doc_id`` stays; rows without id all stay.
+* Of each group of near copies one row stays, that of the smallest ``doc_id``; rows without id come last,
+  and a hash of the row decides between rows of one id. Rows of one id that differ in text are each judged
+  by their own group.
 * Rows go that hold four fifths or more of a benchmark item. ``benchmark`` may be empty.
 * Personal data is replaced; no row goes.
 * Texts become ids and the length of what these decode to. The empty text has no ids. A column that bears
   the name of a result is replaced.
 
-An empty table passes all stages. Repeated rows of one id leave one row.
+An empty table passes all stages. Repeated rows leave one row.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each_group(docs)
+    return simhash.one_of_each_group(docs, all_without_id=False)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsload.workspace import written
@@ -217,6 +217,18 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _least_of_groups(fps: DataFrame, row: Column, radius: int) -> DataFrame:
+    """``(fp, least)`` for each distinct fingerprint: the smallest ``row`` of its component."""
+    number = F.arrow_udf(lambda x: pa.array(mixed(x.to_numpy(zero_copy_only=False))), "long")
+    distinct = written(fps.groupBy("fp").agg(F.min(row).alias("first")).withColumn("node", number("fp")), "distinct")
+    labels = components(links(distinct, radius))
+    linked = distinct.join(labels, "node")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    grouped = linked.join(least, "root").select("fp", "least")
+    named = distinct.select("fp", "first").join(grouped, "fp", "left")
+    return named.select("fp", F.coalesce("least", "first").alias("least"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_each: int = 3, radius: int = 2
 ) -> DataFrame:
@@ -227,23 +239,27 @@ def near_duplicates(
         ),
         "fingerprints",
     )
-    number = F.arrow_udf(lambda x: pa.array(mixed(x.to_numpy(zero_copy_only=False))), "long")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", number("fp")), "distinct")
-    labels = components(links(distinct, radius))
-    linked = distinct.join(labels, "node")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    grouped = linked.join(least, "root").select("fp", "component_id")
-    named = distinct.select("fp", "first").join(grouped, "fp", "left")
-    named = named.select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    named = _least_of_groups(fps, F.col("doc_id"), radius).withColumnRenamed("least", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, words_each: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its group, one row for each such id.
+def _row_hash(docs: DataFrame) -> Column:
+    """Tells the rows of one id apart; maps have no hash and do not count."""
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*[x for c in hashed for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+
+
+def one_of_each_group(docs: DataFrame, words_each: int = 3, radius: int = 2, all_without_id: bool = True) -> DataFrame:
+    """One row of ``docs`` for each group: of its smallest ``doc_id``, of equal ids by a hash of the row.
 
-    Rows without a ``doc_id`` cannot be told apart by it and all stay.
+    Groups are those of the texts, so rows of one id that differ in text are each judged by their own. Rows
+    without a ``doc_id`` all stay; where ``all_without_id`` is false they come after all others of their group.
     """
-    found = near_duplicates(docs, words_each=words_each, radius=radius)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_row": _row_hash(docs)})
+    fps = written(with_fingerprint(keyed, "text", words_each, "fp").select("doc_id", "_id", "_row", "fp"), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_id", "_row")
+    kept = _least_of_groups(fps, row, radius).select("least._id", "least._row").distinct()
+    named = keyed.where(F.col("doc_id").isNotNull()) if all_without_id else keyed
+    # equal rows go on the map side, before they can gather in one task
+    out = named.dropDuplicates(["_id", "_row"]).join(kept, ["_id", "_row"], "left_semi").select(*docs.columns)
+    return out.unionByName(docs.where(F.col("doc_id").isNull())) if all_without_id else out

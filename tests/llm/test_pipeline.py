@@ -71,3 +71,16 @@ def test_texts_with_a_letter_stay_where_no_row_has_a_language(spark, tmp_path):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 2}
     unnamed = spark.createDataFrame([(None, "the house", "en")], docs.schema)
     assert corpus_pipeline.languages(spark, unnamed, str(tmp_path)).count() == 1
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    near = "the house and the garden of the man who sold the boat to her"
+    a, b, c, d = "seven ships sailed south", "old bread is hard to cut", "rain fell on all the roofs", "no bell rang that night"
+    rows = [(3, near, "x"), (7, near.upper(), "x"), (7, a, "x"), (9, b, "x"), (9, c, "x"), (9, c, "x"), (9, c, "y")]
+    rows += [(None, d, "x"), (None, d, "x"), (None, d, "y"), (None, near, "x"), (12, None, "x"), (12, a, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [corpus_pipeline.near_copies(spark, docs.repartition(n), FOLDER) for n in (1, 5)]
+    assert found[0].columns == docs.columns
+    one, other = ([tuple(r) for r in out.collect()] for out in found)
+    assert sorted((r[0] or 0, r[1] or "") for r in one) == sorted([(3, near), (7, a), (9, b), (9, c), (0, d), (12, "")])
+    assert set(one) == set(other)  # whichever way the rows lie
