@@ -3,10 +3,12 @@
 A page is cut into its text blocks in order, each with the path of elements it lies in. A bidirectional
 LSTM in numpy reads, for every block, hashed vectors of its path (tags, classes, ids) and of its words with
 a few measures of its text, forwards and backwards over the whole page, and tells main text from the rest.
+Pages are read in batches bounded by their padded blocks; a page beyond the bound is read alone, in pieces that
+hand on their states.
 
 There are no labelled pages, so the network learns from a teacher's rules on a bounded sample
 (``FIT_PAGES`` pages chosen by a hash of the id, those of up to ``FIT_BLOCKS`` blocks). The sample is varied:
-the main element gets other usual names, and side matter of other kinds (notices, comments, related links,
+two of the measures are the teacher's own findings on the path, so the network may lean on the rules; the main element gets other usual names, and side matter of other kinds (notices, comments, related links,
 forms, sidebars) is put in between, so that the network meets what the sample happens to lack. The order of
 all random choices is fixed; the same pages give the same network.
 
@@ -37,6 +39,7 @@ HIDDEN = 20
 STEPS = 200
 RATE = 0.01
 PAGES_AT_ONCE = 64
+BLOCKS_AT_ONCE = 16_384  # of a batch, padding counted; a longer page is read in pieces of so many
 
 # fixed values: elements by the way they shape text
 RAW = frozenset("script style noscript template iframe svg math title textarea select option object canvas head".split())
@@ -162,23 +165,25 @@ def teacher(block: Block) -> bool:
     return not side and (main or (len(block.text) >= 80 and block.linked * 3 < len(block.text)))
 
 
-def features(blocks: Sequence[Block]) -> np.ndarray:
-    """A row for each block: hashed path, hashed words, measures."""
+def features(blocks: Sequence[Block], begin: int = 0, end: int | None = None) -> np.ndarray:
+    """A row for each block of a page from ``begin`` to ``end``: hashed path, hashed words, measures."""
     digest = xxhash.xxh32_intdigest
-    out = np.zeros((len(blocks), PATHS + WORDS + MEASURES), dtype=np.float32)
-    for i, b in enumerate(blocks):
+    some = blocks[begin:end]
+    out = np.zeros((len(some), PATHS + WORDS + MEASURES), dtype=np.float32)
+    for row, b in enumerate(some):
+        i = begin + row
         for depth, element in enumerate(b.path[-8:]):
             tag, *names = re.split(r"[.#]", element)
-            out[i, digest(tag) % PATHS] = 1
+            out[row, digest(tag) % PATHS] = 1
             for p in {p for n in names for p in _PART.findall(n)}:
-                out[i, digest("." + p) % PATHS] = 1
+                out[row, digest("." + p) % PATHS] = 1
             if depth == len(b.path[-8:]) - 1:
-                out[i, digest("last " + tag) % PATHS] = 1
+                out[row, digest("last " + tag) % PATHS] = 1
         words = b.text.lower().split()
         at = np.array([digest(w) for w in words], dtype=np.int64) % WORDS
-        out[i, PATHS : PATHS + WORDS] = np.bincount(at, minlength=WORDS) / len(words)
+        out[row, PATHS : PATHS + WORDS] = np.bincount(at, minlength=WORDS) / len(words)
         n, (side, main) = len(b.text), surroundings(b.path)
-        out[i, PATHS + WORDS :] = (
+        out[row, PATHS + WORDS :] = (
             np.log1p(n) / 8,
             min(1.0, b.linked / n),
             b.text[-1] in ".!?…",
@@ -202,11 +207,16 @@ class Labeller:
             self.p[f"c{d}"][h : 2 * h] = 1.0  # remember at first
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _run(self, d: str, x: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, list]:
-        """States over time of one direction; ``x`` is time by page by feature, past the end states stay."""
+    def _run(
+        self, d: str, x: np.ndarray, live: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None, keep: bool = True
+    ) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+        """States over time of one direction, what slopes need if ``keep``, and the last states.
+
+        ``x`` is time by page by feature; past the end states stay.
+        """
         t, n, _ = x.shape
         drive = x @ self.p[f"x{d}"] + self.p[f"c{d}"]
-        h = c = np.zeros((n, HIDDEN), dtype=np.float32)
+        h, c = start if start is not None else (np.zeros((n, HIDDEN), dtype=np.float32),) * 2
         out, kept = np.zeros((t, n, HIDDEN), dtype=np.float32), []
         for i in range(t):
             gates = drive[i] + h @ self.p[f"h{d}"]
@@ -215,17 +225,33 @@ class Labeller:
             c_new = f * c + a * g
             squashed = np.tanh(c_new)
             m = live[i][:, None]
-            kept.append((h, c, a, f, o, g, squashed))
+            if keep:
+                kept.append((h, c, a, f, o, g, squashed))
             h, c = np.where(m, o * squashed, h), np.where(m, c_new, c)
             out[i] = h
-        return out, kept
+        return out, kept, (h, c)
 
-    def forward(self, x: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, tuple]:
-        ahead, kept_a = self._run("f", x, live)
-        back, kept_b = self._run("b", x[::-1], live[::-1])
+    def forward(self, x: np.ndarray, live: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple]:
+        ahead, kept_a, _ = self._run("f", x, live, keep=keep)
+        back, kept_b, _ = self._run("b", x[::-1], live[::-1], keep=keep)
         both = np.concatenate([ahead, back[::-1]], axis=2)
-        odds = (both @ self.p["out"])[:, :, 0] + self.p["bias"]
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30))), (both, kept_a, kept_b)
+        return self._likely(both), (both, kept_a, kept_b)
+
+    def _likely(self, both: np.ndarray) -> np.ndarray:
+        odds = (both @ self.p["out"])[..., 0] + self.p["bias"]
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+    def read(self, blocks: Sequence[Block]) -> np.ndarray:
+        """What ``forward`` gives for one page, with the features of ``BLOCKS_AT_ONCE`` blocks in memory at a time."""
+        both = np.zeros((len(blocks), 2 * HIDDEN), dtype=np.float32)
+        starts = range(0, len(blocks), BLOCKS_AT_ONCE)
+        for d, order, turn, at in (("f", starts, 1, slice(0, HIDDEN)), ("b", reversed(starts), -1, slice(HIDDEN, None))):
+            state = None
+            for begin in order:
+                x = features(blocks, begin, begin + BLOCKS_AT_ONCE)[::turn, None]
+                out, _, state = self._run(d, x, np.ones(x.shape[:2], dtype=bool), state, keep=False)
+                both[begin : begin + len(x), at] = out[::turn, 0]
+        return self._likely(both)
 
     def slopes(self, x: np.ndarray, live: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss over the blocks, by back-propagation through time."""
@@ -314,17 +340,30 @@ def fit(pages: Sequence[list[Block]]) -> Labeller | None:
     return net
 
 
+def batches(sizes: Sequence[int]) -> list[list[int]]:
+    """Places of the pages with blocks, shortest first, so that no batch of two or more exceeds either bound when padded."""
+    out: list[list[int]] = []
+    for i in sorted((i for i in range(len(sizes)) if sizes[i]), key=lambda i: sizes[i]):
+        if out and len(out[-1]) < PAGES_AT_ONCE and (len(out[-1]) + 1) * sizes[i] <= BLOCKS_AT_ONCE:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
 def main_texts(pages: Sequence[str | None], net: Labeller | None) -> list[str]:
     cut = [parse(p) for p in pages]
     out = [""] * len(cut)
-    order = sorted((i for i in range(len(cut)) if cut[i]), key=lambda i: len(cut[i]))
-    for begin in range(0, len(order), PAGES_AT_ONCE):
-        some = order[begin : begin + PAGES_AT_ONCE]
-        if net is not None:
-            p, _ = net.forward(*_padded([features(cut[i]) for i in some]))
-        for column, i in enumerate(some):
-            kept = p[: len(cut[i]), column] >= 0.5 if net is not None else [teacher(b) for b in cut[i]]
-            out[i] = " ".join(b.text for b, k in zip(cut[i], kept, strict=True) if k)
+    for some in batches([len(c) for c in cut]):
+        if net is None:
+            kept = [[teacher(b) for b in cut[i]] for i in some]
+        elif len(cut[some[0]]) > BLOCKS_AT_ONCE:
+            kept = [net.read(cut[some[0]]) >= 0.5]
+        else:
+            p, _ = net.forward(*_padded([features(cut[i]) for i in some]), keep=False)
+            kept = [p[: len(cut[i]), column] >= 0.5 for column, i in enumerate(some)]
+        for i, marks in zip(some, kept, strict=True):
+            out[i] = " ".join(b.text for b, k in zip(cut[i], marks, strict=True) if k)
     return out
 
 

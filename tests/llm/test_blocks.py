@@ -97,3 +97,26 @@ def test_nulls_empty_pages_repeats_and_clashing_columns(spark, net):
     assert sorted(r["text"] for r in out.collect()) == ["", "", ""] + ["T Some words that make a sentence."] * 3
     assert blocks.learned(pages.limit(0)) is None
     assert blocks.with_main_text(pages.limit(0), None).count() == 0
+
+
+def test_batches_are_bounded_by_padded_blocks_and_long_pages_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCKS_AT_ONCE", 50, raising=False)
+    rng = np.random.default_rng(4)
+    net, shapes, run = blocks.Labeller(rng), [], blocks.Labeller._run
+    pages = []
+    for n in [*rng.integers(1, 40, 150).tolist(), 233, 50, 51]:
+        said = [f"<p class={'ad' if i % 7 == 0 else 'x'}>{'word ' * (i % 23 + 1)}{i}</p>" for i in range(n)]
+        pages.append("".join(said))
+
+    def spied(self, d, x, *rest, **more):
+        shapes.append(x.shape[:2])
+        return run(self, d, x, *rest, **more)
+
+    monkeypatch.setattr(blocks.Labeller, "_run", spied)
+    got = blocks.main_texts(pages, net)
+    assert max(t * n for t, n in shapes) <= 50 and max(n for _, n in shapes) > 1
+    for page, text in zip(pages, got, strict=True):
+        cut = blocks.parse(page)
+        p, _ = net.forward(*blocks._padded([blocks.features(cut)]))
+        assert np.allclose(net.read(cut), p[:, 0], atol=1e-5)
+        assert text == " ".join(b.text for b, k in zip(cut, p[:, 0] >= 0.5, strict=True) if k)
