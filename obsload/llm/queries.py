@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsload.llm import blocks, bpe, langid, lbl, quality, simhash, suffixes, surrogates, tiling, toxicity
+from obsload.llm import blocks, bpe, langid, lbl, quality, simhash, suffixes, surrogates, tiling, toxicity, whitening
 from obsload.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -98,3 +98,9 @@ def op4_blocks(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     read = blocks.with_main_text(pages, blocks.learned(pages))
     return read.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark, folder):
+    """Every vector on the eight leading components of all, whitened."""
+    return whitening.whitened(table(spark, folder, "embeddings"))
