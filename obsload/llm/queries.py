@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsload.llm import blocks, bpe, langid, lbl, quality, simhash, suffixes, surrogates, tiling, toxicity, whitening
+from obsload.llm import blocks, bpe, langid, lbl, quality, simhash, suffixes, surrogates, tiling, toxicity, variants, whitening
 from obsload.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -104,3 +104,9 @@ def op4_blocks(spark, folder):
 def op11_whitening(spark, folder):
     """Every vector on the eight leading components of all, whitened."""
     return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@query("op12_variants")
+def op12_variants(spark, folder):
+    """Words of all documents with their near words, forms and roots."""
+    return variants.variants(table(spark, folder, "documents"))
