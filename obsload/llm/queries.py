@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsload.llm import blocks, bpe, langid, lbl, quality, simhash, suffixes, surrogates, tiling, toxicity, variants, whitening
+from obsload.llm import (
+    blocks,
+    bpe,
+    editprint,
+    langid,
+    lbl,
+    quality,
+    simhash,
+    suffixes,
+    surrogates,
+    tiling,
+    toxicity,
+    variants,
+    whitening,
+)
 from obsload.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -110,3 +124,9 @@ def op11_whitening(spark, folder):
 def op12_variants(spark, folder):
     """Words of all documents with their near words, forms and roots."""
     return variants.variants(table(spark, folder, "documents"))
+
+
+@query("op13_editprint")
+def op13_editprint(spark, folder):
+    """Fingerprints of every document and of its text edited by the next one, with their likeness."""
+    return editprint.with_next(table(spark, folder, "documents"))
