@@ -97,7 +97,7 @@ def _stream(batch: Sequence[str | None], v: Vocabulary) -> tuple[np.ndarray, ...
     words = [w for c in cut for w in c]
     starts = np.cumsum([0, *[len(c) for c in cut]])[:-1]
     at, out = v.rows(words)
-    one, two = np.r_[v.end, out[:-1]], np.r_[v.end, v.end, out[:-2]]
+    one, two = (np.r_[[v.end] * k, out][: len(out)].astype(np.int64) for k in (1, 2))
     two[starts] = v.end
     return words, at, out, one, two, starts
 

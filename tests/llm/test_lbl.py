@@ -69,3 +69,13 @@ def test_nulls_empty_texts_and_repeats(spark):
     assert lbl.scored(docs.limit(0), F.lit(True)).count() == 0
     none = lbl.scored(docs, F.lit(False)).collect()
     assert len(none) == 5 and all(r["n_known"] == 0 and r["base_score"] == 0 and r["score"] < 0 for r in none)
+
+
+def test_a_chunk_of_one_token(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "")], "doc_id long, text string")
+    v = lbl.vocabulary(lbl.word_counts(docs, "text").cache())
+    whole, alone = lbl._stream(["a b a", None], v), lbl._stream([None], v)
+    for x in alone[1:5]:
+        assert len(x) == 1
+    assert [x[-1] for x in whole[2:5]] == [x[0] for x in alone[2:5]]
+    assert lbl._stream(["a"], v)[4].tolist() == [v.end, v.end]
