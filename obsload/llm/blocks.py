@@ -42,7 +42,9 @@ PAGES_AT_ONCE = 64
 BLOCKS_AT_ONCE = 16_384  # of a batch, padding counted; a longer page is read in pieces of so many
 
 # fixed values: elements by the way they shape text
-RAW = frozenset("script style noscript template iframe svg math title textarea select option object canvas head".split())
+# left out with all they hold; the head of a page holds nothing else, and its end tag may be omitted
+RAW = frozenset("script style noscript template iframe svg math title textarea select datalist object canvas".split())
+TEXT_ONLY = frozenset("script style noscript iframe title textarea".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -114,7 +116,8 @@ def parse(page: str | None) -> list[Block]:
             if closing or (rest or "").rstrip().endswith("/"):
                 continue
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(text, at)
-            at = end.end() if end else len(text)
+            # without its end, what can hold text only takes the rest of the page, any other element nothing
+            at = end.end() if end else len(text) if name in TEXT_ONLY else at
         elif name == "a":
             in_link = not closing
         elif name in BLOCKS:

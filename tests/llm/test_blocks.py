@@ -120,3 +120,10 @@ def test_batches_are_bounded_by_padded_blocks_and_long_pages_read_in_pieces(monk
         p, _ = net.forward(*blocks._padded([blocks.features(cut)]))
         assert np.allclose(net.read(cut), p[:, 0], atol=1e-5)
         assert text == " ".join(b.text for b, k in zip(cut, p[:, 0] >= 0.5, strict=True) if k)
+
+
+def test_end_tags_that_may_be_left_out():
+    page = "<html><head><meta charset=utf-8><title>No</title><body><article><p>One<datalist><option>a<option>b</datalist> two"
+    assert [b.text for b in blocks.parse(page)] == ["One two"]
+    assert [b.text for b in blocks.parse("<p>One <svg><path d=x> two<p>three")] == ["One two", "three"]
+    assert [b.text for b in blocks.parse("<head><title>t</title></head><p>One <canvas> two")] == ["One two"]
