@@ -8,7 +8,9 @@ that the weights have not seen.
 
 Odd input: a text that is null or has no letter gets ``und`` with score 0. Documents without language or
 without id are not learned from. Where nothing can be learned every text gets ``und``; with one language
-every text with a letter gets that one. Extra columns pass untouched.
+every text with a letter gets that one. Very long texts are counted whole; of languages equally likely the first
+by name is taken, and repeated rows get equal predictions. An empty table gives an empty one. Extra columns pass
+untouched, but for those that bear the names of the results.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsload.llm.names import free
+
 DIMS = 1 << 15
 FIT_ROWS = 2000
 _BLOCK = 1 << 20
@@ -148,7 +152,7 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
                 buckets, n = counts(value.as_py())
                 df[buckets] += 1
                 if kept.as_py():
-                    packed = buckets.astype("<u2").tobytes() + np.minimum(n, 65_535).astype("<u2").tobytes()
+                    packed = buckets.astype("<u4").tobytes() + n.astype("<u4").tobytes()
                     chosen.append((name.as_py(), packed))
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
@@ -169,8 +173,8 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
         if r["packed"] is None:
             df[r["bucket"]] = r["n"]
         else:
-            half = len(r["packed"]) // 4
-            both = np.frombuffer(r["packed"], "<u2").astype(np.int64)
+            half = len(r["packed"]) // 8
+            both = np.frombuffer(r["packed"], "<u4").astype(np.int64)
             sample += [(both[:half], both[half:], languages.index(r["lang"]))] * r["rows"]
     idf = np.log((1 + sum(sizes.values())) / (1 + df)) + 1
     sample.sort(key=lambda s: (s[2], s[0].tobytes(), s[1].tobytes()))
@@ -192,8 +196,9 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", pred: str =
         names, scores = zip(*found, strict=True) if len(texts) else ((), ())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["p", "s"])
 
-    made = docs.withColumn("_language", F.arrow_udf(predict, "p string, s double")(F.col(text).cast("string")))
-    return made.withColumn(pred, F.col("_language.p")).withColumn(score, F.col("_language.s")).drop("_language")
+    (both,) = free(docs, "_language")
+    made = docs.withColumn(both, F.arrow_udf(predict, "p string, s double")(F.col(text).cast("string")))
+    return made.withColumn(pred, F.col(f"{both}.p")).withColumn(score, F.col(f"{both}.s")).drop(both)
 
 
 def remainder(doc_id: str, folds: int) -> Column:

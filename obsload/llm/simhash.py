@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsload.llm.names import free
 from obsload.workspace import written
 
 SEED = 42
@@ -255,11 +256,14 @@ def one_of_each_group(docs: DataFrame, words_each: int = 3, radius: int = 2, all
     Groups are those of the texts, so rows of one id that differ in text are each judged by their own. Rows
     without a ``doc_id`` all stay; where ``all_without_id`` is false they come after all others of their group.
     """
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_row": _row_hash(docs)})
-    fps = written(with_fingerprint(keyed, "text", words_each, "fp").select("doc_id", "_id", "_row", "fp"), "fingerprints")
+    id_, row_ = free(docs, "_id", "_row")
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), row_: _row_hash(docs)})
+    narrow = keyed.select("doc_id", "text", F.col(id_).alias("_id"), F.col(row_).alias("_row"))
+    fps = written(with_fingerprint(narrow, "text", words_each, "fp").drop("text"), "fingerprints")
     row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_id", "_row")
-    kept = _least_of_groups(fps, row, radius).select("least._id", "least._row").distinct()
+    kept = _least_of_groups(fps, row, radius)
+    kept = kept.select(F.col("least._id").alias(id_), F.col("least._row").alias(row_)).distinct()
     named = keyed.where(F.col("doc_id").isNotNull()) if all_without_id else keyed
     # equal rows go on the map side, before they can gather in one task
-    out = named.dropDuplicates(["_id", "_row"]).join(kept, ["_id", "_row"], "left_semi").select(*docs.columns)
+    out = named.dropDuplicates([id_, row_]).join(kept, [id_, row_], "left_semi").select(*[f"`{c}`" for c in docs.columns])
     return out.unionByName(docs.where(F.col("doc_id").isNull())) if all_without_id else out

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsload.functions.binding import let
+from obsload.llm.names import free
 from obsload.workspace import small_enough, written
 
 KEY = "surrogates"
@@ -284,6 +285,7 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY, count:
     ``count`` names a column to add, with the number of entities found.
     """
     said = F.col(text).cast("string")
+    row_key, tries, replaced = free(docs, "_row_key", "_attempts", "_replaced")
     later = written(beyond_first(docs, text, key), "later")
     attempts = F.lit(None).cast("map<string,int>")
     rows = docs
@@ -294,11 +296,11 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY, count:
         parts = found.distinct().select("row_key", F.explode(parts_of(F.col("entity"))).alias("p"))
         hit = parts.select("row_key", "p.kind", "p.form").distinct().join(later, ["kind", "form"])
         entry = F.struct(F.concat_ws("\x1f", "kind", "form"), "attempt")
-        per_text = hit.groupBy(F.col("row_key").alias("_row_key")).agg(F.map_from_entries(F.collect_set(entry)).alias("_attempts"))
+        per_text = hit.groupBy(F.col("row_key").alias(row_key)).agg(F.map_from_entries(F.collect_set(entry)).alias(tries))
         per_text = written(per_text, "attempts")
         if small_enough(per_text, 100_000, 16 << 20):
             per_text = F.broadcast(per_text)
-        rows, attempts = docs.join(per_text, F.xxhash64(said) == F.col("_row_key"), "left"), F.col("_attempts")
-    out = rows.withColumn("_replaced", _replaced(said, attempts, key)).withColumn(text, F.col("_replaced.text"))
-    counted = [F.col("_replaced.n").alias(count)] if count else []
-    return out.select(*[c for c in docs.columns if c != count], *counted)
+        rows, attempts = docs.join(per_text, F.xxhash64(said) == F.col(row_key), "left"), F.col(tries)
+    out = rows.withColumn(replaced, _replaced(said, attempts, key))
+    columns = [F.col(f"{replaced}.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != count]
+    return out.select(*columns, *([F.col(f"{replaced}.n").alias(count)] if count else []))

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obsload.llm.names import free
 from obsload.workspace import written
 
 LEAST = 5
@@ -226,6 +227,7 @@ _RESULT = ["doc_id", "text_hash", "item_id", "coverage", "item_words", "n_tiles"
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text leaks no benchmark item."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
+    leaking, hashed = free(docs, "_id", "_hash")
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias(leaking), F.col("text_hash").alias(hashed)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(leaking)) & (F.xxhash64(F.col("text").cast("string")) == F.col(hashed))
     return docs.join(found, same, "left_anti")
