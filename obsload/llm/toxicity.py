@@ -12,7 +12,9 @@ itself, weighted back to the share that its label has among all labelled documen
 
 Odd input: a null or empty text, or one without a known term, gets the score of no evidence. Labels that
 are null, without id or without document teach nothing; of repeated labels of one id the largest counts.
-With one label only, its share is the score of every text. Extra columns pass untouched.
+With one label only, its share is the score of every text. Very long texts are read whole; of examples equally
+near the one of the smaller label and id comes first; repeated rows get equal scores, and an empty table gives an
+empty one. Ids may be of any type. Extra columns pass untouched, but for those that bear the names of the results.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, LongType
 
+from obsload.llm.names import free
 from obsload.workspace import written
 
 EXAMPLES = 1500
@@ -50,17 +55,18 @@ class Index:
     terms: dict[str, int]
     idf: np.ndarray
     labels: np.ndarray
-    ids: np.ndarray
+    ids: list
     starts: np.ndarray  # of each term's postings
     example: np.ndarray
     weight: np.ndarray
     bounds: np.ndarray  # largest weight by term and block
     base: float
     slope: np.ndarray  # calibration: intercept, vote, similarity
+    kind: DataType  # of the ids
 
     @classmethod
-    def of(cls, terms: list[str], idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], base: float) -> Index:
-        """``rows``: id, label, term numbers and counts of each example."""
+    def of(cls, terms: list[str], idf: np.ndarray, rows: list[tuple[object, int, np.ndarray, np.ndarray]], base: float, kind: DataType | None = None) -> Index:
+        """``rows``: id, label, term numbers and counts of each example; ``kind`` is the type of the ids, else long."""
         n_blocks = max(1, -(-len(rows) // BLOCK))
         made = [(at, _normed(at, n, idf)) for _, _, at, n in rows]
         example = np.repeat(np.arange(len(rows)), [len(at) for at, _ in made])
@@ -72,9 +78,9 @@ class Index:
         np.maximum.at(bounds, (term, example // BLOCK), weight)
         starts = np.searchsorted(term, np.arange(len(terms) + 1))
         labels = np.array([r[1] for r in rows], dtype=np.int64)
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
+        ids = [r[0] for r in rows]
         names = {t: i for i, t in enumerate(terms)}
-        found = cls(names, idf, labels, ids, starts, example, weight, bounds, base, np.zeros(3))
+        found = cls(names, idf, labels, ids, starts, example, weight, bounds, base, np.zeros(3), kind or LongType())
         found.slope = found._calibrated(made)
         return found
 
@@ -141,7 +147,7 @@ class Index:
             return float(self.base), []
         near, sims = self.nearest(*self.vector(text))
         odds = float(np.clip(self._features(near, sims) @ self.slope, -30, 30))
-        return 1 / (1 + float(np.exp(-odds))), self.ids[near[:3]].tolist()
+        return 1 / (1 + float(np.exp(-odds))), [self.ids[i] for i in near[:3].tolist()]
 
 
 def _normed(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -168,8 +174,12 @@ def build(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
             columns = [pa.array([list(c) for c in counted], kinds[0]), pa.array([list(c.values()) for c in counted], kinds[1])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["id", "label", "words", "counts"])
 
-    texts = docs.join(F.broadcast(sample), F.col(doc_id) == F.col("_id")).select(F.col("_id").cast("long"), "label", F.col(text).cast("string"))
-    examples = written(texts.mapInArrow(split, "id long, label int, words array<string>, counts array<int>"), "examples")
+    said = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("text"))
+    texts = said.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_doc", "label", "text")
+    kind = docs.schema[doc_id].dataType
+    examples = written(
+        texts.mapInArrow(split, f"id {kind.simpleString()}, label int, words array<string>, counts array<int>"), "examples"
+    )
     examples = examples.dropDuplicates(["id"])
     sizes = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -190,9 +200,9 @@ def build(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
             columns = [pa.array([[x[k] for x in r] for r in rows], pa.list_(pa.int32())) for k in range(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["id", "label", "terms", "counts"])
 
-    kept = examples.mapInArrow(keep, "id long, label int, terms array<int>, counts array<int>").collect()
+    kept = examples.mapInArrow(keep, f"id {kind.simpleString()}, label int, terms array<int>, counts array<int>").collect()
     rows = [(r["id"], r["label"], np.array(r["terms"], np.int64), np.array(r["counts"], np.int64)) for r in kept]
-    return Index.of(terms, idf, sorted(rows, key=lambda r: (r[1], r[0])), base)
+    return Index.of(terms, idf, sorted(rows, key=lambda r: (r[1], r[0])), base, kind)
 
 
 def _idf(docs: DataFrame, terms: list[str], text: str) -> np.ndarray:
@@ -216,13 +226,14 @@ def _idf(docs: DataFrame, terms: list[str], text: str) -> np.ndarray:
 
 def with_toxicity(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, ``predicted`` and ``evidence``, the ids of the nearest examples."""
-    held = docs.sparkSession.sparkContext.broadcast(index)
+    held, kind = docs.sparkSession.sparkContext.broadcast(index), index.kind
 
     def rate(texts: pa.Array) -> pa.Array:
         rows = [held.value.score(t.as_py()) for t in texts]
-        columns = [pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))]
+        columns = [pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(to_arrow_type(kind)))]
         return pa.StructArray.from_arrays(columns, ["score", "evidence"])
 
-    made = docs.withColumn("_rated", F.arrow_udf(rate, "score double, evidence array<bigint>")(F.col(text).cast("string")))
-    made = made.withColumn("score", F.col("_rated.score")).withColumn("evidence", F.col("_rated.evidence")).drop("_rated")
+    (rated,) = free(docs, "_rated")
+    made = docs.withColumn(rated, F.arrow_udf(rate, f"score double, evidence array<{kind.simpleString()}>")(F.col(text).cast("string")))
+    made = made.withColumn("score", F.col(f"{rated}.score")).withColumn("evidence", F.col(f"{rated}.evidence")).drop(rated)
     return made.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -56,3 +56,12 @@ def test_nulls_empty_texts_repeats_and_one_label(spark):
     assert {r["score"] for r in toxicity.with_toxicity(docs, one).collect()} == {1.0}
     none = toxicity.build(docs.limit(0), labels.limit(0), F.lit(True))
     assert {r["score"] for r in toxicity.with_toxicity(docs, none).collect()} == {0.0}
+
+
+def test_ids_of_other_types_and_private_names(spark):
+    rows = [(f"d{i}", f"{'vile' if i % 2 else 'kind'} thing", "keep") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _id string").withColumn("_rated", F.lit(1))
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(40)], "doc_id string, toxic int")
+    out = toxicity.with_toxicity(docs, toxicity.build(docs, labels, F.lit(True))).collect()
+    assert all(r["predicted"] == int(r["text"].startswith("vile")) for r in out)
+    assert all(r["evidence"][0].startswith("d") and r["_id"] == "keep" and r["_rated"] == 1 for r in out)
