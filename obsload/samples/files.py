@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from obsload.sinks.tables import replace_partition, write_delimited
 from obsload.sources.delimited import numbered, ragged_issues, read_delimited, without_blank_records
 from obsload.sources.geojson import read_geojson
 from obsload.sources.profile import file_issues, profile_files, read_files
+from obsload.sources.split import read_records
 from obsload.sources.staging import read_staging
 from obsload.workspace import work_path
 
@@ -91,6 +93,42 @@ def record_numbering(spark, folder):
     )
 
 
+@contextmanager
+def file_blocks(spark, size):
+    """Files are cut into blocks of so many bytes, as large files are anyway."""
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, (size, 1024), strict=True):
+            spark.conf.set(n, v)
+        yield
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+
+
+@query(
+    "delimited_split_multiline",
+    """SELECT o_orderkey, o_orderkey // 5000 AS id_load,
+  row_number() OVER (PARTITION BY o_orderkey // 5000 ORDER BY o_orderkey) AS line_no,
+  'one; "' || o_custkey || '"' || chr(10) || chr(10) || 'two;' || repeat('x', CAST(o_orderkey % 300 AS INTEGER)) AS note
+FROM orders""",
+)
+def delimited_split_multiline(spark, folder):
+    """Files whose cells hold line breaks, quotes and separators, read in blocks that cut cells anywhere."""
+    key = F.col("o_orderkey")
+    filler = F.repeat(F.lit("x"), (key % 300).cast("int"))
+    note = F.concat(F.lit('"one; ""'), F.col("o_custkey"), F.lit('""\n\ntwo;'), filler, F.lit('"'))
+    listed = table(spark, folder, "orders").groupBy(F.floor(key / LINES_PER_FILE).alias("file_id")).agg(
+        F.array_sort(F.collect_list(F.struct(key, F.concat_ws(";", key, note).alias("line")))).alias("lines")
+    )
+    lines = F.array_join(F.transform("lines", lambda s: s["line"]), "\n")
+    path = written_texts(listed.select("file_id", F.concat(F.lit("id;note\n"), lines).alias("content")), "split")
+    with file_blocks(spark, 64 * 1024):
+        records = read_records(spark, path, ["id", "note"], id_load=file_number())
+    return records.select(F.col("id").cast("long").alias("o_orderkey"), F.col("id_load").cast("long"), "line_no", "note")
+
+
 @query(
     "ragged_records",
     """SELECT o_orderkey // 5000 AS id_load, o_orderkey % 5000 + 1 AS line_no,

@@ -45,7 +45,7 @@ def read_delimited(
     differ, and so does this function on bytes that do not fit the encoding.
 
     ``multiline`` keeps line breaks inside quoted cells and makes each file one task; turn it off for
-    huge files without such cells, which are then split.
+    huge files without such cells, which are then split. :func:`obsload.sources.split.read_records` splits both.
     """
     refuse_undecodable(spark, paths, encoding)
     schema = StructType([StructField(c, StringType()) for c in [*columns, CORRUPT]])
