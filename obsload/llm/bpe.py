@@ -9,7 +9,9 @@ rounds end when no word holds a known pair.
 
 Results for odd input: a null or empty text has no ids; the text of an added token inside a document
 becomes that token, as in the tokenizers library; null ids decode to the empty text; an id outside the
-vocabulary raises.
+vocabulary raises. Very long texts are encoded whole, in chunks of texts and never of one text. Of pairs of one
+rank the first merges, as in the library. Repeated rows have equal ids; an empty table gives an empty one.
+Extra columns pass untouched, but for one that bears the name of the result.
 """
 
 from __future__ import annotations
@@ -253,25 +255,48 @@ def _chunks(column: pa.Array) -> Iterable[list[str]]:
     yield chunk
 
 
+def _tables(docs: DataFrame, path: str) -> tuple[str, Broadcast]:
+    """The vocabulary as a broadcast, and a digest by which workers know it again."""
+    vocabulary = Vocabulary.read(path)
+    mark = xxhash.xxh128_hexdigest(vocabulary.keys.tobytes() + vocabulary.made.tobytes())
+    return mark, docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+
 def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of a text column as binary: little-endian unsigned 32-bit integers.
 
     Other columns pass untouched; a column already named ``ids`` is replaced.
     """
-    vocabulary = Vocabulary.read(path)
-    tables = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    mark = xxhash.xxh128_hexdigest(vocabulary.keys.tobytes() + vocabulary.made.tobytes())
+    mark, tables = _tables(docs, path)
 
     def encode(column: pa.Array) -> pa.Array:
         encoder = _encoder(mark, tables)
         return pa.array([x for chunk in _chunks(column) for x in encoder.encode(chunk)], pa.binary())
 
-    return docs.withColumn(ids, F.arrow_udf(encode, "binary")(F.col(text).cast("string")))
+    return docs.withColumn(ids, F.arrow_udf(encode, "binary")(F.col(f"`{text}`").cast("string")))
+
+
+def coded(text: Column | str, path: str, like: DataFrame) -> Column:
+    """Column ``struct<ids, decoded>`` of a text: its token ids as in :func:`with_ids`, and the text they stand for.
+
+    Both come from one call, so a text is encoded once however often the fields are used. ``like`` names the
+    session. Odd input is taken as the module states; very long texts are encoded whole, repeated rows alike.
+    """
+    mark, tables = _tables(like, path)
+
+    def both(column: pa.Array) -> pa.Array:
+        encoder, v = _encoder(mark, tables), tables.value
+        ids = [x for chunk in _chunks(column) for x in encoder.encode(chunk)]
+        texts = pa.array([decode_ids(x, v) for x in ids], pa.string())
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), texts], ["ids", "decoded"])
+
+    given = F.col(f"`{text}`") if isinstance(text, str) else text
+    return F.arrow_udf(both, "ids binary, decoded string")(given.cast("string"))
 
 
 def decoded(ids: Column | str, path: str, like: DataFrame) -> Column:
     """Column of the texts that ``ids`` stand for; ``like`` names the session."""
-    tables = like.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
+    tables = _tables(like, path)[1]
 
     def decode(column: pa.Array) -> pa.Array:
         return pa.array([decode_ids(x.as_py() or b"", tables.value) for x in column], pa.string())

@@ -31,12 +31,12 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 def op10_bpe(spark, folder):
     """Digests of the ids of every document and of the text they decode to."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.with_ids(docs, BYTE_BPE).select("doc_id", "ids")
+    coded = docs.select("doc_id", bpe.coded("text", BYTE_BPE, docs).alias("coded"))
     return coded.select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode(bpe.decoded("ids", BYTE_BPE, coded), "utf-8"), 256).alias("decoded_sha256"),
+        (F.octet_length("coded.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("coded.ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("coded.decoded", "utf-8"), 256).alias("decoded_sha256"),
     )
 
 

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,3 +72,22 @@ def test_query_matches_the_library(spark):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_texts_are_encoded_once_a_row(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "doc_id long, text string, coded string")
+    for made in (op10_bpe(spark, "/root/testdata/sf0.001"), corpus_pipeline.token_ids(spark, docs, "")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [both(") == 1 and plan.count("both(") == plan.count("ArrowEvalPython")
+    both = docs.select("doc_id", bpe.coded("text", PATH, docs).alias("c")).select("doc_id", "c.ids", "c.decoded")
+    assert {r["doc_id"]: (len(r["ids"]), r["decoded"]) for r in both.collect()} == {1: (8, "a b"), 2: (0, "")}
+
+
+def test_very_long_texts_are_encoded_whole():
+    long = "some words and 12 numbers, " * (bpe.CHUNK_CHARS // 25)
+    assert len(long) > bpe.CHUNK_CHARS
+    found = [x for c in bpe._chunks(pa.array(["a", long, None, "b"])) for x in bpe.Encoder(VOCABULARY).encode(c)]
+    assert np.frombuffer(found[1], "<u4").tolist() == LIBRARY.encode(long, add_special_tokens=False).ids
+    assert found[2] == b"" and bpe.decode_ids(found[1], VOCABULARY) == long
