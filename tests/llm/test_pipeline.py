@@ -84,3 +84,24 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     one, other = ([tuple(r) for r in out.collect()] for out in found)
     assert sorted((r[0] or 0, r[1] or "") for r in one) == sorted([(3, near), (7, a), (9, b), (9, c), (0, d), (12, "")])
     assert set(one) == set(other)  # whichever way the rows lie
+
+
+def test_columns_named_like_those_of_the_stages(spark, tmp_path):
+    names = ["_id", "_row", "_hash", "_pred", "_sure", "_language", "_replaced", "_attempts", "_row_key", "_coded", "_decoded", "_CODED"]
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        schema = "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names)
+        rows = [
+            (1, "the house and the garden of the man who sold the boat to anna.berg@example.com", "en"),
+            (2, "la casa y el jardín del hombre que vendió el barco a su hermana", "es"),
+        ]
+        folder = str(tmp_path)
+        docs = spark.createDataFrame([(*r, *[f"keep {n}" for n in names]) for r in rows], schema)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, "other words than those of the texts")], "item_id long, text string").write.parquet(
+            f"{folder}/benchmark.parquet"
+        )
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert len(out) == 2 and all(r[n] == f"keep {n}" for r in out for n in names)
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
