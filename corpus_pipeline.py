@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsload.llm import bpe, langid, simhash, surrogates, tiling
+from obsload.llm.names import free
 from obsload.llm.registry import table
 from obsload.workspace import work_path
 
@@ -42,8 +43,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.lit(True))
     if not model.languages:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
-    named = langid.with_language(docs, model, pred="_pred", score="_sure")
-    return named.where((F.col("_pred") != "und") & (F.col("_sure") >= SURE)).select(*docs.columns)
+    pred, sure = free(docs, "_pred", "_sure")
+    named = langid.with_language(docs, model, pred=pred, score=sure)
+    return named.where((F.col(pred) != "und") & (F.col(sure) >= SURE)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,14 +62,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.with_ids(docs, TOKENIZER)
-    decoded = coded.withColumn("_decoded", bpe.decoded("ids", TOKENIZER, coded))
-    return decoded.select(
-        *[c for c in docs.columns if c not in MADE],
-        "ids",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.length("_decoded").cast("long").alias("decoded_chars"),
-        F.sha2(F.encode("_decoded", "utf-8"), 256).alias("decoded_sha256"),
+    (coded,) = free(docs, "_coded")
+    kept = [f"`{c}`" for c in docs.columns if c not in MADE]
+    made = docs.select(*kept, bpe.coded("text", TOKENIZER, docs).alias(coded))
+    return made.select(
+        *kept,
+        f"{coded}.ids",
+        (F.octet_length(f"{coded}.ids") / 4).cast("long").alias("n_tokens"),
+        F.length(f"{coded}.decoded").cast("long").alias("decoded_chars"),
+        F.sha2(F.encode(f"{coded}.decoded", "utf-8"), 256).alias("decoded_sha256"),
     )
 
 
