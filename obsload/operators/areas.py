@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsload.functions.crs import GEOGRAPHIC, reproject
-from obsload.functions.geometry import bounds, centroid, in_rings, on_edges, segments
+from obsload.functions.geometry import bounds, centroid, first_vertex, in_rings, on_edges, segments
 from obsload.operators.keyed import BROADCAST_BYTES, BROADCAST_KEYS, fetch
 from obsload.workspace import small_enough, written
 
@@ -26,28 +26,62 @@ EDGE = "struct<x0:double,y0:double,x1:double,y1:double>"
 RESTRICTION_CELLS = 64
 
 
-ATTACHED = ["id_area_attachment", "area_geom", "area_geom_4326", "area_point"]
+# what a row carries of its area; shapes stay in the referential until rows are appended
+ATTACHED = ["id_area_attachment", "area_x", "area_y"]
+AREA_SHAPES = ["the_geom_local", "the_geom_4326"]
 
 
 def attachment_table(areas: DataFrame, local: int) -> DataFrame:
-    """One area per code field and code, with both geometries and the centre.
+    """One area per code field and code, with its centre: the one of the lowest identifier.
 
-    Reprojected and centred here, once per area instead of once per row attached to it.
+    Reprojected and centred here, once per area instead of once per row attached to it. Areas without a
+    shape place nothing.
     """
     kind = F.lit(None).cast("string")
     for name, types in AREA_TYPES.items():
         kind = F.when(F.col("type").isin(*types), F.lit(name)).otherwise(kind)
     single = (
         areas.select(kind.alias("code_field"), F.col("code").alias("area_code"), "id_area", "geom")
-        .where(F.col("code_field").isNotNull())
+        .where(F.col("code_field").isNotNull() & F.col("geom").isNotNull())
         .groupBy("code_field", "area_code")
         .agg(
             F.min("id_area").alias("id_area_attachment"),
             F.min_by("geom", "id_area").alias("area_geom"),
         )
     )
-    moved = single.withColumn("area_geom_4326", reproject(F.col("area_geom"), local, GEOGRAPHIC))
-    return moved.withColumn("area_point", centroid(F.col("area_geom_4326")))
+    centre = first_vertex(centroid(reproject(F.col("area_geom"), local, GEOGRAPHIC)))
+    placed = single.select("code_field", "area_code", "id_area_attachment", centre.alias("centre"))
+    return placed.select("code_field", "area_code", "id_area_attachment", F.col("centre.x").alias("area_x"), F.col("centre.y").alias("area_y"))
+
+
+def area_code(code_columns: dict[str, str], needs: Column) -> tuple[Column, Column]:
+    """Field and value of the first filled code of a row that ``needs`` marks, null for others."""
+    field = F.lit(None).cast("string")
+    code = F.lit(None).cast("string")
+    for name in reversed([n for n in AREA_TYPES if n in code_columns]):
+        given = needs & F.col(code_columns[name]).isNotNull()
+        field = F.when(given, F.lit(name)).otherwise(field)
+        code = F.when(given, F.col(code_columns[name])).otherwise(code)
+    return field, code
+
+
+def with_area_shapes(rows: DataFrame, areas: DataFrame, local: int) -> DataFrame:
+    """Shapes of the areas that rows without a position of their own are attached to, by identifier.
+
+    Each area in use is reprojected once; few and small ones are broadcast, so that rows are not shuffled.
+    """
+    lacking = F.col("the_geom_local").isNull() & F.col("id_area_attachment").isNotNull()
+    used = rows.where(lacking).select(F.col("id_area_attachment").alias("_area")).distinct()
+    once = areas.groupBy(F.col("id_area").alias("_area")).agg(F.min_by("geom", F.xxhash64("code")).alias("_local"))
+    shapes = once.join(used, "_area").withColumn("_geographic", reproject(F.col("_local"), local, GEOGRAPHIC))
+    shapes = written(shapes, "area-shapes")
+    keyed = rows.withColumn("_area", F.when(lacking, F.col("id_area_attachment")))
+    if small_enough(shapes, BROADCAST_KEYS, BROADCAST_BYTES):
+        joined = keyed.join(F.broadcast(shapes), "_area", "left")
+    else:
+        joined = fetch(keyed, shapes, ["_area"], ["_local", "_geographic"], F.col("line_no"), unique=True)
+    own = {n: F.coalesce(n, made) for n, made in zip(AREA_SHAPES, ("_local", "_geographic"), strict=True)}
+    return joined.withColumns(own).select(*rows.columns)
 
 
 def attach_by_code(
@@ -60,15 +94,10 @@ def attach_by_code(
     settle: bool = False,
 ) -> DataFrame:
     """The ``ATTACHED`` columns for the rows that ``needs`` marks, from their first filled code."""
-    field = F.lit(None).cast("string")
-    code = F.lit(None).cast("string")
-    for name in reversed([n for n in AREA_TYPES if n in code_columns]):
-        given = needs & F.col(code_columns[name]).isNotNull()
-        field = F.when(given, F.lit(name)).otherwise(field)
-        code = F.when(given, F.col(code_columns[name])).otherwise(code)
+    field, code = area_code(code_columns, needs)
     keyed = df.withColumns({"code_field": field, "area_code": code})
     found = fetch(
-        keyed, attachment_table(areas, local), ["code_field", "area_code"], ATTACHED, spread, settle
+        keyed, attachment_table(areas, local), ["code_field", "area_code"], ATTACHED, spread, settle, unique=True
     )
     return found.drop("code_field", "area_code")
 
@@ -156,7 +185,7 @@ def areas_of_points(
     )
     cx, cy = cell_of(F.col(x), F.col(y), size)
     keyed = points.withColumns({"cx": cx, "cy": cy})
-    looked = fetch(keyed, per_cell, ["cx", "cy"], ["candidates"], spread)
+    looked = fetch(keyed, per_cell, ["cx", "cy"], ["candidates"], spread, unique=True)
     hits = F.filter("candidates", lambda c: _holds(c, F.col(x), F.col(y), False))
     ids = F.array_sort(F.transform(hits, lambda c: c["id_area"]))
     return looked.withColumn("id_areas", F.coalesce(ids, F.array().cast("array<int>"))).select(
@@ -199,7 +228,7 @@ def point_outside(
     if small_enough(cells, BROADCAST_KEYS, BROADCAST_BYTES):
         joined = placed.join(F.broadcast(cells), keys, "left")
     else:
-        joined = fetch(placed, cells, keys, ["full", "edges"], spread)
+        joined = fetch(placed, cells, keys, ["full", "edges"], spread, unique=True)
     held = F.coalesce(
         _holds(F.struct("full", "edges"), F.col("_px"), F.col("_py"), True), F.lit(False)
     )

@@ -9,6 +9,9 @@ from obsload.functions.geometry import first_vertex, in_rings, is_areal
 from obsload.operators.areas import banded_cells
 from obsload.operators.keyed import key_counts, left_lookup
 
+AREA_KEY = "area "
+
+
 def _touches_box(e: Column, left: Column, bottom: Column, size: float) -> Column:
     """A segment meets a square: boxes overlap and the corners are not all on one side of it."""
     right, top = left + size, bottom + size
@@ -49,11 +52,12 @@ def shape_altitudes(shapes: DataFrame, grid: DataFrame, cell: float) -> DataFram
 
 def with_altitudes(
     df: DataFrame, geom: str, grid: DataFrame, cell: float, wanted: Column, spread: Column,
-    settle: bool = False,
+    settle: bool = False, areas: DataFrame | None = None, area: Column | None = None,
 ) -> DataFrame:
     """Adds ``alt_low`` and ``alt_high`` under the geometry of the rows ``wanted`` marks.
 
-    Each distinct position or shape is answered once, so rows sharing one cost nothing more.
+    Each distinct position or shape is answered once, so rows sharing one cost nothing more. A row without a
+    geometry is answered by the area ``area`` names, one of ``areas(geo_key, geom)``.
     """
     g = F.col(geom)
     head = first_vertex(g)
@@ -63,12 +67,14 @@ def with_altitudes(
     key = F.when(wanted & is_point, F.concat_ws(":", cx, cy)).when(
         wanted & g.isNotNull(), F.sha2(F.to_json(g), 256)
     )
+    if area is not None:
+        key = F.coalesce(key, F.when(wanted & g.isNull(), area))
     # a cell given twice answers once
     grid = grid.groupBy("cx", "cy").agg(F.min("alt").alias("alt"))
     keyed = df.withColumn("geo_key", key)
     counts = key_counts(keyed, ["geo_key"])
     pieces = F.split("geo_key", ":")
-    located = counts.where(F.col("geo_key").contains(":")).select(
+    located = counts.where(F.col("geo_key").rlike("^-?[0-9]+:-?[0-9]+$")).select(
         "geo_key", "n", pieces[0].cast("long").alias("cx"), pieces[1].cast("long").alias("cy")
     )
     points = located.join(grid, ["cx", "cy"]).select(
@@ -79,6 +85,9 @@ def with_altitudes(
         .select("geo_key", g.alias("geom"))
         .dropDuplicates(["geo_key"])
     )
+    if areas is not None:
+        named = counts.where(F.startswith("geo_key", F.lit(AREA_KEY))).select("geo_key")
+        shapes = shapes.unionByName(areas.join(named, "geo_key", "left_semi").select("geo_key", "geom"))
     covered = counts.join(shape_altitudes(shapes, grid, cell), "geo_key").select(points.columns)
     found = points.unionByName(covered)
     looked = left_lookup(keyed, found, ["geo_key"], ["alt_low", "alt_high"], counts, spread, settle)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsload.functions.crs import GEOGRAPHIC, reproject
-from obsload.functions.geometry import GEOMETRY
 from obsload.model.dictionary import Field
 from obsload.model.error_types import GEOMETRY_COLUMNS
 from obsload.operators.areas import AREA_TYPES, attach_by_code
@@ -28,26 +27,29 @@ def attach_areas(
     df: DataFrame, areas: DataFrame | None, fields: dict[str, Field], local: int, spread: Column,
     settle: bool = False,
 ) -> DataFrame:
-    """Geometries, centre and area of the valid rows that only give an area code."""
-    codes = {name: fields[name].source_column for name in AREA_TYPES if name in fields}
+    """Area of the valid rows that only give an area code, and its centre as ``area_x`` and ``area_y``.
+
+    Shapes do not travel with rows: :func:`obsload.operators.areas.with_area_shapes` fills them in at the end.
+    """
+    codes = code_columns(fields)
     if areas is None or not codes:
-        nothing = F.lit(None)
-        return df.withColumns(
-            {"id_area_attachment": nothing.cast("int"), "area_point": nothing.cast(GEOMETRY)}
-        )
-    needs = F.col("row_ok") & F.col("geom").isNull()
-    looked = attach_by_code(df, areas, codes, local, needs, spread, settle)
-    return looked.withColumns(
-        {
-            "the_geom_local": F.coalesce("the_geom_local", "area_geom"),
-            "the_geom_4326": F.coalesce("the_geom_4326", "area_geom_4326"),
-        }
-    ).drop("area_geom", "area_geom_4326")
+        kinds = {"id_area_attachment": "int", "area_x": "double", "area_y": "double"}
+        return df.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items()})
+    return attach_by_code(df, areas, codes, local, needs_area(), spread, settle)
+
+
+def code_columns(fields: dict[str, Field]) -> dict[str, str]:
+    return {name: fields[name].source_column for name in AREA_TYPES if name in fields}
+
+
+def needs_area() -> Column:
+    """A valid row without a position of its own."""
+    return F.col("row_ok") & F.col("geom").isNull()
 
 
 def attachment_checks(fields: dict[str, Field], label) -> list[Check]:
     """A code given by a valid row that led to no geometry, and valid rows left without any."""
-    unplaced = F.col("row_ok") & F.col("the_geom_4326").isNull()
+    unplaced = F.col("row_ok") & F.col("the_geom_4326").isNull() & F.col("id_area_attachment").isNull()
     checks, explained = [], F.lit(False)
     for name in AREA_TYPES:
         if name in fields:

@@ -11,6 +11,7 @@ instead of piling up in the partition of the null key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,17 +122,145 @@ def fetch(
     values: Sequence[str],
     spread: Column,
     settle: bool = False,
+    unique: bool = False,
 ) -> DataFrame:
     """``values`` of a dimension, looked up once per distinct key of ``rows``.
 
-    Rows never multiply: of several lines of the dimension with one key the smallest counts.
+    Rows never multiply: of several lines of the dimension with one key the smallest counts. ``unique`` says that
+    the dimension holds each key once, so that its values, which may be whole shapes, are neither grouped nor compared.
     """
     counts = key_counts(rows, keys)
-    met = counts.join(dimension.select(*keys, *values), list(keys))
-    found = met.groupBy(*keys, "n").agg(F.min(F.struct(*values)).alias("_found")).select(*keys, "n", "_found.*")
+    found = counts.join(dimension.select(*keys, *values), list(keys))
+    if not unique:
+        found = found.groupBy(*keys, "n").agg(F.min(F.struct(*values)).alias("_found")).select(*keys, "n", "_found.*")
     return left_lookup(rows, found, keys, values, counts, spread, settle)
 
 
+@dataclass(frozen=True)
+class Question:
+    """What is asked about the key of every row; column ``flag`` is true where the answer is yes.
+
+    ``REPEATED``: other rows have the key too. ``ABSENT`` and ``PRESENT``: it is missing from, or found in, the one
+    column of ``known``, which may hold a key many times. A key with a null part is not asked about.
+    """
+
+    flag: str
+    keys: tuple[str, ...]
+    asks: str
+    known: DataFrame | None = None
+
+
+REPEATED, ABSENT, PRESENT = "repeated", "absent", "present"
+
+#: bits of a filter for each key it holds, of one hash: one key in 17 passes for nothing
+FILTER_BITS = 16
+_BITMAP_BITS = 32_768
+
+
+def _key_text(keys: Sequence[str]) -> Column:
+    """One text for each complete key, null for others; equal texts stand for equal keys."""
+    if len(keys) == 1:
+        return F.col(keys[0]).cast("string")
+    complete = F.lit(True)
+    for key in keys:
+        complete = complete & F.col(key).isNotNull()
+    return F.when(complete, F.to_json(F.struct(*keys)))
+
+
+def possible(rows: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in the one column of ``keys``, which has ``n`` lines.
+
+    The keys become a Bloom filter of bitmaps, broadcast; where it would outgrow ``BROADCAST_BYTES`` all rows stay.
+    """
+    size = max(_BITMAP_BITS, 1 << (max(1, n) * FILTER_BITS - 1).bit_length())
+    if size // 8 > BROADCAST_BYTES:
+        return rows
+
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(size))
+
+    held = keys.select(place(F.col(keys.columns[0])).alias("p"))
+    bits = held.groupBy((F.col("p") / _BITMAP_BITS).cast("long").alias("_part")).agg(
+        F.bitmap_construct_agg(F.col("p") % _BITMAP_BITS).alias("_map")
+    )
+    at = rows.withColumn("_p", place(F.col(key))).withColumn("_part", (F.col("_p") / _BITMAP_BITS).cast("long"))
+    byte = F.substring("_map", (F.col("_p") % _BITMAP_BITS / 8).cast("int") + 1, F.lit(1))
+    set_ = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), (F.col("_p") % 8).cast("int")) == 1
+    return at.join(F.broadcast(bits), "_part").where(set_).select(*rows.columns)
+
+
+def answers(source: DataFrame, questions: Sequence[Question], row_id: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keys asked about by row, their counts, and those with an answer as ``(kind, key, n, bits)``.
+
+    All keys of a row are counted in one pass over ``source``, with map-side combining, and all referentials meet
+    the distinct keys in one join; only keys that may match come that far.
+    """
+    kinds = list(dict.fromkeys(q.keys for q in questions))
+    entries = []
+    for i, keys in enumerate(kinds):
+        text = _key_text(keys)
+        entries.append(F.when(text.isNotNull(), F.struct(F.lit(i).alias("kind"), text.alias("key"))))
+    exploded = source.select(*row_id, F.explode(F.array_compact(F.array(*entries))).alias("_asked"))
+    asked = exploded.select(*row_id, "_asked.kind", "_asked.key")
+    counts = written(key_counts(asked, ["kind", "key"]), "counts")
+    sizes = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    met, bits = counts.withColumn("there", F.lit(0)), F.lit(0)
+    there = None
+    for bit, q in enumerate(questions):
+        kind = kinds.index(q.keys)
+        of_kind = F.col("kind") == kind
+        if q.asks == REPEATED:
+            bits = bits + F.when(of_kind & (F.col("n") > 1), 1 << bit).otherwise(0)
+            continue
+        known = q.known.select(F.col(q.known.columns[0]).try_cast(source.schema[q.keys[0]].dataType).cast("string").alias("key"))
+        near = possible(known, "key", counts.where(of_kind).select("key"), sizes.get(kind, 0))
+        held = near.select(F.lit(kind).alias("kind"), "key", F.lit(1 << bit).alias("there"))
+        there = held if there is None else there.unionByName(held)
+        is_there = F.col("there").bitwiseAND(1 << bit) != 0
+        bits = bits + F.when(of_kind & (is_there if q.asks == PRESENT else ~is_there), 1 << bit).otherwise(0)
+    if there is not None:
+        once = there.groupBy("kind", "key").agg(F.bit_or("there").alias("there"))
+        met = counts.join(once, ["kind", "key"], "left").withColumn("there", F.coalesce("there", F.lit(0)))
+    found = met.select("kind", "key", "n", bits.alias("bits")).where("bits <> 0")
+    return asked, counts, written(found, "answers")
+
+
+def with_answers(
+    rows: DataFrame, questions: Sequence[Question], row_id: Sequence[str], source: DataFrame | None = None,
+    broadcast_keys: int = BROADCAST_KEYS,
+) -> DataFrame:
+    """``rows`` with the flag of every question.
+
+    ``source`` holds the same rows with their keys, best as a written table; ``row_id`` names its columns that tell
+    rows apart. Few answers are broadcast. Many come back as one bitmap a row: they meet the narrow keys first, hot
+    ones by broadcast, and the rows join the bitmaps on their unique id.
+    """
+    if not questions:
+        return rows
+    kinds = list(dict.fromkeys(q.keys for q in questions))
+    source = rows if source is None else source
+    asked, counts, found = answers(source, questions, row_id)
+    columns = rows.columns
+    if small_enough(found, broadcast_keys, BROADCAST_BYTES):
+        for i, keys in enumerate(kinds):
+            own = found.where(F.col("kind") == i).select(F.col("key").alias(f"_asked{i}"), F.col("bits").alias(f"_answer{i}"))
+            rows = rows.withColumn(f"_asked{i}", _key_text(keys)).join(F.broadcast(own), f"_asked{i}", "left")
+        bits = {keys: F.col(f"_answer{i}") for i, keys in enumerate(kinds)}
+    else:
+        looked = left_lookup(asked, found, ["kind", "key"], ["bits"], counts, F.xxhash64(*row_id))
+        marks = looked.where(F.col("bits").isNotNull()).groupBy(*row_id).agg(F.bit_or("bits").alias("_answer"))
+        marks = written(marks, "marks")
+        if small_enough(marks, broadcast_keys, BROADCAST_BYTES):
+            marks = F.broadcast(marks)
+        rows = rows.join(marks, list(row_id), "left")
+        bits = {keys: F.col("_answer") for keys in kinds}
+    flags = [
+        F.coalesce(bits[q.keys].bitwiseAND(1 << i) != 0, F.lit(False)).alias(q.flag) for i, q in enumerate(questions)
+    ]
+    return rows.select(*columns, *flags)
+
+
 def flag_duplicates(
     rows: DataFrame, keys: Sequence[str], flag: str, spread: Column, settle: bool = False
 ) -> DataFrame:
@@ -147,11 +276,14 @@ def flag_duplicate_records(
 
     Digests of the records are compared, so wide records travel as 32 bytes.
     """
-    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}), 256)
-    marked = flag_duplicates(rows.withColumn("_record", digest), ["_record"], flag, spread, settle)
+    marked = flag_duplicates(rows.withColumn("_record", record_digest(columns)), ["_record"], flag, spread, settle)
     return marked.drop("_record")
 
 
+def record_digest(columns: Sequence[str]) -> Column:
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}), 256)
+
+
 def flag_unknown(
     rows: DataFrame,
     key: str,

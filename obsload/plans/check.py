@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsload.functions.geometry import centroid, first_vertex
+from obsload.functions.geometry import centroid, first_vertex, point
 from obsload.functions.scalars import row_uuid
 from obsload.functions.shapes import disjoint_from, is_valid
 from obsload.model.dictionary import DICTIONARY, Dictionary
@@ -16,10 +16,10 @@ from obsload.model.error_types import GEOMETRY_FIELDS
 from obsload.model.loads import Dimensions, Load, Settings
 from obsload.operators import areas as area_ops
 from obsload.operators import vocabulary as vocab_ops
-from obsload.operators.elevation import filled_altitudes, with_altitudes
+from obsload.operators.elevation import AREA_KEY, filled_altitudes, with_altitudes
 from obsload.operators.georef import attach_areas, attachment_checks, both_systems
 from obsload.operators.issues import Check, has_error, long_issues, with_issues
-from obsload.operators.keyed import fetch, flag_duplicate_records, flag_duplicates, flag_existing, flag_lines, flag_unknown
+from obsload.operators.keyed import ABSENT, PRESENT, REPEATED, Question, fetch, flag_lines, record_digest, with_answers
 from obsload.operators.rows import row_checks
 from obsload.operators.sets import date_checks, range_checks, url_check
 from obsload.workspace import written
@@ -47,23 +47,25 @@ def check_load(
     Extra checks may name staged and target columns; a code of their own needs a level.
     ``report_duplicate_rows`` adds the comparison of whole records, one more shuffle of digests.
 
-    The row stage is written once; every key count then scans two or three of its columns, and the
-    final pass joins the small answers back. The result is written too, so reports, previews and
-    the append read it instead of recomputing it.
+    The row stage is written once. All keys that are looked up are counted in one narrow scan of it, shapes
+    are judged in another; no look-up reads what an earlier one has joined. The final pass joins the answers
+    to the rows. Its result is written too, so reports, previews and the append read it instead of
+    recomputing it. Rows attached to an area name it; its shape is joined when they are appended.
     """
     fields = load.mapped(dictionary)
     spread = F.col("line_no")
     label = _labels(load)
 
-    rows = written(row_checks(staged, load, settings, dictionary), "row-checks")
-    rows = _missing_targets(rows, dictionary)
+    base = written(row_checks(staged, load, settings, dictionary), "row-checks")
+    rows = _missing_targets(base, dictionary)
     rows = both_systems(rows, load.srid, settings.local_srid)
     rows = attach_areas(rows, dims.areas, fields, settings.local_srid, spread, settle=True)
     rows = with_issues(rows, attachment_checks(fields, label))
 
     rows = _vocabulary_stage(rows, load, dims, settings, dictionary, label)
-    rows, reference_checks = _reference_stage(rows, load, dims, settings, label, fields)
-    rows, altitude_checks = _altitude_stage(rows, load, dims, label, fields)
+    staged_cells = [c for c in staged.columns if c not in ("line_no", "_ragged")] if report_duplicate_rows else []
+    rows, reference_checks = _reference_stage(rows, base, load, dims, settings, label, fields, staged_cells)
+    rows, altitude_checks = _altitude_stage(rows, load, dims, settings, label, fields)
     if load.wants("unique_id_sinp_generate", settings.generate_missing_uuid):
         rows = _generated_uuid(rows, fields, settings)
 
@@ -77,22 +79,20 @@ def check_load(
         checks.append(url_check("digital_proof", label("digital_proof")))
     if "WKT" in fields:
         # only lines and polygons go through Python, in a narrow scan of their own
-        shapes = rows.where(F.col("geom.kind") != "POINT").select("id_load", "line_no", "geom")
+        shapes = base.where(F.col("geom.kind") != "POINT").select("id_load", "line_no", "geom")
         rows = flag_lines(rows, shapes.where(~is_valid(F.col("geom"))), "_unsound")
         given = F.col(fields["WKT"].source_column).isNotNull()
         checks.append(Check("INVALID_GEOMETRY", label("WKT"), given & F.col("_unsound")))
-    if report_duplicate_rows:
-        staged_cells = [c for c in staged.columns if c not in ("line_no", "_ragged")]
-        rows = flag_duplicate_records(rows, staged_cells, "_same_row", spread, settle=True)
-        checks.append(Check("DUPLICATE_ROWS", "", F.col("_same_row")))
     rows = with_issues(rows, [*checks, *extra_checks])
     if settings.restrict_to_area is not None and dims.areas is not None:
         rows = _restriction_stage(rows, dims, settings)
     valid = ~has_error(F.col("issues"), extra_checks)
     # the centre only matters for rows that reach the target
-    located = F.when(valid, F.coalesce("area_point", centroid(F.col("the_geom_4326"))))
+    of_area = F.when(F.col("area_x").isNotNull(), point(F.col("area_x"), F.col("area_y")))
+    located = F.when(valid, F.coalesce(of_area, centroid(F.col("the_geom_4326"))))
     rows = rows.withColumns({"valid": valid, "the_geom_point": located})
-    rows = rows.drop("row_ok", "geom", "has_position", "area_point", *[c for c in rows.columns if c.startswith("_")])
+    made = ("row_ok", "geom", "has_position", "area_x", "area_y")
+    rows = rows.drop(*made, *[c for c in rows.columns if c.startswith("_")])
     done = written(rows, "checked")
     return Checked(done, long_issues(done))
 
@@ -157,52 +157,58 @@ def importable_taxa(dims: Dimensions, id_list: int | None) -> DataFrame:
     return taxa.join(listed, "cd_nom", "left_semi")
 
 
-def _reference_stage(rows, load, dims, settings, label, fields):
-    spread, checks = F.col("line_no"), []
-
-    def raise_on(flag: str, code: str, name: str) -> None:
-        checks.append(Check(code, label(name), F.col(flag), F.col(name)))
-
+def _reference_stage(rows, base, load, dims, settings, label, fields, staged_cells):
+    """Every question about a key of the rows, answered together; ``base`` is the written row stage."""
+    asked: list[tuple[Question, str, str]] = []
+    derived = {}
     if "cd_nom" in fields and dims.taxa is not None:
         known = importable_taxa(dims, settings.restrict_to_taxa_list)
-        known = known.withColumnRenamed("cd_nom", "_ref")
-        rows = flag_unknown(rows, "cd_nom", known, "_ref", "_no_taxon", spread, settle=True)
-        raise_on("_no_taxon", "CD_NOM_NOT_FOUND", "cd_nom")
+        asked.append((Question("_no_taxon", ("cd_nom",), ABSENT, known), "CD_NOM_NOT_FOUND", "cd_nom"))
     if "cd_hab" in fields and dims.habitats is not None:
-        known = dims.habitats.select(F.col("cd_hab").alias("_ref"))
-        rows = flag_unknown(rows, "cd_hab", known, "_ref", "_no_habitat", spread, settle=True)
-        raise_on("_no_habitat", "CD_HAB_NOT_FOUND", "cd_hab")
+        known = dims.habitats.select("cd_hab")
+        asked.append((Question("_no_habitat", ("cd_hab",), ABSENT, known), "CD_HAB_NOT_FOUND", "cd_hab"))
     if "entity_source_pk_value" in fields:
-        rows = rows.withColumn("_pk", F.nullif(F.col("entity_source_pk_value"), F.lit("")))
-        rows = flag_duplicates(rows, ["id_load", "_pk"], "_same_pk", spread, settle=True)
-        raise_on("_same_pk", "DUPLICATE_ENTITY_SOURCE_PK", "entity_source_pk_value")
+        derived["_pk"] = F.nullif(F.col("entity_source_pk_value"), F.lit(""))
+        same = Question("_same_pk", ("id_load", "_pk"), REPEATED)
+        asked.append((same, "DUPLICATE_ENTITY_SOURCE_PK", "entity_source_pk_value"))
     if "unique_id_sinp" in fields:
-        rows = flag_duplicates(rows, ["id_load", "unique_id_sinp"], "_same_id", spread, settle=True)
-        raise_on("_same_id", "DUPLICATE_UUID", "unique_id_sinp")
+        same = Question("_same_id", ("id_load", "unique_id_sinp"), REPEATED)
+        asked.append((same, "DUPLICATE_UUID", "unique_id_sinp"))
         if settings.check_existing_uuid and dims.target is not None:
             other = (F.col("id_dataset") == load.id_dataset) & ~F.col("id_source").eqNullSafe(
                 F.lit(load.id_source)
             )
-            there = dims.target.where(other).select(F.col("unique_id_sinp").alias("_there"))
-            rows = flag_existing(
-                rows, "unique_id_sinp", there, "_there", F.lit(True), "_exists", spread, settle=True
-            )
-            raise_on("_exists", "EXISTING_UUID", "unique_id_sinp")
+            there = dims.target.where(other).select("unique_id_sinp")
+            asked.append((Question("_exists", ("unique_id_sinp",), PRESENT, there), "EXISTING_UUID", "unique_id_sinp"))
+    if staged_cells:
+        derived["_record"] = record_digest(staged_cells)
+        asked.append((Question("_same_row", ("_record",), REPEATED), "DUPLICATE_ROWS", ""))
+    questions = [q for q, _, _ in asked]
+    source = base.withColumns(derived) if derived else base
+    rows = with_answers(rows.withColumns(derived) if derived else rows, questions, ["id_load", "line_no"], source)
+    checks = [
+        Check(code, label(name) if name else "", F.col(q.flag), F.col(name) if name else None) for q, code, name in asked
+    ]
     return rows, checks
 
 
-def _altitude_stage(rows, load, dims, label, fields):
+def _altitude_stage(rows, load, dims, settings, label, fields):
     given = [n if n in fields else None for n in ("altitude_min", "altitude_max")]
     if load.wants("altitudes_generate", False):
         given = ["altitude_min", "altitude_max"]
         if dims.elevation is not None:
             sources = {n: fields[n].source_column if n in fields else None for n in given}
-            position = F.col("the_geom_local").isNotNull()
+            position = F.col("the_geom_local").isNotNull() | F.col("id_area_attachment").isNotNull()
             empty = [F.lit(True) if s is None else F.col(s).isNull() for s in sources.values()]
             rows = rows.withColumn("has_position", position)
+            areas = area = None
+            if dims.areas is not None:
+                once = dims.areas.groupBy("id_area").agg(F.min_by("geom", F.xxhash64("code")).alias("geom"))
+                areas = once.select(F.concat(F.lit(AREA_KEY), "id_area").alias("geo_key"), "geom")
+                area = F.concat(F.lit(AREA_KEY), "id_area_attachment")
             rows = with_altitudes(
                 rows, "the_geom_local", dims.elevation, dims.elevation_cell,
-                position & (empty[0] | empty[1]), F.col("line_no"), settle=True,
+                position & (empty[0] | empty[1]), F.col("line_no"), settle=True, areas=areas, area=area,
             )
             rows = filled_altitudes(rows, sources).drop("alt_low", "alt_high")
     return rows, range_checks(*given, "ALTI_MIN_SUP_ALTI_MAX", label)
@@ -243,5 +249,5 @@ def _restriction_stage(rows, dims, settings):
     out = F.when(attached, F.coalesce("_area_out", F.lit(False))).otherwise(
         F.coalesce("point_out", "_shape_out")
     )
-    outside = ~has_error(F.col("issues")) & geom.isNotNull() & out
+    outside = ~has_error(F.col("issues")) & (geom.isNotNull() | attached) & out
     return with_issues(rows, [Check("GEOMETRY_OUTSIDE", GEOMETRY_FIELDS, outside)]).drop("point_out")

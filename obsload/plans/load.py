@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from obsload.model.dictionary import DICTIONARY, Dictionary
 from obsload.model.loads import Load, Settings
+from obsload.operators.areas import AREA_SHAPES, with_area_shapes
 from obsload.operators.mapping import staged_columns
 from obsload.sinks.tables import appended_rows, replace_partition
 from obsload.sources.delimited import (
@@ -74,14 +75,26 @@ def load_files(
 
 
 def commit(
-    rows: DataFrame, load: Load, settings: Settings, target_path: str, dictionary: Dictionary = DICTIONARY
+    rows: DataFrame,
+    load: Load,
+    settings: Settings,
+    target_path: str,
+    dictionary: Dictionary = DICTIONARY,
+    areas: DataFrame | None = None,
 ) -> DataFrame:
     """Appends the valid rows of a checked load as the partition of its source.
 
-    A load without a valid row is refused.
+    Rows attached to an area get its shape here, from ``areas``; without these such rows are refused. So is a load
+    without a valid row.
     """
     if rows.where("valid").isEmpty():
         raise ValueError(f"load {load.id_load} has no valid row")
+    if areas is not None:
+        rows = with_area_shapes(rows, areas, settings.local_srid)
+    elif {*AREA_SHAPES, "id_area_attachment"} <= set(rows.columns):
+        shapeless = F.col("the_geom_local").isNull() & F.col("id_area_attachment").isNotNull()
+        if not rows.where("valid").where(shapeless).isEmpty():
+            raise ValueError(f"load {load.id_load} has rows attached to areas, whose shapes are not given")
     fresh = appended_rows(rows, load, settings, dictionary)
     replace_partition(fresh, target_path, "id_source")
     return fresh

@@ -9,6 +9,7 @@ import glob
 import json
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import issue_sets, label_mapping
@@ -258,3 +259,44 @@ def test_issues_bear_the_names_of_the_file(run):
     _, checked, _, _ = run(rows, mapping=mapping, base=base)
     held(checked, issues)
     assert {r["cd_nom"] for r in checked.rows.where("valid").collect()} == {67111, 60612}
+
+
+def test_shapes_of_areas_are_joined_when_rows_are_appended(run, spark, dims, tmp_path):
+    none = {"WKT": ""}
+    codes = [{"codecommune": "13088"}, {"codemaille": "10kmL93E091N625"}, {}]
+    _, checked, load, options = run([{**none, **c} if c else c for c in codes], generate=True)
+    held = {r["line_no"]: r for r in checked.rows.collect()}
+    assert all(held[n]["valid"] and held[n]["the_geom_local"] is None for n in (1, 2)) and held[3]["the_geom_local"]
+    # altitudes of attached rows come from the shape of their area
+    assert held[1]["altitude_min"] is None and held[3]["altitude_min"] == 1389
+    with pytest.raises(ValueError, match="attached to areas"):
+        commit(checked.rows, load, options, str(tmp_path / "bare"))
+    commit(checked.rows, load, options, str(tmp_path / "target"), areas=dims.areas)
+    rows = spark.read.parquet(str(tmp_path / "target")).orderBy("id_area_attachment").collect()
+    assert [r["id_area_attachment"] for r in rows] == [None, 1, 3]
+    corner = rows[1]["the_geom_local"]["parts"][0][0][0]
+    assert (corner["x"], corner["y"]) == (895000, 6245000) and rows[2]["the_geom_4326"]["kind"] == "POLYGON"
+    assert rows[0]["the_geom_4326"]["kind"] == "POINT" and all(r["the_geom_point"]["kind"] == "POINT" for r in rows)
+
+
+def test_no_shape_of_an_area_travels_with_rows(run, spark, dims, monkeypatch):
+    from obsload import workspace
+    from obsload.operators import areas, keyed
+    from obsload.plans import check
+
+    plans = []
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return workspace.written(df, label)
+
+    for module in (areas, keyed, check):
+        monkeypatch.setattr(module, "written", noted)
+    run([{"WKT": "", "codecommune": "13088", "unique_id_sinp": "", "entity_source_pk_value": "7"}] * 3)
+    labels = [label for label, _ in plans]
+    assert labels.count("counts") == 1 and labels[0] == "row-checks" and labels[-1] == "checked"
+    counted = dict(plans)["counts"]
+    assert "Join" not in counted and "the_geom" not in counted
+    # what joins the rows: answers of the look-ups, none of which holds a shape
+    joined = [line for line in plans[-1][1].splitlines() if "Relation" in line]
+    assert joined and sum("geom" in line and "src_" not in line for line in joined) == 0
