@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsload.llm.names import free
+from obsload.operators.keyed import left_lookup
 from obsload.workspace import written
 
 SEED = 42
@@ -219,15 +220,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _least_of_groups(fps: DataFrame, row: Column, radius: int) -> DataFrame:
-    """``(fp, least)`` for each distinct fingerprint: the smallest ``row`` of its component."""
+    """``(fp, n, least)`` for each distinct fingerprint: its rows, and the smallest ``row`` of its component."""
     number = F.arrow_udf(lambda x: pa.array(mixed(x.to_numpy(zero_copy_only=False))), "long")
-    distinct = written(fps.groupBy("fp").agg(F.min(row).alias("first")).withColumn("node", number("fp")), "distinct")
+    counted = fps.groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = written(counted.withColumn("node", number("fp")), "distinct")
     labels = components(links(distinct, radius))
     linked = distinct.join(labels, "node")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     grouped = linked.join(least, "root").select("fp", "least")
-    named = distinct.select("fp", "first").join(grouped, "fp", "left")
-    return named.select("fp", F.coalesce("least", "first").alias("least"))
+    named = distinct.select("fp", "n", "first").join(grouped, "fp", "left")
+    return named.select("fp", "n", F.coalesce("least", "first").alias("least"))
 
 
 def near_duplicates(
@@ -241,7 +243,9 @@ def near_duplicates(
         "fingerprints",
     )
     named = _least_of_groups(fps, F.col("doc_id"), radius).withColumnRenamed("least", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    # a fingerprint may own any share of the rows
+    counts = named.select("fp", "n")
+    return left_lookup(fps, named, ["fp"], ["component_id"], counts, F.col("doc_id"), settle=True)
 
 
 def _row_hash(docs: DataFrame) -> Column:
