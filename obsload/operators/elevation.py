@@ -5,49 +5,107 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsload.functions.geometry import first_vertex, in_rings, is_areal
-from obsload.operators.areas import banded_cells
+from obsload.functions.geometry import first_vertex, is_areal, segments
 from obsload.operators.keyed import key_counts, left_lookup
 
 AREA_KEY = "area "
 
 
-def _touches_box(e: Column, left: Column, bottom: Column, size: float) -> Column:
-    """A segment meets a square: boxes overlap and the corners are not all on one side of it."""
-    right, top = left + size, bottom + size
-    boxes = (
-        (F.greatest(e["x0"], e["x1"]) >= left)
-        & (F.least(e["x0"], e["x1"]) <= right)
-        & (F.greatest(e["y0"], e["y1"]) >= bottom)
-        & (F.least(e["y0"], e["y1"]) <= top)
+#: a block of the coarsest level spans two to this power cells of a row
+TOP = 8
+
+
+def pyramid(grid: DataFrame, top: int = TOP) -> DataFrame:
+    """Lowest and highest altitude ``(cy, level, block, low, high)`` of runs of ``2 ** level`` cells of a row.
+
+    The grid is dealt out once, by row and coarsest block; all levels are then aggregated where they lie.
+    """
+    dealt = grid.select("cy", F.shiftright("cx", top).alias("part"), "cx", "alt").repartition("cy", "part")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
+    leveled = dealt.select("cy", "part", "cx", "alt", levels)
+    # shifting by the level of a row: a division, since shifts take constants only
+    block = F.floor(F.col("cx") / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    found = leveled.groupBy("cy", "part", "level", block.alias("block")).agg(F.min("alt").alias("low"), F.max("alt").alias("high"))
+    return found.drop("part")
+
+
+def band_runs(shapes: DataFrame, size: float) -> DataFrame:
+    """Runs of cells ``(geo_key, cy, first, last)`` that each shape meets, row by row of the grid.
+
+    A segment meets, in a row, the cells under its part inside the row; a polygon also meets those whose centre
+    lies between an odd crossing of the row's middle and the next one. Runs may overlap.
+    """
+    edges = shapes.select("geo_key", is_areal(F.col("geom")).alias("areal"), F.explode(segments(F.col("geom"))).alias("e"))
+    edges = edges.select("geo_key", "areal", "e.*")
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+
+    def between(first: Column, last: Column) -> Column:
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
+
+    rows = between(F.ceil(low / size).cast("long") - 1, F.floor(high / size).cast("long")).alias("cy")
+    banded = edges.select("geo_key", "x0", "y0", "x1", "y1", rows)
+
+    def x_at(y: Column) -> Column:
+        inside = F.least(F.greatest(y, F.least("y0", "y1")), F.greatest("y0", "y1"))
+        within = F.col("x0") + (inside - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+        return F.when(inside == F.col("y0"), F.col("x0")).when(inside == F.col("y1"), F.col("x1")).otherwise(within)
+
+    bottom = F.col("cy") * size
+    ends = [x_at(bottom), x_at(bottom + size)]
+    level = F.col("y0") == F.col("y1")
+    left = F.when(level, F.least("x0", "x1")).otherwise(F.least(*ends))
+    right = F.when(level, F.greatest("x0", "x1")).otherwise(F.greatest(*ends))
+    touched = banded.select(
+        "geo_key", "cy", (F.ceil(left / size) - 1).cast("long").alias("first"), F.floor(right / size).cast("long").alias("last")
+    )
+
+    # rows whose middle lies between the ends of an edge, the lower one included
+    first_row = F.ceil(low / size - 0.5).cast("long")
+    middles = between(first_row, (F.ceil(high / size - 0.5) - 1).cast("long")).alias("cy")
+    crossed = edges.where("areal").select("geo_key", "x0", "y0", "x1", "y1", middles)
+    at = F.col("x0") + ((F.col("cy") + 0.5) * size - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+    lines = crossed.groupBy("geo_key", "cy").agg(F.array_sort(F.collect_list(at)).alias("at"))
+    pairs = lines.select("geo_key", "cy", "at", F.explode(F.sequence(F.lit(1), F.size("at"), F.lit(2))).alias("i"))
+    start, stop = F.element_at("at", F.col("i")), F.element_at("at", F.col("i") + 1)
+    filled = pairs.select(
+        "geo_key",
+        "cy",
+        F.ceil(start / size - 0.5).cast("long").alias("first"),
+        (F.ceil(stop / size - 0.5) - 1).cast("long").alias("last"),
     )
+    return touched.unionByName(filled.where("first <= last"))
 
-    def side(x: Column, y: Column) -> Column:
-        return F.signum((e["x1"] - e["x0"]) * (y - e["y0"]) - (e["y1"] - e["y0"]) * (x - e["x0"]))
 
-    sides = [side(x, y) for x in (left, right) for y in (bottom, top)]
-    return boxes & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+def run_blocks(runs: DataFrame, top: int = TOP) -> DataFrame:
+    """Fewest blocks ``(geo_key, cy, level, block)`` of :func:`pyramid` that make up the runs."""
+    span = F.col("last") - F.col("first") + 1
+    highest = F.least(F.lit(top), F.floor(F.log2(span)).cast("int"))
+    leveled = runs.select("geo_key", "cy", "first", "last", F.explode(F.sequence(F.lit(0), highest)).alias("level"), highest.alias("highest"))
+
+    def whole(level: Column) -> tuple[Column, Column]:
+        """First and last block of a level that lie wholly in the run."""
+        size = F.pow(F.lit(2.0), level)
+        return F.ceil(F.col("first") / size).cast("long"), (F.floor((F.col("last") + 1) / size) - 1).cast("long")
+
+    (a, b), (up_a, up_b) = whole(F.col("level")), whole(F.col("level") + 1)
+    covered = (F.col("level") < F.col("highest")) & (up_a <= up_b)
+    none = F.array().cast("array<bigint>")
+    sides = F.concat(
+        F.when(a < 2 * up_a, F.array(a)).otherwise(none), F.when(b > 2 * up_b + 1, F.array(b)).otherwise(none)
+    )
+    blocks = F.when(covered, sides).when(a <= b, F.sequence(a, b)).otherwise(none)
+    return leveled.select("geo_key", "cy", "level", F.explode(blocks).alias("block")).distinct()
 
 
 def shape_altitudes(shapes: DataFrame, grid: DataFrame, cell: float) -> DataFrame:
     """Lowest and highest altitude per ``geo_key`` over the grid cells a shape meets.
 
-    The cells of a shape stream into the join with the grid, each judged on the edges of its band;
-    they never sit together in one row.
+    Shapes become runs of cells, and these become blocks of a pyramid over the grid, so the inside of a large
+    shape costs a few rows for each row of the grid and never one for each cell.
     """
-    areal = shapes.select("geo_key", is_areal(F.col("geom")).alias("areal"), "geom")
-    keyed = areal.withColumn("key", F.struct("geo_key", "areal"))
-    cells = banded_cells(keyed, "key", cell)
-    left, bottom = F.col("cx") * cell, F.col("cy") * cell
-    crossed = F.exists("edges", lambda e: _touches_box(e, left, bottom, cell))
-    filled = F.col("key.areal") & in_rings(left + cell / 2, bottom + cell / 2, F.col("edges"))
-    return (
-        cells.where(crossed | filled)
-        .select(F.col("key.geo_key").alias("geo_key"), "cx", "cy")
-        .join(grid.select("cx", "cy", "alt"), ["cx", "cy"])
-        .groupBy("geo_key")
-        .agg(F.min("alt").alias("alt_low"), F.max("alt").alias("alt_high"))
-    )
+    wanted = run_blocks(band_runs(shapes, cell))
+    met = wanted.join(pyramid(grid), ["cy", "level", "block"])
+    return met.groupBy("geo_key").agg(F.min("low").alias("alt_low"), F.max("high").alias("alt_high"))
 
 
 def with_altitudes(

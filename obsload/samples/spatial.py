@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from obsload.functions import crs, scalars
 from obsload.functions.geometry import (
+    GEOMETRY,
     centroid,
     first_vertex,
     parse_wkt,
@@ -17,7 +18,7 @@ from obsload.functions.geometry import (
 from obsload.functions.shapes import disjoint_from, is_valid
 from obsload.model.dictionary import DICTIONARY
 from obsload.operators import areas as area_ops
-from obsload.operators.elevation import filled_altitudes, with_altitudes
+from obsload.operators.elevation import AREA_KEY, filled_altitudes, with_altitudes
 from obsload.operators.georef import attach_areas, attachment_checks
 from obsload.operators.issues import long_issues, with_issues
 from obsload.operators.rows import position_checks, read_position
@@ -410,6 +411,45 @@ def elevation_shapes(spark, folder):
     return looked.select("c_custkey", text("alt_low").alias("alt_low"), text("alt_high").alias("alt_high"))
 
 
+# towns of a hundred columns and rows of a fine grid, triangles so that no border follows it
+_TOWNS = """towns AS (SELECT n_nationkey AS id, n_name, (n_nationkey % 5) * 110 + 0.25 AS x, (n_nationkey // 5) * 240 + 0.75 AS y
+  FROM nation), fine AS (SELECT o_orderkey % 600 AS cx, o_orderkey // 600 AS cy, min(o_custkey) AS alt FROM orders GROUP BY ALL)"""
+
+
+@query(
+    "attached_area_altitudes",
+    f"""WITH {_TOWNS}, under AS (SELECT id, n_name, min(alt) AS low, max(alt) AS high FROM towns
+  LEFT JOIN fine ON cx <= x + 230 AND cx + 1 >= x AND cy <= y + 230 AND cy + 1 >= y
+    AND greatest(cx - x, 0) + greatest(cy - y, 0) <= 230 GROUP BY ALL)
+SELECT c_custkey, CAST(id AS VARCHAR) AS area, CAST(low AS VARCHAR) AS alt_low, CAST(high AS VARCHAR) AS alt_high
+FROM customer LEFT JOIN under ON n_name = 'NATION_' || (c_custkey % 30)""",
+)
+def attached_area_altitudes(spark, folder):
+    """Rows that only name an area get the altitudes under its shape, tens of thousands of cells each."""
+    n, key, order = F.col("n_nationkey"), F.col("c_custkey"), F.col("o_orderkey")
+    shape = triangle_wkt((n % 5) * 110 + 0.25, F.floor(n / 5) * 240 + 0.75, 230)
+    towns = table(spark, folder, "nation").select(
+        n.alias("id_area"), F.lit("COM").alias("type"), F.col("n_name").alias("code"), parse_wkt(shape).alias("geom")
+    )
+    fine = table(spark, folder, "orders").select(
+        (order % 600).alias("cx"), F.floor(order / 600).alias("cy"), F.col("o_custkey").alias("alt")
+    )
+    nowhere = F.lit(None).cast(GEOMETRY)
+    rows = table(spark, folder, "customer").select(
+        key, key.alias("line_no"), F.lit(True).alias("row_ok"), nowhere.alias("geom"),
+        nowhere.alias("the_geom_4326"), nowhere.alias("the_geom_local"),
+        F.concat(F.lit("NATION_"), text(key % 30)).alias("src_codecommune"),
+    )
+    fields = {f.name: f for f in DICTIONARY.named(["codecommune"])}
+    attached = attach_areas(rows, towns, fields, crs.LOCAL, key)
+    shapes = towns.select(F.concat(F.lit(AREA_KEY), "id_area").alias("geo_key"), "geom")
+    named = F.concat(F.lit(AREA_KEY), "id_area_attachment")
+    looked = with_altitudes(attached, "the_geom_local", fine, 1.0, F.lit(True), key, areas=shapes, area=named)
+    return looked.select(
+        key, text("id_area_attachment").alias("area"), text("alt_low").alias("alt_low"), text("alt_high").alias("alt_high")
+    )
+
+
 @query(
     "geometry_text",
     """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'POINT (' || c_custkey % 180 || ' 1.5)'
