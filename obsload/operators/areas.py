@@ -171,28 +171,6 @@ def _holds(candidate: Column, x: Column, y: Column, with_border: bool) -> Column
     return candidate["full"] | exact
 
 
-def areas_of_points(
-    points: DataFrame, areas: DataFrame, size: float, x: str, y: str, spread: Column
-) -> DataFrame:
-    """Points with ``id_areas``, the ordered ids of the areas containing them (border excluded).
-
-    Areas of one kind tile the plane, so the candidates of a cell are few.
-    """
-    per_cell = (
-        area_cells(areas, size)
-        .groupBy("cx", "cy")
-        .agg(F.collect_list(F.struct("id_area", "full", "edges")).alias("candidates"))
-    )
-    cx, cy = cell_of(F.col(x), F.col(y), size)
-    keyed = points.withColumns({"cx": cx, "cy": cy})
-    looked = fetch(keyed, per_cell, ["cx", "cy"], ["candidates"], spread, unique=True)
-    hits = F.filter("candidates", lambda c: _holds(c, F.col(x), F.col(y), False))
-    ids = F.array_sort(F.transform(hits, lambda c: c["id_area"]))
-    return looked.withColumn("id_areas", F.coalesce(ids, F.array().cast("array<int>"))).select(
-        *points.columns, "id_areas"
-    )
-
-
 def outline(areas: DataFrame, id_area: int) -> np.ndarray:
     """Edges of one area, brought to the driver to travel with the tasks."""
     row = areas.where(F.col("id_area") == id_area).select(segments(F.col("geom")).alias("s")).first()

@@ -124,7 +124,7 @@ def delimited_split_multiline(spark, folder):
     )
     lines = F.array_join(F.transform("lines", lambda s: s["line"]), "\n")
     path = written_texts(listed.select("file_id", F.concat(F.lit("id;note\n"), lines).alias("content")), "split")
-    with file_blocks(spark, 64 * 1024):
+    with file_blocks(spark, 256 * 1024):
         records = read_records(spark, path, ["id", "note"], id_load=file_number())
     return records.select(F.col("id").cast("long").alias("o_orderkey"), F.col("id_load").cast("long"), "line_no", "note")
 

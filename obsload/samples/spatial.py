@@ -18,6 +18,7 @@ from obsload.functions.geometry import (
 from obsload.functions.shapes import disjoint_from, is_valid
 from obsload.model.dictionary import DICTIONARY
 from obsload.operators import areas as area_ops
+from obsload.operators import quads
 from obsload.operators.elevation import AREA_KEY, filled_altitudes, with_altitudes
 from obsload.operators.georef import attach_areas, attachment_checks
 from obsload.operators.issues import long_issues, with_issues
@@ -33,6 +34,9 @@ c AS (SELECT c_custkey, c_nationkey, (c_custkey * 37 % 5000) / 100.0 + 0.005 AS
   (c_custkey * 53 % 5100) / 100.0 + 0.005 AS y FROM customer)"""
 
 
+COAST = 1000
+
+
 def customers(spark, folder):
     key = F.col("c_custkey")
     return table(spark, folder, "customer").select(
@@ -53,6 +57,11 @@ def square_wkt(x, y, side=10):
     return F.concat(F.lit("POLYGON(("), ring, F.lit("))"))
 
 
+def rectangle_wkt(x, y, width, height):
+    ring = _coords((x, y), (x + width, y), (x + width, y + height), (x, y + height), (x, y))
+    return F.concat(F.lit("POLYGON(("), ring, F.lit("))"))
+
+
 def triangle_wkt(x, y, side=10):
     ring = _coords((x, y), (x + side, y), (x, y + side), (x, y))
     return F.concat(F.lit("POLYGON(("), ring, F.lit("))"))
@@ -291,13 +300,52 @@ def areas_of_points(spark, folder):
         F.col("n_nationkey").alias("id_area")
     )
     shapes = nations(spark, folder, triangle_wkt).join(region, "id_area", "left_semi")
-    found = area_ops.areas_of_points(
-        customers(spark, folder), shapes, 3.0, "x", "y", F.col("c_custkey")
-    )
+    found = quads.areas_of_points(customers(spark, folder), shapes, 3.0, "x", "y", F.col("c_custkey"))
     ids = F.array_join(F.transform("id_areas", lambda i: i.cast("string")), ",")
     return found.select("c_custkey", F.nullif(ids, F.lit("")).alias("areas"))
 
 
+@query(
+    "coast_of_points",
+    """WITH h AS (SELECT o_orderkey AS i, 100 + o_custkey % 29 AS y FROM orders), n AS (SELECT max(i) AS last FROM h),
+p AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 37 + l_linenumber) % last + 0.5 AS x, l_partkey % 160 + 0.25 AS y
+  FROM lineitem, n),
+s AS (SELECT n_nationkey AS id, n_nationkey * 50 + 3 AS x, n_nationkey * 5 + 20 AS y FROM nation)
+SELECT l_orderkey, l_linenumber, p.y < (a.y + b.y) / 2.0 AS ashore, CAST(s.id AS VARCHAR) AS square
+FROM p JOIN h a ON a.i = floor(p.x) JOIN h b ON b.i = floor(p.x) + 1
+LEFT JOIN s ON p.x > s.x AND p.x < s.x + 12 AND p.y > s.y AND p.y < s.y + 4""",
+)
+def coast_of_points(spark, folder):
+    """A coast line with a vertex for every order, beside small squares: only the cells along it grow small."""
+    orders = table(spark, folder, "orders")
+    last = orders.agg(F.max("o_orderkey")).scalar()
+    height = (100 + F.col("o_custkey") % 29).cast("double")
+    drawn = orders.agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").cast("double").alias("x"), height.alias("y")))).alias("v"))
+
+    def ground(x):
+        return F.array(F.struct(x.alias("x"), F.lit(0.0).alias("y")))
+
+    ring = F.concat(ground(F.lit(0.0)), F.col("v"), ground(F.element_at("v", -1)["x"]), ground(F.lit(0.0)))
+    coast = drawn.select(
+        F.lit(COAST).alias("id_area"), F.struct(F.lit("POLYGON").alias("kind"), F.array(F.array(ring)).alias("parts")).cast(GEOMETRY).alias("geom")
+    )
+    n = F.col("n_nationkey")
+    boxes = table(spark, folder, "nation").select(
+        n.cast("int").alias("id_area"), parse_wkt(rectangle_wkt(n * 50 + 3, n * 5 + 20, 12, 4)).alias("geom")
+    )
+    points = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        ((F.col("l_orderkey") * 37 + F.col("l_linenumber")) % last + 0.5).cast("double").alias("x"),
+        (F.col("l_partkey") % 160 + 0.25).cast("double").alias("y"),
+    )
+    areas = written(coast.unionByName(boxes), "coast")
+    found = quads.areas_of_points(points, areas, 1.0, "x", "y", F.col("l_linenumber"))
+    squares = F.filter("id_areas", lambda i: i != COAST)
+    return found.select(
+        "l_orderkey", "l_linenumber", F.array_contains("id_areas", COAST).alias("ashore"), text(F.get(squares, F.lit(0))).alias("square")
+    )
+
+
 @query(
     "area_restriction",
     f"""WITH {_BOARD}, a AS (SELECT x AS ax, y AS ay FROM x0 WHERE id = 7)
@@ -441,10 +489,12 @@ def attached_area_altitudes(spark, folder):
         F.concat(F.lit("NATION_"), text(key % 30)).alias("src_codecommune"),
     )
     fields = {f.name: f for f in DICTIONARY.named(["codecommune"])}
-    attached = attach_areas(rows, towns, fields, crs.LOCAL, key)
+    attached = attach_areas(rows, towns, fields, crs.LOCAL, key, settle=True)
     shapes = towns.select(F.concat(F.lit(AREA_KEY), "id_area").alias("geo_key"), "geom")
     named = F.concat(F.lit(AREA_KEY), "id_area_attachment")
-    looked = with_altitudes(attached, "the_geom_local", fine, 1.0, F.lit(True), key, areas=shapes, area=named)
+    looked = with_altitudes(
+        attached, "the_geom_local", fine, 1.0, F.lit(True), key, settle=True, areas=shapes, area=named
+    )
     return looked.select(
         key, text("id_area_attachment").alias("area"), text("alt_low").alias("alt_low"), text("alt_high").alias("alt_high")
     )
