@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from obsload.functions.geometry import parse_wkt
 from obsload.model.error_types import error_table
 from obsload.model.loads import Dimensions, Load, Settings
-from obsload.operators.issues import report_rows
+from obsload.operators.issues import Check, report_rows
 from obsload.plans.check import check_load
-from obsload.plans.load import load_files
+from obsload.plans.load import load_files, stage
 from obsload.samples.registry import query, table, text
 from obsload.samples.spatial import square_wkt
 from obsload.sinks.tables import replace_partition, write_delimited
@@ -382,3 +382,62 @@ def observation_validity(spark, folder):
         text("cd_nom").alias("taxon"),
         text("id_area_attachment").alias("area"),
     )
+
+
+_KEYED_SQL = """r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN c_custkey // 14 * 14 ELSE c_custkey END AS n,
+  CASE WHEN c_custkey % 10 = 0 THEN 'same' || (c_custkey // 20) WHEN c_custkey % 11 <> 0 THEN 'k' || c_custkey END AS pk,
+  c_name FROM customer)"""
+
+
+@query(
+    "load_key_checks",
+    f"""WITH {_KEYED_SQL}, f AS (
+  SELECT k, 'DUPLICATE_ENTITY_SOURCE_PK' AS code, 'cle' AS col FROM r WHERE pk IN (SELECT pk FROM r GROUP BY pk HAVING count(*) > 1)
+  UNION ALL SELECT k, 'DUPLICATE_UUID', 'ident' FROM r WHERE n IN (SELECT n FROM r GROUP BY n HAVING count(*) > 1)
+  UNION ALL SELECT k, 'EXISTING_UUID', 'ident' FROM r WHERE n IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0)
+  UNION ALL SELECT k, 'INVALID_NOMENCLATURE', 'flou' FROM r WHERE k % 4 >= 2
+  UNION ALL SELECT k, 'CONDITIONAL_MANDATORY_FIELD_ERROR', 'flou' FROM r WHERE k % 4 >= 2
+  UNION ALL SELECT k, 'OWN_NAME', 'nom' FROM r WHERE c_name LIKE '%7')
+SELECT k + 1 AS line_no, code, col AS "column" FROM f""",
+)
+def load_key_checks(spark, folder):
+    """Keys of the source, identifiers, blurring of private data and a check of the caller, through the whole check."""
+    k = F.col("c_custkey")
+    number = F.when(k % 7 == 0, F.floor(k / 14) * 14).otherwise(k)
+
+    def identifier(n):
+        return F.format_string("%08x-0000-4000-8000-000000000000", n.cast("long"))
+
+    records = table(spark, folder, "customer").select(
+        F.lit(1).alias("id_load"),
+        (k + 1).cast("long").alias("line_no"),
+        F.when(k % 10 == 0, F.concat(F.lit("same"), text(F.floor(k / 20))))
+        .when(k % 11 != 0, F.concat(F.lit("k"), text(k)))
+        .alias("cle"),
+        identifier(number).alias("ident"),
+        F.lit("2000-01-01").alias("debut"),
+        F.col("c_name").alias("nom"),
+        F.lit("POINT(3.5 46.25)").alias("place"),
+        F.when(k % 4 == 0, "oui").when(k % 4 == 1, "non").when(k % 4 == 2, "si").alias("flou"),
+    )
+    mapping = {
+        "entity_source_pk_value": "cle", "unique_id_sinp": "ident", "date_min": "debut", "nom_cite": "nom",
+        "WKT": "place", "id_nomenclature_blurring": "flou",
+    }
+    columns = tuple(c for c in records.columns if c not in ("id_load", "line_no"))
+    content = {"DEE_FLOU": {"oui": "OUI", "non": "NON"}}
+    load = Load(1, columns, mapping, content, id_dataset=1, id_source=1, private_dataset=True)
+    terms = spark.createDataFrame(
+        [("DEE_FLOU", "OUI", "Oui", 1, False), ("DEE_FLOU", "NON", "Non", 2, False)],
+        "vocab string, code string, label string, id int, is_default boolean",
+    )
+    target = table(spark, folder, "orders").where("o_custkey % 3 = 0").select(
+        identifier(F.col("o_custkey")).alias("unique_id_sinp"), F.lit(1).alias("id_dataset"), F.lit(9).alias("id_source")
+    )
+    settings = Settings(
+        as_of=AS_OF, check_literature_reference=False, check_existing_uuid=True, check_private_blurring=True,
+        check_exist_proof=False, fill_missing_vocabulary=False,
+    )
+    own = Check("OWN_NAME", "nom", F.endswith("nom_cite", F.lit("7")), level="WARNING")
+    dims = Dimensions(vocabulary=terms, target=target)
+    return check_load(stage(records, load), load, dims, settings, extra_checks=[own]).issues.select("line_no", "code", "column")

@@ -20,7 +20,7 @@ from obsload.model.dictionary import DICTIONARY
 from obsload.operators import areas as area_ops
 from obsload.operators import quads
 from obsload.operators.elevation import AREA_KEY, filled_altitudes, with_altitudes
-from obsload.operators.georef import attach_areas, attachment_checks
+from obsload.operators.georef import attach_areas, attachment_checks, both_systems
 from obsload.operators.issues import long_issues, with_issues
 from obsload.operators.rows import position_checks, read_position
 from obsload.operators.stats import extent
@@ -392,6 +392,59 @@ def reproject_roundtrip(spark, folder):
     )
 
 
+# the projection written out from its published parameters, in SQL alone
+_CONIC = """p AS (SELECT 6378137.0 AS a, sqrt(2 / 298.257222101 - pow(1 / 298.257222101, 2)) AS e, radians(44) AS p1,
+  radians(49) AS p2, radians(46.5) AS p0),
+q AS (SELECT *, cos(p1) / sqrt(1 - pow(e * sin(p1), 2)) AS m1, cos(p2) / sqrt(1 - pow(e * sin(p2), 2)) AS m2,
+  tan(pi() / 4 - p1 / 2) / pow((1 - e * sin(p1)) / (1 + e * sin(p1)), e / 2) AS t1,
+  tan(pi() / 4 - p2 / 2) / pow((1 - e * sin(p2)) / (1 + e * sin(p2)), e / 2) AS t2,
+  tan(pi() / 4 - p0 / 2) / pow((1 - e * sin(p0)) / (1 + e * sin(p0)), e / 2) AS t0 FROM p),
+z AS (SELECT *, ln(m1 / m2) / ln(t1 / t2) AS n FROM q),
+w AS (SELECT *, m1 / (n * pow(t1, n)) AS f, a * m1 / (n * pow(t1, n)) * pow(t0, n) AS r0 FROM z)"""
+
+
+def _nearer(i):
+    """One round of the latitude of a conformal one."""
+    return (
+        f"l{i} AS (SELECT * EXCLUDE (phi), pi() / 2 - 2 * atan(t * pow((1 - e * sin(phi)) / (1 + e * sin(phi)), e / 2)) AS phi"
+        f" FROM l{i - 1})"
+    )
+
+
+@query(
+    "geometry_fill",
+    f"""WITH {_CONIC}, c AS (SELECT c_custkey, c_custkey % 2 = 0 AS degrees, -4 + (c_custkey % 130) / 10.0 AS lon,
+  42 + (c_custkey % 91) / 10.0 AS lat, 300000.0 + (c_custkey % 150) * 4000 AS x, 6200000.0 + (c_custkey % 97) * 8000 AS y
+  FROM customer),
+g AS (SELECT c_custkey, a * f * pow(tan(pi() / 4 - radians(lat) / 2) / pow((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat))),
+  e / 2), n) AS r, n * radians(lon - 3) AS th, r0 FROM c, w WHERE degrees),
+b AS (SELECT c_custkey, e, n, x, y, r0, pow(sqrt(pow(x - 700000, 2) + pow(r0 + 6600000 - y, 2)) / (a * f), 1 / n) AS t FROM c, w
+  WHERE NOT degrees),
+l0 AS (SELECT *, pi() / 2 - 2 * atan(t) AS phi FROM b), {", ".join(_nearer(i) for i in range(1, 9))}
+SELECT c_custkey, round(700000 + r * sin(th), 2) AS x, round(6600000 + r0 - r * cos(th), 2) AS y FROM g
+UNION ALL SELECT c_custkey, round(degrees(atan2(x - 700000, r0 + 6600000 - y)) / n + 3, 7), round(degrees(phi), 7) FROM l8""",
+)
+def geometry_fill(spark, folder):
+    """A load in either system gets its geometry in the other one too."""
+    key = F.col("c_custkey")
+    rows = table(spark, folder, "customer")
+    degrees = rows.where(key % 2 == 0).select(
+        key, point((F.lit(-4) + (key % 130) / 10.0).cast("double"), (F.lit(42) + (key % 91) / 10.0).cast("double")).alias("geom")
+    )
+    metres = rows.where(key % 2 != 0).select(
+        key, point((300000 + key % 150 * 4000).cast("double"), (6200000 + key % 97 * 8000).cast("double")).alias("geom")
+    )
+    there = first_vertex(F.col("the_geom_local"))
+    filled = both_systems(degrees, crs.GEOGRAPHIC, crs.LOCAL).select(
+        key, F.round(there["x"], 2).alias("x"), F.round(there["y"], 2).alias("y")
+    )
+    here = first_vertex(F.col("the_geom_4326"))
+    back = both_systems(metres, crs.LOCAL, crs.LOCAL).select(
+        key, F.round(here["x"], 7).alias("x"), F.round(here["y"], 7).alias("y")
+    )
+    return filled.unionByName(back)
+
+
 @query(
     "extent",
     """WITH c AS (SELECT c_nationkey, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 180 END AS x,
