@@ -22,16 +22,18 @@ from obsload.sources.delimited import (
     refuse_surplus,
     without_blank_records,
 )
+from obsload.sources.profile import MAX_FILE_SIZE, list_files, load_file_issues
 from obsload.sources.split import read_records
 
 
 @dataclass(frozen=True)
 class Staged:
-    """Numbered source records, the rows staged from them, and issues of ragged records."""
+    """Numbered source records, the rows staged from them, issues of ragged records and of whole files."""
 
     records: DataFrame
     rows: DataFrame
     ragged: DataFrame
+    files: DataFrame
 
 
 def stage(records: DataFrame, load: Load, dictionary: Dictionary = DICTIONARY) -> DataFrame:
@@ -50,14 +52,20 @@ def load_files(
     multiline: bool = True,
     dictionary: Dictionary = DICTIONARY,
     staging_path: str | None = None,
+    max_size: int | None = None,
 ) -> Staged:
     """Reads, numbers and stages the files of one load.
 
     Large files are read by many tasks each; ``multiline=False`` spares the pass that looks for line breaks in
-    cells where there are none. A file of another header or encoding aborts it. ``strict`` also aborts on a record with surplus
+    cells where there are none. A file larger than ``max_size`` bytes aborts the load before any is read, one of
+    another header or encoding while they are read; ``files`` of the result tells all such faults of all files. ``strict`` also aborts on a record with surplus
     cells; otherwise ragged records are staged with their code, which makes them invalid when the load
     is checked. With ``staging_path`` the rows are written there as the load's partition.
     """
+    if max_size is not None:
+        large = list_files(spark, paths).where(F.col("length") > max_size).orderBy("path").first()
+        if large is not None:
+            raise ValueError(f"{large['path']} has {large['length']} bytes, {max_size} are accepted")
     if multiline:
         records = read_records(spark, paths, load.columns, load.separator, load.encoding, load.id_load)
     else:
@@ -71,7 +79,8 @@ def load_files(
         replace_partition(rows, staging_path, "id_load")
         back = spark.read.schema(rows.schema).parquet(staging_path)
         rows = back.where(F.col("id_load") == load.id_load).select(*rows.columns)
-    return Staged(records, rows, ragged)
+    files = load_file_issues(spark, paths, load.columns, load.encoding, max_size or MAX_FILE_SIZE)
+    return Staged(records, rows, ragged, files)
 
 
 def commit(

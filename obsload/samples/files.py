@@ -18,7 +18,7 @@ from obsload.samples.spatial import square_wkt
 from obsload.sinks.tables import replace_partition, write_delimited
 from obsload.sources.delimited import numbered, ragged_issues, read_delimited, without_blank_records
 from obsload.sources.geojson import read_geojson
-from obsload.sources.profile import file_issues, profile_files, read_files
+from obsload.sources.profile import file_issues, header_differs, profile_files, read_files
 from obsload.sources.split import read_records
 from obsload.sources.staging import read_staging
 from obsload.workspace import work_path
@@ -384,6 +384,54 @@ def observation_validity(spark, folder):
     )
 
 
+def supplier_files(spark, folder, content, label):
+    """One file for each supplier; its bytes may be anything."""
+    rows = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("file_id"), content.alias("content"))
+    return written_texts(rows, label)
+
+
+@query(
+    "header_mismatch",
+    """SELECT s_suppkey AS file_id, CASE s_suppkey % 4 WHEN 1 THEN 'name;key' WHEN 2 THEN 'key;name;more' ELSE 'Key;name' END AS header
+FROM supplier WHERE s_suppkey % 4 <> 0""",
+)
+def header_mismatch(spark, folder):
+    """Files whose first record is not the declared list of columns, in its order."""
+    k = F.col("s_suppkey")
+    header = F.when(k % 4 == 0, 'key;"name"').when(k % 4 == 1, "name;key").when(k % 4 == 2, "key;name;more").otherwise("Key;name")
+    path = supplier_files(spark, folder, F.concat(header, F.lit("\r\n"), text(k), F.lit(";"), F.col("s_name")), "headers")
+    other = header_differs(profile_files(read_files(spark, path)), ["key", "name"])
+    return other.select(file_number("path").alias("file_id"), F.array_join("columns", ";").alias("header"))
+
+
+@query(
+    "encoding_faults",
+    """SELECT s_suppkey AS file_id, s_suppkey % 3 AS bad_lines, CASE WHEN s_suppkey % 3 > 0 THEN 'ENCODING_ERROR' END AS code
+FROM supplier""",
+)
+def encoding_faults(spark, folder):
+    """Lines whose bytes are not UTF-8, counted by file."""
+    k = F.col("s_suppkey")
+    odd = F.concat(F.unhex(F.lit("E9")).cast("string"), F.lit(";x"))
+    body = F.concat(F.lit("a;b\né;1\n"), F.when(k % 3 > 0, F.concat(odd, F.lit("\n"))).otherwise(""), F.when(k % 3 > 1, odd).otherwise(""))
+    profile = profile_files(read_files(spark, supplier_files(spark, folder, body, "encoded")))
+    faults = file_issues(profile).where("code = 'ENCODING_ERROR'")
+    return profile.join(faults, "path", "left").select(file_number("path").alias("file_id"), "bad_lines", "code")
+
+
+@query(
+    "oversize_files",
+    """SELECT s_suppkey AS file_id, 6 + s_suppkey % 50 AS length, CASE WHEN s_suppkey % 50 > 34 THEN 'FILE_OVERSIZE' END AS code
+FROM supplier""",
+)
+def oversize_files(spark, folder):
+    """Sizes come from the listing; files over the limit are told without being read."""
+    content = F.concat(F.lit("a;b\n1"), F.repeat(F.lit("2"), (F.col("s_suppkey") % 50).cast("int")))
+    profile = profile_files(read_files(spark, supplier_files(spark, folder, content, "sized")))
+    faults = file_issues(profile, max_size=41).where("code = 'FILE_OVERSIZE'")
+    return profile.join(faults, "path", "left").select(file_number("path").alias("file_id"), "length", "code")
+
+
 _KEYED_SQL = """r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN c_custkey // 14 * 14 ELSE c_custkey END AS n,
   CASE WHEN c_custkey % 10 = 0 THEN 'same' || (c_custkey // 20) WHEN c_custkey % 11 <> 0 THEN 'k' || c_custkey END AS pk,
   c_name FROM customer)"""

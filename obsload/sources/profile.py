@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,36 +16,59 @@ EXTENSIONS = ["csv", "geojson"]
 NAME_LIMIT = 100
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files as ``path, length, content``; content is only read where a check needs it.
+def list_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Files as ``path, length``, empty ones included; no byte of them is read.
 
-    The scan leaves out files of no bytes, so the listing the driver already holds is joined back.
+    A scan leaves out files of no bytes, so the listing the driver already holds is joined back.
     """
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    )
-    read = found.select(_plain_path("path").alias("path"), "length", "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    sizes = found.select(_plain_path("path").alias("path"), "length")
     listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "path string")
-    names = listed.select(_plain_path(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).alias("path"))
-    return names.join(read, "path", "left").select(
-        "path", F.coalesce("length", F.lit(0)).alias("length"), "content"
-    )
-
+    names = listed.select(_named("path").alias("path"))
+    return names.join(sizes, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"))
 
-def _plain_path(column: Column | str) -> Column:
-    return F.regexp_replace(column, "^file:/+", "file:/")
 
+def read_files(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8") -> DataFrame:
+    """Facts of each file as ``path, length, bad_lines, first_line, has_data``.
 
-def _decoded(encoding: str) -> Column:
-    """Text of a file, null when its bytes do not fit the encoding."""
-    if encoding == "utf-8":
-        return F.when(F.is_valid_utf8(F.col("content")), F.decode("content", "UTF-8"))
+    Lines are streamed and aggregated where they are read, so a file may be of any size and split among tasks.
+    """
+    if encoding not in ENCODINGS:
+        raise ValueError(f"encoding {encoding!r} is not accepted")
+    scanned = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = scanned.select(_named("_metadata.file_path").alias("path"), "value", place.alias("place"))
+    bad = ~F.is_valid_utf8("value") if encoding == "utf-8" else F.lit(False)
+    filled = F.when(F.trim("value", F.lit(" \r")) != "", F.col("place"))
+    facts = lines.groupBy("path").agg(
+        F.count_if(bad).alias("bad_lines"),
+        F.min_by("value", "place").alias("first_line"),
+        F.min("place").alias("first"),
+        F.max(filled).alias("last_filled"),
+    )
+    raw = F.regexp_replace("first_line", "\r$", "")
     # every byte has a meaning in the Latin sets
-    return F.decode("content", "ISO-8859-1")
+    text = raw if encoding == "utf-8" else F.decode(raw.cast("binary"), "ISO-8859-1")
+    read = facts.select(
+        "path",
+        "bad_lines",
+        F.when(F.is_valid_utf8(text), F.regexp_replace(text, "^\ufeff", "")).alias("first_line"),
+        F.coalesce(F.col("last_filled") > F.col("first"), F.lit(False)).alias("has_data"),
+    )
+    whole = list_files(spark, path).join(read, "path", "left")
+    return whole.select(
+        "path", "length", F.coalesce("bad_lines", F.lit(0)).alias("bad_lines"), "first_line",
+        F.coalesce("has_data", F.lit(False)).alias("has_data"),
+    )
 
 
-def first_line(text: Column) -> Column:
-    return F.regexp_replace(F.split(text, "\n", 2)[0], "\r$", "")
+def _named(column: str) -> Column:
+    """Path of a file from its address."""
+    return _plain_path(F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B"))))
+
+
+def _plain_path(column: Column | str) -> Column:
+    return F.regexp_replace(column, "^file:/+", "file:/")
 
 
 def separator_of(line: Column) -> Column:
@@ -69,21 +93,9 @@ def header_cells(line: Column, separator: Column) -> Column:
     return F.transform(cells, lambda c: F.regexp_replace(c, '^"|"$', ""))
 
 
-def profile_files(files: DataFrame, encoding: str = "utf-8") -> DataFrame:
-    """Facts per file: readable, first line, separator, columns, whether data follow."""
-    if encoding not in ENCODINGS:
-        raise ValueError(f"encoding {encoding!r} is not accepted")
-    content = F.coalesce("content", F.lit(b""))
-    decodes = F.is_valid_utf8(content) if encoding == "utf-8" else F.lit(True)
-    text = _decoded(encoding)
-    facts = files.select(
-        "path",
-        "length",
-        decodes.alias("decodes"),
-        first_line(text).alias("first_line"),
-        (F.char_length(F.trim(F.regexp_replace(text, "^[^\n]*\n?", ""))) > 0).alias("has_data"),
-    )
-    separated = facts.withColumn("separator", separator_of(F.col("first_line")))
+def profile_files(files: DataFrame) -> DataFrame:
+    """Adds separator and columns, read off the first line, and whether all lines fit the encoding."""
+    separated = files.withColumns({"decodes": F.col("bad_lines") == 0, "separator": separator_of(F.col("first_line"))})
     names = F.when(F.col("separator").isNotNull(), header_cells(F.col("first_line"), F.col("separator")))
     return separated.withColumn("columns", F.coalesce(names, F.array("first_line")))
 
@@ -117,6 +129,17 @@ def file_issues(profile: DataFrame, max_size: int = MAX_FILE_SIZE) -> DataFrame:
     return profile.select("path", F.explode(raised).alias("code"))
 
 
-def header_differs(profile: DataFrame, declared: list[str]) -> DataFrame:
-    """Files whose header is not the declared column list."""
-    return profile.where(F.col("columns") != F.array(*[F.lit(c) for c in declared])).select("path", "columns")
+def header_differs(profile: DataFrame, declared: Sequence[str]) -> DataFrame:
+    """Files whose header is not the declared column list, as ``path, columns``; empty files have none to compare."""
+    return profile.where((F.col("length") > 0) & (F.col("columns") != F.array(*[F.lit(c) for c in declared]))).select(
+        "path", "columns"
+    )
+
+
+def load_file_issues(
+    spark: SparkSession, path: str | Sequence[str], declared: Sequence[str], encoding: str, max_size: int = MAX_FILE_SIZE
+) -> DataFrame:
+    """Faults of the files of a load, ``path, code``: those of :func:`file_issues`, and headers other than declared."""
+    profile = profile_files(read_files(spark, path, encoding.lower()))
+    other = header_differs(profile, declared).select("path", F.lit("FILE_FORMAT_ERROR").alias("code"))
+    return file_issues(profile, max_size).unionByName(other).distinct()

@@ -88,10 +88,40 @@ def test_file_faults(spark, tmp_path):
         ("twice.csv", "HEADER_SAME_COLUMN_NAME"), ("bare.csv", "FILE_WITH_NO_DATA"),
         ("123.txt", "FILE_EXTENSION_ERROR"), ("123.txt", "FILE_NAME_ERROR"),
     }
-    latin = profile_files(read_files(spark, str(tmp_path / "latin.csv")), "iso-8859-1").first()
+    latin = profile_files(read_files(spark, str(tmp_path / "latin.csv"), "iso-8859-1")).first()
     assert latin["decodes"] and latin["separator"] == ";"
 
 
+def test_faults_of_the_files_of_a_load(spark, tmp_path):
+    from obsload.model.loads import Load
+    from obsload.plans.load import load_files
+    from obsload.sources.profile import list_files, load_file_issues
+
+    folder = tmp_path / "with space+plus"
+    folder.mkdir()
+    files = {
+        "good.csv": "﻿a;b\r\n1;2\r\n".encode(), "other.csv": b"b;a\n1;2\n", "bare.csv": b"a;b\n\n  \n", "none.csv": b"",
+        "bad.csv": b"a;b\n\xe9;2\n\xe9;3\n", "long.csv": b"a;b\n" + b"1;2\n" * 500,
+    }
+    for name, content in files.items():
+        (folder / name).write_bytes(content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        issues = load_file_issues(spark, str(folder), ["a", "b"], "UTF-8", 1500).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["path"].rsplit("/", 1)[1], r["code"]) for r in issues) == [
+        ("bad.csv", "ENCODING_ERROR"), ("bare.csv", "FILE_WITH_NO_DATA"), ("long.csv", "FILE_OVERSIZE"),
+        ("none.csv", "EMPTY_FILE"), ("other.csv", "FILE_FORMAT_ERROR"),
+    ]
+    assert {r["length"] for r in list_files(spark, str(folder)).collect()} == {len(c) for c in files.values()}
+    load = Load(1, ("a", "b"), {"nom_cite": "a"}, {}, id_dataset=1, id_source=1)
+    with pytest.raises(ValueError, match="long.csv has 2004 bytes"):
+        load_files(spark, str(folder), load, max_size=1500)
+    assert load_files(spark, str(folder / "good.csv"), load).files.count() == 0
+
+
 def test_reset_clears_later_steps_only(spark):
     loads = spark.createDataFrame(
         [(1, ["a"], 5, True, True, 3)],
