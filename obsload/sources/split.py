@@ -37,7 +37,7 @@ _RECORDS = "_file string, _block long, id_load int, line_no long, _record binary
 
 
 @contextmanager
-def _same_splits(spark: SparkSession) -> Iterator[None]:
+def same_splits(spark: SparkSession) -> Iterator[None]:
     """Files are cut alike in every scan inside, also when executors come or go."""
     before = spark.conf.get(_MINIMUM, None)
     spark.conf.set(_MINIMUM, before or str(spark.sparkContext.defaultParallelism))
@@ -129,7 +129,7 @@ def _is_utf8(line: bytes) -> bool:
         return False
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
+def runs_of_blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
     """Slices of a batch that come from one block of one file."""
     if not batch.num_rows:
         return
@@ -148,7 +148,7 @@ def _profiled(separator: str, utf8: bool):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quotes, key, found = Quotes(separator), None, None
         for batch in batches:
-            for file, block, part in _runs(batch):
+            for file, block, part in runs_of_blocks(batch):
                 if (file, block) != key:
                     if found is not None:
                         yield _block_row(found)
@@ -265,7 +265,7 @@ def _cut(separator: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quotes, key, cutter = Quotes(separator), None, None
         for batch in batches:
-            for file, block, part in _runs(batch):
+            for file, block, part in runs_of_blocks(batch):
                 now = (file, block, part["id_load"][0].as_py())
                 if now != key:
                     if cutter is not None:
@@ -330,7 +330,7 @@ def read_records(
         raise ValueError(f"encoding {encoding!r} is not accepted")
     load = F.lit(id_load) if isinstance(id_load, int) else id_load
     listed = list(paths) if not isinstance(paths, str) else paths
-    with _same_splits(spark):
+    with same_splits(spark):
         lines = spark.read.option("lineSep", "\n").text(listed).select(
             F.col("value").cast("binary").alias("line"),
             F.col("_metadata.file_path").alias("_file"),
