@@ -1,15 +1,18 @@
 """Issues: attached to rows as an array, listed one per line, aggregated into reports.
 
-The long form ``(id_load, line_no, code, column, value)`` is the primary artefact. Reports cut the
-line numbers of a group into runs of ``SPAN`` consecutive lines, so a code raised by every row of a
-huge load becomes many bounded arrays and never a single one; nothing is left out.
+The long form ``(id_load, line_no, code, column, value)`` is the primary artefact. Reports hold the line numbers
+of a group as bitmaps and list them in runs of ``SPAN`` consecutive lines, so a code raised by every row of a huge
+load becomes many bounded arrays and never a single one; nothing is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from obsload.model.error_types import COMMENTS, ERROR, LEVELS, WARNING, level_of
 ISSUE = "struct<code:string,column:string,value:string>"
 ISSUES = f"array<{ISSUE}>"
 SPAN = 100_000
+COMMENT_BYTES = 64 * 1024
+REPORT = ["id_load", "code", "column"]
 
 
 @dataclass(frozen=True)
@@ -75,40 +80,74 @@ def long_issues(rows: DataFrame) -> DataFrame:
     )
 
 
-def issue_runs(issues: DataFrame, span: int = SPAN) -> DataFrame:
-    """Issue aggregation: ordered line numbers per load, code, column and run of lines.
+def line_sets(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Line numbers of each group as bitmaps ``(keys…, part, bits)``, 4 KB for 32 768 lines, however many are raised."""
+    part = F.bitmap_bucket_number("line_no").alias("part")
+    return lines.groupBy(*keys, part).agg(F.bitmap_construct_agg(F.bitmap_bit_position("line_no")).alias("bits"))
+
+
+def issue_sets(issues: DataFrame) -> DataFrame:
+    """Partial report of some rows: the lines of each load, code and column as bitmaps, with their comment."""
+    sets = line_sets(issues, REPORT)
+    texts = _comments(issues, F.bitmap_bucket_number("line_no"), "part")
+    return sets.join(texts, [*REPORT, "part"], "left")
+
+
+def merge_sets(*parts: DataFrame) -> DataFrame:
+    """Partial reports of the same loads as one: bitmaps united, the first comment kept."""
+    numbered = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, numbered).groupBy(*REPORT, "part").agg(
+        F.bitmap_or_agg("bits").alias("bits"),
+        F.min_by("comment", F.when(F.col("comment").isNotNull(), F.col("_part"))).alias("comment"),
+    )
+
+
+def set_runs(sets: DataFrame, keys: Sequence[str], span: int = SPAN) -> DataFrame:
+    """Ordered line numbers ``(keys…, run, lines)`` of bitmaps; run ``k`` holds lines ``k * span + 1`` to ``(k + 1) * span``."""
+
+    def unpacked(parts: pa.Array, bitmaps: pa.Array) -> pa.Array:
+        out = []
+        for part, bits in zip(parts.to_pylist(), bitmaps.to_pylist(), strict=True):
+            lines = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + (part - 1) * len(bits) * 8 + 1
+            runs = (lines - 1) // span
+            cuts = np.flatnonzero(np.diff(runs)) + 1
+            starts = np.r_[0, cuts][: len(lines)]
+            out.append([{"run": int(runs[a]), "lines": x.tolist()} for a, x in zip(starts, np.split(lines, cuts), strict=False)])
+        return pa.array(out, pa.list_(pa.struct([("run", pa.int64()), ("lines", pa.list_(pa.int64()))])))
+
+    runs = F.arrow_udf(unpacked, "array<struct<run:bigint,lines:array<bigint>>>")("part", "bits")
+    listed = sets.select(*keys, F.explode(runs).alias("r")).select(*keys, "r.run", "r.lines")
+    return listed.groupBy(*keys, "run").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"))
+
 
-    Run ``k`` holds lines ``k * span + 1`` to ``(k + 1) * span``; a load shorter than ``span`` has
-    one run per group. The comment lists the failing cells of the run in line order.
+def _comments(issues: DataFrame, place: Column, name: str) -> DataFrame:
+    """Failing cells ``(load, code, column, name, comment)`` in line order, the first ``COMMENT_BYTES`` of each group.
+
+    The cut is made while the cells stream by in order, so a group of huge cells is never held; all cells are in
+    the long table.
     """
-    per_line = issues.groupBy(
-        "id_load", "code", "column", F.floor((F.col("line_no") - 1) / span).alias("run"), "line_no"
-    ).agg(F.first(F.when(F.col("code").isin(*COMMENTS), F.col("value")), ignorenulls=True).alias("value"))
-    grouped = per_line.groupBy("id_load", "code", "column", "run").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("hits")
+    failed = issues.where(F.col("code").isin(*COMMENTS) & F.col("value").isNotNull())
+    cells = failed.groupBy(*REPORT, "line_no", place.alias(name)).agg(F.min("value").alias("value"))
+    before = Window.partitionBy(*REPORT, name).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    sized = cells.withColumn("_before", F.coalesce(F.sum(F.octet_length("value") + 2).over(before), F.lit(0)))
+    kept = sized.where(F.col("_before") < COMMENT_BYTES).groupBy(*REPORT, name).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda h: h["value"]).alias("values")
     )
-    values = F.filter(F.transform("hits", lambda h: h["value"]), lambda v: v.isNotNull())
     comment = F.lit(None).cast("string")
     for code, lead in COMMENTS.items():
-        listed = F.concat(F.lit(lead), F.array_join(values, ", "))
-        comment = F.when((F.col("code") == code) & (F.size(values) > 0), listed).otherwise(comment)
-    return grouped.select(
-        "id_load",
-        "code",
-        "column",
-        "run",
-        F.transform("hits", lambda h: h["line_no"]).alias("lines"),
-        comment.alias("comment"),
-    )
+        comment = F.when(F.col("code") == code, F.concat(F.lit(lead), F.array_join("values", ", "))).otherwise(comment)
+    return kept.select(*REPORT, name, comment.alias("comment"))
 
 
-def merge_runs(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Two partial reports of the same loads: line numbers united, the first comment kept."""
-    both = first.withColumn("_part", F.lit(0)).unionByName(second.withColumn("_part", F.lit(1)))
-    return both.groupBy("id_load", "code", "column", "run").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"),
-        F.min_by("comment", F.when(F.col("comment").isNotNull(), F.col("_part"))).alias("comment"),
-    )
+def issue_runs(issues: DataFrame, span: int = SPAN) -> DataFrame:
+    """Issue aggregation: ordered line numbers per load, code, column and run of lines.
+
+    A load shorter than ``span`` has one run per group. The comment lists the failing cells of the run in line
+    order.
+    """
+    runs = set_runs(line_sets(issues, REPORT), REPORT, span)
+    texts = _comments(issues, F.floor((F.col("line_no") - 1) / span), "run")
+    return runs.join(texts, [*REPORT, "run"], "left")
 
 
 def with_type(report: DataFrame, error_types: DataFrame) -> DataFrame:
@@ -138,11 +177,7 @@ def report_rows(issues: DataFrame, error_types: DataFrame, first: int = 30) -> D
 
 def erroneous_lines(rows: DataFrame, span: int = SPAN) -> DataFrame:
     """Ordered numbers of the invalid lines of each load, in runs."""
-    return (
-        rows.where(~F.col("valid"))
-        .groupBy("id_load", F.floor((F.col("line_no") - 1) / span).alias("run"))
-        .agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
-    )
+    return set_runs(line_sets(rows.where(~F.col("valid")), ["id_load"]), ["id_load"], span)
 
 
 def error_counts(rows: DataFrame) -> DataFrame:

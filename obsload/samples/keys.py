@@ -190,10 +190,9 @@ FROM i GROUP BY ALL""",
 def batch_merge(spark, folder):
     """Three batches reported apart and merged give the report of the whole."""
     rows = dated_rows(spark, folder)
-    parts = [
-        issue_ops.issue_runs(long_issues(rows.where(F.col("line_no") % 3 == k))) for k in range(3)
-    ]
-    merged = issue_ops.merge_runs(issue_ops.merge_runs(parts[0], parts[1]), parts[2])
+    parts = [issue_ops.issue_sets(long_issues(rows.where(F.col("line_no") % 3 == k))) for k in range(3)]
+    sets = issue_ops.merge_sets(issue_ops.merge_sets(parts[0], parts[1]), parts[2])
+    merged = issue_ops.set_runs(sets, issue_ops.REPORT)
     return merged.select("id_load", "code", "column", "run", joined_lines("lines").alias("lines"))
 
 

@@ -250,3 +250,26 @@ def test_checks_of_the_caller_and_whole_records(spark, dims, tmp_path):
     assert shown["NAME_TOO_SHORT"] == ("own", "ERROR") and shown["DUPLICATE_ROWS"][1] == "ERROR"
     with pytest.raises(ValueError, match="NAME_ODD"):
         Check("NAME_ODD", "x", F.lit(True)).issue()
+
+
+def test_line_sets_stay_small_and_comments_are_cut(spark):
+    from obsload.operators import issues as ops
+
+    lines = [1, 2, 32768, 32769, 65536, 65537, 100000, 100001, 5_000_000_000]
+    rows = [(1, n, "INVALID_DATE", "d", f"v{n}") for n in lines] + [(1, 2, "MISSING_VALUE", "d", None), (2, 7, "INVALID_DATE", "e", None)]
+    issues = spark.createDataFrame(rows, "id_load int, line_no long, code string, column string, value string")
+    found = {(r["id_load"], r["code"], r["run"]): r for r in ops.issue_runs(issues).collect()}
+    assert found[1, "INVALID_DATE", 0]["lines"] == lines[:7] and found[1, "INVALID_DATE", 49999]["lines"] == lines[8:]
+    assert found[1, "INVALID_DATE", 1]["comment"].endswith(": v100001") and found[1, "MISSING_VALUE", 0]["comment"] is None
+    assert found[2, "INVALID_DATE", 0]["lines"] == [7] and len(found) == 5
+    halves = [ops.issue_sets(issues.where(F.col("line_no") % 2 == k)) for k in (0, 1)]
+    merged = ops.merge_sets(*halves, halves[0])
+    got = {(r["id_load"], r["code"], r["run"]): r["lines"] for r in ops.set_runs(merged, ops.REPORT).collect()}
+    assert got == {k: r["lines"] for k, r in found.items()}
+    first = merged.where("code = 'INVALID_DATE' AND id_load = 1 AND part = 1").first()
+    assert len(first["bits"]) == 4096 and first["comment"].endswith(": v2, v32768")
+    every = spark.range(1, 200_001).select(F.lit(1).alias("id_load"), F.col("id").alias("line_no"), F.lit("INVALID_DATE").alias("code"),
+        F.lit("d").alias("column"), F.repeat(F.lit("x"), 1000).alias("value"))
+    runs = ops.issue_runs(every).collect()
+    assert sorted(len(r["lines"]) for r in runs) == [100_000, 100_000]
+    assert all(ops.COMMENT_BYTES <= len(r["comment"]) < ops.COMMENT_BYTES + 1100 for r in runs)
