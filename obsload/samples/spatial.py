@@ -445,6 +445,51 @@ def geometry_fill(spark, folder):
     return filled.unionByName(back)
 
 
+@query(
+    "reproject_utm",
+    """WITH p AS (SELECT 1 / (2 * 298.257223563 - 1) AS n, 0.9996 * 6378137.0 AS s),
+q AS (SELECT *, s / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) AS a, 2 * sqrt(n) / (1 + n) AS k,
+  n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16 + 41 * pow(n, 4) / 180 AS a1, 13 * n * n / 48 - 3 * pow(n, 3) / 5 + 557 * pow(n, 4) / 1440 AS a2,
+  61 * pow(n, 3) / 240 - 103 * pow(n, 4) / 140 AS a3, 49561 * pow(n, 4) / 161280 AS a4 FROM p),
+c AS (SELECT c_custkey, c_custkey % 2 = 1 AS south, CASE WHEN c_custkey % 2 = 1 THEN 57 ELSE 3 END AS l0,
+  CASE WHEN c_custkey % 2 = 1 THEN 57 ELSE 3 END + (c_custkey % 59 - 29) / 10.0 AS lon,
+  CASE WHEN c_custkey % 2 = 1 THEN -79 + c_custkey % 79 ELSE c_custkey % 84 END + 0.5 AS lat FROM customer),
+t AS (SELECT *, sinh(atanh(sin(radians(lat))) - k * atanh(k * sin(radians(lat)))) AS t, radians(lon - l0) AS d FROM c, q),
+u AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT c_custkey,
+  round(500000 + a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)
+    + a4 * cos(8 * xi) * sinh(8 * eta)), 2) AS x,
+  round(CASE WHEN south THEN 10000000 ELSE 0 END + a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta)
+    + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)), 2) AS y,
+  round(6378137.0 * radians(lon), 2) AS web_x, round(6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)), 2) AS web_y, true AS back
+FROM u""",
+)
+def reproject_utm(spark, folder):
+    """Positions in zones of either half of the earth and in the system of web maps, there and back."""
+    key = F.col("c_custkey")
+    parts = []
+    for odd, srid, meridian in ((0, 32631, 3), (1, 32740, 57)):
+        lat = (key % 79 - 79 if odd else key % 84) + 0.5
+        rows = table(spark, folder, "customer").where(key % 2 == odd).select(
+            key, point((meridian + (key % 59 - 29) / 10.0).cast("double"), lat.cast("double")).alias("g")
+        )
+        moved = rows.select(
+            key, "g", crs.reproject(F.col("g"), crs.GEOGRAPHIC, srid).alias("z"), crs.reproject(F.col("g"), crs.GEOGRAPHIC, crs.WEB).alias("w")
+        )
+        # through the web system and back into degrees
+        again = moved.withColumn("v", crs.reproject(F.col("z"), srid, crs.WEB))
+        again = again.withColumn("b", crs.reproject(F.col("v"), crs.WEB, crs.GEOGRAPHIC))
+        g, z, w, b = (first_vertex(F.col(c)) for c in "gzwb")
+        parts.append(
+            again.select(
+                key, F.round(z["x"], 2).alias("x"), F.round(z["y"], 2).alias("y"), F.round(w["x"], 2).alias("web_x"),
+                F.round(w["y"], 2).alias("web_y"),
+                ((F.abs(g["x"] - b["x"]) < 1e-9) & (F.abs(g["y"] - b["y"]) < 1e-9)).alias("back"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "extent",
     """WITH c AS (SELECT c_nationkey, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 180 END AS x,

@@ -159,3 +159,43 @@ def test_projection_origin_and_round_trip(spark):
     row = spark.range(1).select(x.alias("x"), y.alias("y"), lon.alias("lon"), lat.alias("lat")).first()
     assert row["x"] == pytest.approx(700000, abs=1e-6) and row["y"] == pytest.approx(6600000, abs=1e-6)
     assert row["lon"] == pytest.approx(-1.75, abs=1e-10) and row["lat"] == pytest.approx(48.125, abs=1e-10)
+
+
+def test_transverse_mercator_zones(spark):
+    import math
+
+    from obsload.functions.geometry import first_vertex, point, within_convex
+
+    zone = crs.zone_of(32631)
+    assert (zone.meridian, zone.south) == (3, False) and crs.zone_of(2975).meridian == 57 and crs.zone_of(2975).south
+    assert crs.zone_of(25832).meridian == 9 and crs.zone_of(5490).meridian == -63 and crs.zone_of(27700) is None
+    # along the meridian north is the scaled length of its arc, summed here in small steps
+    f = zone.flattening
+    e2 = f * (2 - f)
+    steps = 200_000
+    arc = sum(1 / (1 - e2 * math.sin(math.radians(47.5 * (i + 0.5) / steps)) ** 2) ** 1.5 for i in range(steps))
+    arc *= 6378137.0 * (1 - e2) * math.radians(47.5) / steps
+    east, north = zone.project(3, 47.5, math)
+    assert abs(east - 500000) < 1e-6 and abs(north - 0.9996 * arc) < 1e-4
+    # conformal: a small step east and one north have equal lengths on the map, at right angles
+    def step(dlon, dlat):
+        a, b = zone.project(5.2 - dlon, 47.5 - dlat, math), zone.project(5.2 + dlon, 47.5 + dlat, math)
+        return b[0] - a[0], b[1] - a[1]
+    w = 1 - e2 * math.sin(math.radians(47.5)) ** 2
+    tiny = 1e-4
+    by_lat, by_lon = (1 - e2) / w**1.5, math.cos(math.radians(47.5)) / w**0.5
+    (x0, y0), (x1, y1) = step(tiny, 0), step(0, tiny)
+    assert abs(math.hypot(x0, y0) / by_lon - math.hypot(x1, y1) / by_lat) < 1e-6 * math.hypot(x0, y0)
+    assert abs(x0 * x1 + y0 * y1) < 1e-6 * math.hypot(x0, y0) ** 2
+    places = [(500000.0, 5e6, True), (170000.0, 1e5, True), (100000.0, 5e6, False), (500000.0, -10.0, False), (290000.0, 8.1e6, False)]
+    df = spark.createDataFrame(places, "x double, y double, inside boolean")
+    got = df.select("inside", within_convex(point(F.col("x"), F.col("y")), crs.area_of_use(32631)).alias("found")).collect()
+    assert all(r["inside"] == r["found"] for r in got)
+    with pytest.raises(ValueError, match="27700"):
+        crs.reproject(point(F.lit(1.0), F.lit(2.0)), 27700, crs.GEOGRAPHIC)
+    with pytest.raises(ValueError, match="27700"):
+        crs.area_of_use(27700)
+    there = spark.range(1).select(crs.reproject(point(F.lit(55.5), F.lit(-21.1)), crs.GEOGRAPHIC, 2975).alias("g"))
+    web = there.select(crs.reproject(F.col("g"), 2975, crs.WEB).alias("g"))
+    back = web.select(first_vertex(crs.reproject(F.col("g"), crs.WEB, crs.GEOGRAPHIC)).alias("v")).first()["v"]
+    assert abs(back["x"] - 55.5) < 1e-10 and abs(back["y"] + 21.1) < 1e-10
