@@ -1,18 +1,12 @@
-"""Areas: attachment by code, containment of points, restriction to one area.
-
-Containment cuts areas into square cells. A cell wholly inside an area answers at once; a cell on
-the border keeps only the edges of its horizontal band, which is all an even-odd test along a row
-needs. Points then meet areas by an equi-join on the cell.
-"""
+"""Areas: attachment of rows by code, and the shapes of those they are attached to."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsload.functions.crs import GEOGRAPHIC, reproject
-from obsload.functions.geometry import bounds, centroid, first_vertex, in_rings, on_edges, segments
+from obsload.functions.geometry import centroid, first_vertex
 from obsload.operators.keyed import BROADCAST_BYTES, BROADCAST_KEYS, fetch
 from obsload.workspace import small_enough, written
 
@@ -22,9 +16,6 @@ AREA_TYPES = {
     "codedepartement": ["DEP"],
     "codemaille": ["M1", "M5", "M10"],
 }
-EDGE = "struct<x0:double,y0:double,x1:double,y1:double>"
-RESTRICTION_CELLS = 64
-
 
 # what a row carries of its area; shapes stay in the referential until rows are appended
 ATTACHED = ["id_area_attachment", "area_x", "area_y"]
@@ -100,116 +91,3 @@ def attach_by_code(
         keyed, attachment_table(areas, local), ["code_field", "area_code"], ATTACHED, spread, settle, unique=True
     )
     return found.drop("code_field", "area_code")
-
-
-def banded_cells(shapes: DataFrame, key: str, size: float) -> DataFrame:
-    """Cells ``(key, cx, cy, edges)`` of the box around each shape, with the edges of their row.
-
-    Shapes are cut into horizontal bands first: a cell carries the few edges crossing its band
-    instead of the whole outline, and any even-odd test along a row needs no others. Cells merely
-    touched on their border are included.
-    """
-
-    def reach(low: Column, high: Column) -> Column:
-        first = F.ceil(low / size).cast("long") - 1
-        return F.explode(F.sequence(first, F.floor(high / size).cast("long")))
-
-    edges = shapes.select(
-        key, bounds(F.col("geom")).alias("b"), F.explode(segments(F.col("geom"))).alias("e")
-    )
-    low, high = F.least("e.y0", "e.y1"), F.greatest("e.y0", "e.y1")
-    bands = (
-        edges.select(key, "b", "e", reach(low, high).alias("cy"))
-        .groupBy(key, "cy")
-        .agg(F.first("b").alias("b"), F.collect_list("e").cast(f"array<{EDGE}>").alias("edges"))
-    )
-    return bands.select(key, "cy", "edges", reach(F.col("b.xmin"), F.col("b.xmax")).alias("cx"))
-
-
-def area_cells(areas: DataFrame, size: float) -> DataFrame:
-    """Cells ``(cx, cy, id_area, full, edges)`` covering each area.
-
-    ``full`` cells lie inside; the others carry the edges of their band.
-    """
-    cells = banded_cells(areas, "id_area", size)
-    left, bottom = F.col("cx") * size, F.col("cy") * size
-
-    def near(e: Column) -> Column:
-        return (
-            (F.greatest(e["x0"], e["x1"]) >= left)
-            & (F.least(e["x0"], e["x1"]) <= left + size)
-            & (F.greatest(e["y0"], e["y1"]) >= bottom)
-            & (F.least(e["y0"], e["y1"]) <= bottom + size)
-        )
-
-    judged = cells.withColumns(
-        {
-            "border": F.exists("edges", near),
-            "centre_in": in_rings(left + size / 2, bottom + size / 2, F.col("edges")),
-        }
-    )
-    return judged.where(F.col("border") | F.col("centre_in")).select(
-        "cx",
-        "cy",
-        "id_area",
-        (~F.col("border")).alias("full"),
-        # a ray to the right never meets the edges left of the cell
-        F.when(F.col("border"), F.filter("edges", lambda e: F.greatest(e["x0"], e["x1"]) >= left))
-        .otherwise(F.array().cast(f"array<{EDGE}>"))
-        .alias("edges"),
-    )
-
-
-def cell_of(x: Column, y: Column, size: float) -> tuple[Column, Column]:
-    return F.floor(x / size).cast("long"), F.floor(y / size).cast("long")
-
-
-def _holds(candidate: Column, x: Column, y: Column, with_border: bool) -> Column:
-    edges = candidate["edges"]
-    touching = on_edges(x, y, edges)
-    exact = (in_rings(x, y, edges) | touching) if with_border else (in_rings(x, y, edges) & ~touching)
-    return candidate["full"] | exact
-
-
-def outline(areas: DataFrame, id_area: int) -> np.ndarray:
-    """Edges of one area, brought to the driver to travel with the tasks."""
-    row = areas.where(F.col("id_area") == id_area).select(segments(F.col("geom")).alias("s")).first()
-    if row is None:
-        raise ValueError(f"area {id_area} is not in the referential")
-    return np.array([(e["x0"], e["y0"], e["x1"], e["y1"]) for e in row["s"]], dtype=float)
-
-
-def point_outside(
-    df: DataFrame,
-    areas: DataFrame,
-    id_area: int,
-    edges: np.ndarray,
-    x: Column,
-    y: Column,
-    spread: Column,
-) -> DataFrame:
-    """Adds ``point_out``: the position shares nothing with one area, its border included.
-
-    The area is cut into at most ``(RESTRICTION_CELLS + 2)`` squared cells whatever its extent. They
-    are written and measured: small ones are broadcast, the cells of a very detailed outline are
-    looked up by key.
-    """
-    span = max(np.ptp(edges[:, [0, 2]]), np.ptp(edges[:, [1, 3]]))
-    size = float(span) / RESTRICTION_CELLS
-    cells = area_cells(areas.where(F.col("id_area") == id_area), size).select(
-        F.col("cx").alias("_pcx"), F.col("cy").alias("_pcy"), "full", "edges"
-    )
-    cells = written(cells, "area-cells")
-    cx, cy = cell_of(x, y, size)
-    placed = df.withColumns({"_px": x, "_py": y, "_pcx": cx, "_pcy": cy})
-    keys = ["_pcx", "_pcy"]
-    if small_enough(cells, BROADCAST_KEYS, BROADCAST_BYTES):
-        joined = placed.join(F.broadcast(cells), keys, "left")
-    else:
-        joined = fetch(placed, cells, keys, ["full", "edges"], spread, unique=True)
-    held = F.coalesce(
-        _holds(F.struct("full", "edges"), F.col("_px"), F.col("_py"), True), F.lit(False)
-    )
-    return joined.select(
-        *[F.col(c) for c in df.columns], F.when(F.col("_px").isNotNull(), ~held).alias("point_out")
-    )

@@ -113,23 +113,24 @@ def _kept(cells: DataFrame, edges: Column) -> DataFrame:
     return own.where((F.size("edges") > 0) | F.col("inside"))
 
 
-def _holding(candidates: Column, x: Column, y: Column, level: Column, unit: float) -> Column:
-    """Ids of the candidates of a point's cell that hold it, borders excluded."""
+def _holding(candidates: Column, x: Column, y: Column, level: Column, unit: float, with_border: bool) -> Column:
+    """Ids of the candidates of a point's cell that hold it."""
     side = _side(level, unit)
     start = _reference(F.floor(x / side), F.floor(y / side), side)
 
     def holds(c: Column) -> Column:
-        odd = crosses_oddly(c["edges"], *start, x, y)
-        return (F.size(c["edges"]) == 0) | ((c["inside"] != odd) & ~on_edges(x, y, c["edges"]))
+        odd, on = crosses_oddly(c["edges"], *start, x, y), on_edges(x, y, c["edges"])
+        within = c["inside"] != odd
+        return (F.size(c["edges"]) == 0) | ((within | on) if with_border else (within & ~on))
 
     return F.transform(F.filter(candidates, holds), lambda c: c["id_area"])
 
 
 def areas_of_points(
     points: DataFrame, areas: DataFrame, unit: float, x: str, y: str, spread: Column,
-    broadcast_keys: int = BROADCAST_KEYS, broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_keys: int = BROADCAST_KEYS, broadcast_bytes: int = BROADCAST_BYTES, with_border: bool = False,
 ) -> DataFrame:
-    """Points with ``id_areas``, the ordered ids of the areas containing them (border excluded).
+    """Points with ``id_areas``, the ordered ids of the areas containing them; borders count ``with_border`` only.
 
     Points meet the cells of each level in use by an equi-join. The cells are written and measured: small ones are
     broadcast, so points are not shuffled; otherwise each distinct position is looked up once, hot cells and hot
@@ -155,7 +156,7 @@ def areas_of_points(
             )
             at = cell(F.lit(k))
             rows = rows.withColumns({"_qx": at[0], "_qy": at[1]}).join(F.broadcast(own), ["_qx", "_qy"], "left").drop("_qx", "_qy")
-            found.append(F.coalesce(_holding(F.col(f"_held{k}"), px, py, F.lit(k), unit), none))
+            found.append(F.coalesce(_holding(F.col(f"_held{k}"), px, py, F.lit(k), unit, with_border), none))
         ids = F.array_sort(F.concat(*found))
         return rows.select(*points.columns, ids.alias("id_areas"))
 
@@ -167,7 +168,7 @@ def areas_of_points(
     counts = key_counts(asked, keys)
     known = counts.join(per_cell, keys)
     met = left_lookup(asked, known, keys, ["candidates"], counts, F.xxhash64(x, y)).where(F.col("candidates").isNotNull())
-    ids = met.select(x, y, F.explode(_holding(F.col("candidates"), px, py, F.col("level"), unit)).alias("id"))
+    ids = met.select(x, y, F.explode(_holding(F.col("candidates"), px, py, F.col("level"), unit, with_border)).alias("id"))
     held = ids.groupBy(x, y).agg(F.array_sort(F.collect_list("id")).alias("id_areas")).join(positions, [x, y])
     looked = left_lookup(points, held, [x, y], ["id_areas"], positions, spread)
     return looked.select(*points.columns, F.coalesce("id_areas", none).alias("id_areas"))

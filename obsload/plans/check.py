@@ -8,23 +8,26 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsload.functions.geometry import centroid, first_vertex, point
+from obsload.functions.geometry import bounds, centroid, first_vertex, point
 from obsload.functions.scalars import row_uuid
-from obsload.functions.shapes import disjoint_from, is_valid
 from obsload.model.dictionary import DICTIONARY, Dictionary
 from obsload.model.error_types import GEOMETRY_FIELDS
 from obsload.model.loads import Dimensions, Load, Settings
-from obsload.operators import areas as area_ops
 from obsload.operators import vocabulary as vocab_ops
 from obsload.operators.elevation import AREA_KEY, filled_altitudes, with_altitudes
 from obsload.operators.georef import attach_areas, attachment_checks, both_systems
 from obsload.operators.issues import Check, has_error, long_issues, with_issues
 from obsload.operators.keyed import ABSENT, PRESENT, REPEATED, Question, fetch, flag_lines, record_digest, with_answers
+from obsload.operators.quads import areas_of_points
 from obsload.operators.rows import row_checks
 from obsload.operators.sets import date_checks, range_checks, url_check
+from obsload.operators.topology import OUTLINE_LEVELS, invalid_shapes, shapes_meeting
 from obsload.workspace import written
 
 
+ROW = ["id_load", "line_no"]
+
+
 @dataclass(frozen=True)
 class Checked:
     """Rows with their ``valid`` flag, issues and target columns, and the long issue table."""
@@ -78,14 +81,13 @@ def check_load(
     if "digital_proof" in fields:
         checks.append(url_check("digital_proof", label("digital_proof")))
     if "WKT" in fields:
-        # only lines and polygons go through Python, in a narrow scan of their own
-        shapes = base.where(F.col("geom.kind") != "POINT").select("id_load", "line_no", "geom")
-        rows = flag_lines(rows, shapes.where(~is_valid(F.col("geom"))), "_unsound")
+        shapes = base.where(F.col("geom.kind") != "POINT").select(*ROW, "geom")
+        rows = flag_lines(rows, invalid_shapes(shapes, ROW), "_unsound")
         given = F.col(fields["WKT"].source_column).isNotNull()
         checks.append(Check("INVALID_GEOMETRY", label("WKT"), given & F.col("_unsound")))
     rows = with_issues(rows, [*checks, *extra_checks])
     if settings.restrict_to_area is not None and dims.areas is not None:
-        rows = _restriction_stage(rows, dims, settings)
+        rows = _restriction_stage(rows, base, load, dims, settings)
     valid = ~has_error(F.col("issues"), extra_checks)
     # the centre only matters for rows that reach the target
     of_area = F.when(F.col("area_x").isNotNull(), point(F.col("area_x"), F.col("area_y")))
@@ -185,7 +187,7 @@ def _reference_stage(rows, base, load, dims, settings, label, fields, staged_cel
         asked.append((Question("_same_row", ("_record",), REPEATED), "DUPLICATE_ROWS", ""))
     questions = [q for q, _, _ in asked]
     source = base.withColumns(derived) if derived else base
-    rows = with_answers(rows.withColumns(derived) if derived else rows, questions, ["id_load", "line_no"], source)
+    rows = with_answers(rows.withColumns(derived) if derived else rows, questions, ROW, source)
     checks = [
         Check(code, label(name) if name else "", F.col(q.flag), F.col(name) if name else None) for q, code, name in asked
     ]
@@ -223,31 +225,31 @@ def _generated_uuid(rows, fields, settings):
     return rows.withColumn("unique_id_sinp", F.when(empty & own.isNull(), made).otherwise(own))
 
 
-def _restriction_stage(rows, dims, settings):
+def _restriction_stage(rows, base, load, dims, settings):
+    """Rows outside the area the instance is restricted to: positions, shapes, and areas rows are attached to."""
     id_area, geom = settings.restrict_to_area, F.col("the_geom_local")
-    spread = F.col("line_no")
-    edges = area_ops.outline(dims.areas, id_area)
-    head = first_vertex(geom)
-    is_point = geom["kind"] == "POINT"
-    rows = area_ops.point_outside(
-        rows, dims.areas, id_area, edges,
-        F.when(is_point, head["x"]), F.when(is_point, head["y"]), spread,
-    )
-    attached = F.col("id_area_attachment").isNotNull()
-    # written, because a Python test must read its geometry from a column, not from an expression
-    own = written(
-        rows.where(~attached & ~is_point).select("id_load", "line_no", geom.alias("g")), "shapes"
-    )
-    rows = flag_lines(rows, own.where(disjoint_from(F.col("g"), edges)), "_shape_out")
+    area = dims.areas.where((F.col("id_area") == id_area) & F.col("geom").isNotNull()).select("id_area", "geom").limit(1)
+    extent = area.select(bounds(F.col("geom")).alias("b")).first()
+    if extent is None:
+        raise ValueError(f"area {id_area} is not in the referential")
+    b, head, is_point = extent["b"], first_vertex(geom), geom["kind"] == "POINT"
+    unit = max(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]) / 2**OUTLINE_LEVELS or 1.0
+    placed = rows.withColumns({"_x": F.when(is_point, head["x"]), "_y": F.when(is_point, head["y"])})
+    rows = areas_of_points(placed, area, unit, "_x", "_y", F.col("line_no"), with_border=True)
+
+    moved = both_systems(base.where(F.col("geom.kind") != "POINT").select(*ROW, "geom"), load.srid, settings.local_srid)
+    shapes = moved.select(*ROW, F.col("the_geom_local").alias("geom"))
+    rows = flag_lines(rows, shapes_meeting(shapes, ROW, area), "_shape_in")
     # an attached area is judged once, not once per row
-    apart = (
-        written(dims.areas.select(F.col("id_area").alias("id_area_attachment"), "geom"), "areas")
-        .where(disjoint_from(F.col("geom"), edges))
-        .select("id_area_attachment", F.lit(True).alias("_area_out"))
-    )
-    rows = fetch(rows, apart, ["id_area_attachment"], ["_area_out"], spread, settle=True)
-    out = F.when(attached, F.coalesce("_area_out", F.lit(False))).otherwise(
-        F.coalesce("point_out", "_shape_out")
+    own = dims.areas.select(F.col("id_area").alias("id_area_attachment"), "geom")
+    near = shapes_meeting(own, ["id_area_attachment"], area).withColumn("_area_in", F.lit(True))
+    rows = fetch(rows, near, ["id_area_attachment"], ["_area_in"], F.col("line_no"), settle=True, unique=True)
+
+    attached = F.col("id_area_attachment").isNotNull()
+    inside = (
+        F.when(attached, F.coalesce("_area_in", F.lit(False)))
+        .when(is_point, F.size("id_areas") > 0)
+        .otherwise(F.col("_shape_in"))
     )
-    outside = ~has_error(F.col("issues")) & (geom.isNotNull() | attached) & out
-    return with_issues(rows, [Check("GEOMETRY_OUTSIDE", GEOMETRY_FIELDS, outside)]).drop("point_out")
+    outside = ~has_error(F.col("issues")) & (geom.isNotNull() | attached) & ~inside
+    return with_issues(rows, [Check("GEOMETRY_OUTSIDE", GEOMETRY_FIELDS, outside)]).drop("id_areas")

@@ -15,15 +15,14 @@ from obsload.functions.geometry import (
     vertices,
     within_convex,
 )
-from obsload.functions.shapes import disjoint_from, is_valid
 from obsload.model.dictionary import DICTIONARY
-from obsload.operators import areas as area_ops
 from obsload.operators import quads
 from obsload.operators.elevation import AREA_KEY, filled_altitudes, with_altitudes
 from obsload.operators.georef import attach_areas, attachment_checks, both_systems
 from obsload.operators.issues import long_issues, with_issues
 from obsload.operators.rows import position_checks, read_position
 from obsload.operators.stats import extent
+from obsload.operators.topology import invalid_shapes, shapes_meeting
 from obsload.samples.registry import case, query, table, text
 from obsload.workspace import written
 
@@ -233,8 +232,9 @@ def shape_validity(spark, folder):
         F.lit("))"),
     )
     shape = case(F.col("c_custkey"), 4, square_wkt(x, y), bow, holed, stray)
-    rows = table(spark, folder, "customer").select("c_custkey", parse_wkt(shape).alias("g"))
-    return rows.select("c_custkey", is_valid(F.col("g")).alias("valid"))
+    rows = written(table(spark, folder, "customer").select("c_custkey", parse_wkt(shape).alias("g")), "shapes")
+    bad = invalid_shapes(rows, ["c_custkey"], "g").withColumn("bad", F.lit(True))
+    return rows.join(bad, "c_custkey", "left").select("c_custkey", F.col("bad").isNull().alias("valid"))
 
 
 @query(
@@ -354,14 +354,13 @@ SELECT c_custkey, NOT (x >= ax AND y >= ay AND (x - ax) + (y - ay) <= 10) AS poi
 FROM c, a""",
 )
 def area_restriction(spark, folder):
-    areas = nations(spark, folder, triangle_wkt)
-    edges = area_ops.outline(areas, 7)
-    rows = customers(spark, folder)
-    placed = area_ops.point_outside(
-        rows, areas, 7, edges, F.col("x"), F.col("y"), F.col("c_custkey")
-    )
-    shaped = placed.withColumn("g", parse_wkt(square_wkt(F.col("x"), F.col("y"), 1)))
-    return shaped.select("c_custkey", "point_out", disjoint_from(F.col("g"), edges).alias("square_out"))
+    area = nations(spark, folder, triangle_wkt).where("id_area = 7").select("id_area", "geom")
+    rows = quads.areas_of_points(customers(spark, folder), area, 0.01, "x", "y", F.col("c_custkey"), with_border=True)
+    shaped = written(rows.withColumn("g", parse_wkt(square_wkt(F.col("x"), F.col("y"), 1))), "squares")
+    near = shapes_meeting(shaped, ["c_custkey"], area, "g").withColumn("near", F.lit(True))
+    return shaped.join(near, "c_custkey", "left").select(
+        "c_custkey", (F.size("id_areas") == 0).alias("point_out"), F.col("near").isNull().alias("square_out")
+    )
 
 
 _E2 = repr(crs._E)

@@ -1,25 +1,6 @@
-"""Arrow-batched tests on lines and polygons, which column expressions cannot state in linear size.
-
-Points never reach these functions: callers pass null for them, so a batch of points ships nulls.
-The geometry must be a stored column, not an expression: Spark does not hand the results of nested
-lambda expressions to a Python function.
-"""
-
-from __future__ import annotations
-
-import sys
+"""Validity and disjointness of shapes edge by edge, as a plain reference for the operators."""
 
 import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
-
-from obsload.functions.geometry import is_areal, rings, vertices
-
-# executors need not have this package installed: its functions travel with the plan
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _BLOCK = 2048  # edges compared per NumPy block, so memory stays linear in the ring size
 
@@ -58,7 +39,7 @@ def _covers(edges: np.ndarray, x: float, y: float) -> bool:
     return bool(np.count_nonzero(x < at) % 2)
 
 
-def _valid_polygon(xs: np.ndarray, ys: np.ndarray, sizes: np.ndarray, owners: np.ndarray) -> bool:
+def valid_polygon(xs: np.ndarray, ys: np.ndarray, sizes: np.ndarray, owners: np.ndarray) -> bool:
     """Rings closed, with area, not crossing themselves or each other; holes inside their shell."""
     if not (np.isfinite(xs).all() and np.isfinite(ys).all()):
         return False
@@ -156,62 +137,7 @@ def _ring_inside(inner: np.ndarray, outer: np.ndarray) -> bool:
     return _covers(outer, *mid[0])
 
 
-def _flat(geometry: Column, wanted: Column) -> list[Column]:
-    """Coordinates, ring sizes and rings per part as plain arrays; null unless ``wanted``."""
-    flat = vertices(geometry)
-    columns = [
-        flat.getField("x"),
-        flat.getField("y"),
-        F.transform(rings(geometry), F.size),
-        F.transform(geometry["parts"], F.size),
-    ]
-    return [F.when(wanted, c) for c in columns]
-
-
-@F.pandas_udf(BooleanType())
-def _polygons_valid(
-    xs: pd.Series, ys: pd.Series, sizes: pd.Series, per_part: pd.Series
-) -> pd.Series:
-    answers = [
-        None
-        if x is None
-        else _valid_polygon(x, y, np.asarray(n, int), np.repeat(np.arange(len(p)), p))
-        for x, y, n, p in zip(xs, ys, sizes, per_part, strict=True)
-    ]
-    return pd.Series(answers, dtype=object)
-
-
-def is_valid(geometry: Column) -> Column:
-    """Topological validity; null for a null geometry."""
-    proper_line = F.forall(rings(geometry), lambda r: F.size(F.array_distinct(r)) > 1)
-    return (
-        F.when(F.size(geometry["parts"]) == 0, True)
-        .when(is_areal(geometry), _polygons_valid(*_flat(geometry, is_areal(geometry))))
-        .when(geometry["kind"].isin("LINESTRING", "MULTILINESTRING"), proper_line)
-        .when(geometry.isNotNull(), True)
-    )
-
-
-def disjoint_from(geometry: Column, outline: np.ndarray) -> Column:
-    """True when a line or polygon shares no position with a polygon given by its edges.
-
-    ``outline`` holds one row (x0, y0, x1, y1) per edge of one area; it travels in the closure.
-    """
-
-    @F.pandas_udf(BooleanType())
-    def apart(xs: pd.Series, ys: pd.Series, sizes: pd.Series, areal: pd.Series) -> pd.Series:
-        answers = [
-            None if x is None else _apart_from(x, y, np.asarray(n, int), bool(a), outline)
-            for x, y, n, a in zip(xs, ys, sizes, areal, strict=True)
-        ]
-        return pd.Series(answers, dtype=object)
-
-    shaped = geometry["kind"] != "POINT"
-    xs, ys, sizes, _ = _flat(geometry, shaped)
-    return F.when(shaped, apart(xs, ys, sizes, is_areal(geometry)))
-
-
-def _apart_from(xs, ys, sizes, areal: bool, outline: np.ndarray) -> bool:
+def apart_from(xs, ys, sizes, areal: bool, outline: np.ndarray) -> bool:
     xs, ys = np.asarray(xs), np.asarray(ys)
     if len(xs) == 0:
         return True
