@@ -59,32 +59,32 @@ def dims(spark):
     square = "POLYGON(({0} {1}, {2} {1}, {2} {3}, {0} {3}, {0} {1}))"
     areas = spark.createDataFrame(
         [
-            (1, "COM", "13088", square.format(895000, 6245000, 905000, 6252000)),
-            (2, "DEP", "13", square.format(800000, 6230000, 950000, 6320000)),
-            (3, "M10", "10kmL93E091N625", square.format(910000, 6250000, 920000, 6260000)),
+            (1, "COM", "29314", square.format(895000, 6245000, 905000, 6252000)),
+            (2, "DEP", "58", square.format(800000, 6230000, 950000, 6320000)),
+            (3, "M10", "G10-091-625", square.format(910000, 6250000, 920000, 6260000)),
         ],
         "id_area int, type string, code string, wkt string",
     ).select("id_area", "type", "code", parse_wkt(F.col("wkt")).alias("geom"))
-    # one cell of the grid holds the position used throughout, 6.5 E 44.85 N
-    elevation = spark.createDataFrame([(39057, 256915, 1389)], "cx int, cy int, alt int")
+    # one cell of the grid holds the position used throughout, 3.75 E 45.95 N
+    elevation = spark.createDataFrame([(30323, 261567, 412)], "cx int, cy int, alt int")
     ranks = "regne string, phylum string, classe string, ordre string"
     taxa = spark.createDataFrame(
         [
-            (67111, "Animalia", "Chordata", "Actinopterygii", "Cypriniformes"),
-            (60612, "Animalia", "Chordata", "Mammalia", "Carnivora"),
-            (351, "Animalia", "Chordata", "Amphibia", "Anura"),
-            (886847, "Animalia", "Annelida", "Clitellata", "Haplotaxida"),
+            (45013, "Animalia", "Chordata", "Actinopterygii", "Cypriniformes"),
+            (45207, "Animalia", "Chordata", "Mammalia", "Carnivora"),
+            (45399, "Animalia", "Chordata", "Amphibia", "Anura"),
+            (45871, "Animalia", "Annelida", "Clitellata", "Haplotaxida"),
         ],
         f"cd_nom int, {ranks}",
     )
     target = spark.createDataFrame(
-        [("f4428222-d038-40bc-bc5c-6e977bbbc92b", 7, 1), ("00000000-0000-4000-8000-000000000001", 8, 1)],
+        [("7d1c0a52-93be-4f06-8c1d-52b7e0c4a917", 7, 1), ("00000000-0000-4000-8000-000000000001", 8, 1)],
         "unique_id_sinp string, id_dataset int, id_source int",
     )
     return Dimensions(
         taxa=taxa,
-        taxa_list=spark.createDataFrame([(1, 67111)], "id_list int, cd_nom int"),
-        habitats=spark.createDataFrame([(629,)], "cd_hab int"),
+        taxa_list=spark.createDataFrame([(1, 45013)], "id_list int, cd_nom int"),
+        habitats=spark.createDataFrame([(214,)], "cd_hab int"),
         vocabulary=spark.createDataFrame(
             VOCABULARY, "vocab string, code string, label string, id int, is_default boolean"
         ),
@@ -102,11 +102,11 @@ def label_mapping():
 
 
 BASE = {
-    "date_min": "2017-01-01",
-    "nom_cite": "Ablette",
-    "observateurs": "Toto",
-    "WKT": "POINT(6.5 44.85)",
-    "cd_nom": "67111",
+    "date_min": "2018-07-19",
+    "nom_cite": "Petit gravelot",
+    "observateurs": "Odile Perec",
+    "WKT": "POINT(3.75 45.95)",
+    "cd_nom": "45013",
 }
 
 

@@ -59,7 +59,7 @@ def test_moments_against_each_other_and_the_calendar(run):
 
 
 def test_one_way_to_place_a_row(run):
-    town, square = "13088", "10kmL93E091N625"
+    town, square = "29314", "G10-091-625"
     marseille = {"longitude": "5,37", "latitude": "43.3"}
     none = {"WKT": ""}
     outside = [("GEOMETRY_OUTSIDE", GEOMETRY_FIELDS)]
@@ -92,14 +92,14 @@ def test_referentials(run):
     gone = ("CD_NOM_NOT_FOUND", "cd_nom")
     rows, issues = table(
         ["cd_nom", "cd_hab"],
-        ("67111", "629", []),
-        (" 67111", "", []),
-        ("351", "", [gone]),  # known, but not on the list
+        ("45013", "214", []),
+        (" 45013", "", []),
+        ("45399", "", [gone]),  # known, but not on the list
         ("1", "2", [gone, ("CD_HAB_NOT_FOUND", "cd_hab")]),
-        ("67111", "630", [("CD_HAB_NOT_FOUND", "cd_hab")]),
-        ("6711l", "629", [("INVALID_INTEGER", "cd_nom")]),
-        ("67111", "6.29", [("INVALID_INTEGER", "cd_hab")]),
-        ("", "629", [("MISSING_VALUE", "cd_nom")]),
+        ("45013", "215", [("CD_HAB_NOT_FOUND", "cd_hab")]),
+        ("4501l", "214", [("INVALID_INTEGER", "cd_nom")]),
+        ("45013", "2.14", [("INVALID_INTEGER", "cd_hab")]),
+        ("", "214", [("MISSING_VALUE", "cd_nom")]),
     )
     _, checked, _, _ = run(rows, settings={"restrict_to_taxa_list": 1})
     held(checked, issues)
@@ -118,9 +118,9 @@ def test_altitudes_are_read_off_the_grid_where_a_cell_is_empty(run):
     rows, issues = table(
         ["altitude_min", "altitude_max"],
         ("", "", []),
-        ("1389", "", []),
-        ("1390", "", above),  # one above the ground
-        ("", "1388", above),
+        ("412", "", []),
+        ("413", "", above),  # one above the ground
+        ("", "411", above),
         ("4", "40", []),
         ("300", "299", above),
         ("high", "", [no("altitude_min")]),
@@ -129,8 +129,8 @@ def test_altitudes_are_read_off_the_grid_where_a_cell_is_empty(run):
     _, checked, _, _ = run(rows)
     held(checked, issues)
     got = [tuple(r) for r in checked.rows.orderBy("line_no").select("altitude_min", "altitude_max").collect()]
-    ground = 1389
-    assert got == [(ground, ground), (1389, ground), (1390, ground), (ground, 1388), (4, 40), (300, 299), (None, None), (None, None)]
+    ground = 412
+    assert got == [(ground, ground), (412, ground), (413, ground), (ground, 411), (4, 40), (300, 299), (None, None), (None, None)]
 
 
 def test_identifiers(run):
@@ -143,7 +143,7 @@ def test_identifiers(run):
         (one.upper(), same),  # the same in another spelling
         ("", []),
         (one[:-1], [("INVALID_UUID", "unique_id_sinp")]),
-        ("f4428222-d038-40bc-bc5c-6e977bbbc92b", [("EXISTING_UUID", "unique_id_sinp")]),  # in the target
+        ("7d1c0a52-93be-4f06-8c1d-52b7e0c4a917", [("EXISTING_UUID", "unique_id_sinp")]),  # in the target
     )
     _, checked, _, _ = run(rows)
     held(checked, issues)
@@ -222,14 +222,14 @@ def test_json_cells_merge_with_plain_ones(run, spark, tmp_path):
     held(checked, [[]])
     commit(checked.rows, load, options, str(tmp_path / "target"))
     stored = spark.read.parquet(str(tmp_path / "target")).first()
-    assert json.loads(stored["additional_data"]) == site | {"cd_nom": "67111"}
+    assert json.loads(stored["additional_data"]) == site | {"cd_nom": "45013"}
     assert (stored["id_source"], stored["id_dataset"], stored["last_action"]) == (50, 7, "I")
 
 
 def test_breaks_and_quotes_come_back_in_the_export(run, spark, tmp_path):
     notes = ['two\nlines; one "quoted"', "plain", "a;b"]
     names = ["cd_nom", "comment_description"]
-    rows = [dict(zip(names, cells, strict=True)) for cells in zip(["", "67111", "0"], notes, strict=True)]
+    rows = [dict(zip(names, cells, strict=True)) for cells in zip(["", "45013", "0"], notes, strict=True)]
     staged, checked, load, options = run(rows)
     held(checked, [[("MISSING_VALUE", "cd_nom")], [], [("CD_NOM_NOT_FOUND", "cd_nom")]])
     commit(checked.rows, load, options, str(tmp_path / "target"))
@@ -246,29 +246,29 @@ def test_issues_bear_the_names_of_the_file(run):
         "entity_source_pk_value": "no", "date_min": "seen", "cd_nom": "taxon", "nom_cite": "said", "WKT": "where",
         "count_min": "from", "count_max": "to",
     }
-    base = {"seen": "2023-05-03", "said": "x", "where": "POINT(6.5 44.85)", "taxon": "67111", "no": "", "from": "", "to": ""}
+    base = {"seen": "2023-05-03", "said": "x", "where": "POINT(3.75 45.95)", "taxon": "45013", "no": "", "from": "", "to": ""}
     rows, issues = table(
         ["no", "from", "to", "taxon"],
-        ("a", "2", "2", "67111", []),
-        ("a-", "", "4", "60612", []),
-        ("b", "9", "8", "351", [("COUNT_MIN_SUP_COUNT_MAX", "from")]),
-        ("c", "", "", "886847", [("DUPLICATE_ENTITY_SOURCE_PK", "no")]),
-        ("c", "1", "", "886847", [("DUPLICATE_ENTITY_SOURCE_PK", "no")]),
+        ("a", "2", "2", "45013", []),
+        ("a-", "", "4", "45207", []),
+        ("b", "9", "8", "45399", [("COUNT_MIN_SUP_COUNT_MAX", "from")]),
+        ("c", "", "", "45871", [("DUPLICATE_ENTITY_SOURCE_PK", "no")]),
+        ("c", "1", "", "45871", [("DUPLICATE_ENTITY_SOURCE_PK", "no")]),
         ("d", "", "", "none", [("INVALID_INTEGER", "taxon")]),
     )
     _, checked, _, _ = run(rows, mapping=mapping, base=base)
     held(checked, issues)
-    assert {r["cd_nom"] for r in checked.rows.where("valid").collect()} == {67111, 60612}
+    assert {r["cd_nom"] for r in checked.rows.where("valid").collect()} == {45013, 45207}
 
 
 def test_shapes_of_areas_are_joined_when_rows_are_appended(run, spark, dims, tmp_path):
     none = {"WKT": ""}
-    codes = [{"codecommune": "13088"}, {"codemaille": "10kmL93E091N625"}, {}]
+    codes = [{"codecommune": "29314"}, {"codemaille": "G10-091-625"}, {}]
     _, checked, load, options = run([{**none, **c} if c else c for c in codes], generate=True)
     held = {r["line_no"]: r for r in checked.rows.collect()}
     assert all(held[n]["valid"] and held[n]["the_geom_local"] is None for n in (1, 2)) and held[3]["the_geom_local"]
     # altitudes of attached rows come from the shape of their area
-    assert held[1]["altitude_min"] is None and held[3]["altitude_min"] == 1389
+    assert held[1]["altitude_min"] is None and held[3]["altitude_min"] == 412
     with pytest.raises(ValueError, match="attached to areas"):
         commit(checked.rows, load, options, str(tmp_path / "bare"))
     commit(checked.rows, load, options, str(tmp_path / "target"), areas=dims.areas)
@@ -292,7 +292,7 @@ def test_no_shape_of_an_area_travels_with_rows(run, spark, dims, monkeypatch):
 
     for module in (areas, keyed, check):
         monkeypatch.setattr(module, "written", noted)
-    run([{"WKT": "", "codecommune": "13088", "unique_id_sinp": "", "entity_source_pk_value": "7"}] * 3)
+    run([{"WKT": "", "codecommune": "29314", "unique_id_sinp": "", "entity_source_pk_value": "7"}] * 3)
     labels = [label for label, _ in plans]
     assert labels.count("counts") == 1 and labels[0] == "row-checks" and labels[-1] == "checked"
     counted = dict(plans)["counts"]

@@ -199,7 +199,7 @@ def test_ragged_records_are_invalid_after_the_check(spark, dims, tmp_path):
     from obsload.plans.load import load_files
 
     names = ("date_min", "nom_cite", "cd_nom", "WKT")
-    good = "2017-01-01;x;67111;POINT(6.5 44.85)"
+    good = "2018-07-19;x;45013;POINT(3.75 45.95)"
     path = tmp_path / "f.csv"
     path.write_text("\n".join([";".join(names), good, good + ";more", good.rsplit(";", 1)[0]]) + "\n")
     load = Load(5, names, {n: n for n in names}, id_source=1)
@@ -231,7 +231,7 @@ def test_checks_of_the_caller_and_whole_records(spark, dims, tmp_path):
     from obsload.plans.load import load_files
 
     names = ("date_min", "nom_cite", "cd_nom", "WKT")
-    lines = [f"2017-01-0{d};{said};67111;POINT(6.5 44.85)" for d, said in ((1, "x"), (2, "y"), (1, "x"), (3, "z"))]
+    lines = [f"2018-07-0{d};{said};45013;POINT(3.75 45.95)" for d, said in ((1, "x"), (2, "y"), (1, "x"), (3, "z"))]
     path = tmp_path / "f.csv"
     path.write_text("\n".join([";".join(names), *lines]) + "\n")
     load = Load(6, names, {n: n for n in names}, id_source=1)
