@@ -15,7 +15,9 @@ all random choices is fixed; the same pages give the same network.
 Scripts, styles, comments and the head hold no blocks. Odd input: null or empty html, or html without a
 block of main text, gives the empty text; tags that are not closed, or cut off at the end, are read as far
 as they go. Repeated rows and rows without id are read alike. Without any page to learn from, the rules of
-the teacher decide. Extra columns pass untouched unless they bear the name of a result.
+the teacher decide; pages of over 200 000 characters or 120 blocks are read but do not teach. A probability of
+exactly one half counts as main text. An empty table gives an empty one. Extra columns pass untouched unless they bear
+the name of a result.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ join with the counts, and their sums come back to the documents.
 
 Odd input: a null or empty text is the end token alone. Rows repeated or without id are scored alike; rows
 without id are neither held out nor learned from. Without training documents every token has the one part
-of the unseen. Extra columns are left out of the result, other than those named.
+of the unseen. Very long texts are scored whole; of words equally frequent the smaller has the vector. An empty table
+gives an empty one. Extra columns are left out of the result, other than those named.
 """
 
 from __future__ import annotations

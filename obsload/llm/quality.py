@@ -7,8 +7,9 @@ is one aggregate over that small table whatever the number of documents. The pos
 being good is then a column expression over the votes. Everything is DataFrame work.
 
 Odd input: a null, empty or blank text has zero counts, no votes but that on its length, and fails the
-base rules. Repeated rows are judged alike. Over an empty table nothing is estimated and the result is
-empty. Extra columns pass untouched unless they bear the name of a result.
+base rules. Repeated rows are judged alike. Very long texts are counted whole; a posterior of exactly the threshold
+keeps a document. Over an empty table nothing is estimated and the result is empty. Extra columns pass untouched
+unless they bear the name of a result, or are named ``_w`` or ``_l``.
 """
 
 from __future__ import annotations

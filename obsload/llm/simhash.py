@@ -14,7 +14,9 @@ the links nor the groups visit the driver.
 
 Odd input: a null or empty text, or one without a word, has fingerprint zero and links as any other. Rows
 that repeat a ``doc_id`` keep one result row each. A null ``doc_id`` keeps its row; it is not considered as
-the smallest of its group, and a group of nulls only has a null component.
+the smallest of its group, and a group of nulls only has a null component. Very long texts are hashed whole, and
+ties of ids need no order, as equal ids name one component. An empty table gives an empty one. Extra columns are not
+read by ``near_duplicates`` and pass ``one_of_each_group`` untouched, whatever their names.
 """
 
 from __future__ import annotations

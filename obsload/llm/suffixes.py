@@ -15,7 +15,9 @@ such as a passage of which each copy stands in another text, is first taken apar
 
 Odd input: a null text is empty; texts shorter than ``LENGTH`` bytes keep all bytes. Rows repeated remove
 each other's bytes as other copies do. Ids are not looked at. Extra columns pass untouched unless they bear
-the name of a result. What is left of a text can break a character apart, so it is returned as bytes.
+the name of a result. Very long texts are cut at anchors like others and never sorted whole; equal strings have no
+order to settle. An empty table gives an empty one. What is left of a text can break a character apart, so it is
+returned as bytes.
 """
 
 from __future__ import annotations

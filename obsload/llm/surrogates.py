@@ -12,7 +12,9 @@ until nothing collides. Only the few entities beyond attempt zero travel to the
 all other replacements are column expressions over the row. No Python runs on rows.
 
 Odd input: a null text stays null, an empty one empty, and texts without an entity stay as they are. Rows
-repeated or without id are replaced alike. Extra columns pass untouched.
+repeated or without id are replaced alike. Very long texts are searched whole; of entities that collide the first in order
+of hash keeps its stand-in. An empty table gives an empty one. Extra columns pass untouched, but for the one named to
+hold the count.
 """
 
 from __future__ import annotations

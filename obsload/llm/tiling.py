@@ -12,7 +12,9 @@ benchmark's seeds in a join; pairs whose shared seeds could cover enough of the
 Words are runs of letters, digits and underscores of the lower-cased text. Odd input: null or empty texts
 and items, and items of fewer than ``LEAST`` words, match nothing. Repeated rows of one document give one
 result; rows that share an id and differ in text are tiled apart and the best cover is reported. A null id
-is an id like others. Either table may be empty, and extra columns are left out of the result.
+is an id like others. Very long texts are read whole, though only stretches around known seeds travel; of tiles of
+equal length the first in the item is marked first. Either table may be empty, and extra columns are left out of the
+result.
 """
 
 from __future__ import annotations
