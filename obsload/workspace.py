@@ -1,7 +1,8 @@
 """Written tables that cut lineage between the steps of a load.
 
 They live in the shared folder the cluster names in ``spark.checkpoint.dir``, so a lost executor
-costs a re-read and never a re-parse of the source files.
+costs a re-read and never a re-parse of the source files. Results read them when they are used; once
+these are saved, :func:`release` removes the tables.
 """
 
 from __future__ import annotations
@@ -25,8 +26,22 @@ def work_dir(spark: SparkSession) -> str:
     return made
 
 
+_MADE: list[str] = []
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the tables this driver has written, whose readers must be done; how many were there."""
+    jvm, conf, gone = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _MADE:
+        folder = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(folder.getFileSystem(conf).delete(folder, True))
+    return gone
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -273,3 +273,15 @@ def test_line_sets_stay_small_and_comments_are_cut(spark):
     runs = ops.issue_runs(every).collect()
     assert sorted(len(r["lines"]) for r in runs) == [100_000, 100_000]
     assert all(ops.COMMENT_BYTES <= len(r["comment"]) < ops.COMMENT_BYTES + 1100 for r in runs)
+
+
+def test_written_tables_are_removed_when_released(spark):
+    from pathlib import Path
+
+    from obsload import workspace
+
+    workspace._MADE.clear()
+    kept = workspace.written(spark.range(5), "some")
+    path = Path(workspace._MADE[0].removeprefix("file:"))
+    assert kept.count() == 5 and path.exists()
+    assert workspace.release(spark) == 1 and not path.exists() and workspace.release(spark) == 0
