@@ -63,13 +63,18 @@ _WORD = r"(?=\p{Lu})(?<![\p{L}\p{N}_])"
 #: kinds in the order in which they are tried at a place
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
-    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,255}+[0-9])(?=[0-9+/_-]{0,255}+[A-Za-z])[A-Za-z0-9+/_-]{24,256}+",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{24,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9])"
-    r"|(?<![0-9])\+[0-9]{8,15}(?![0-9])",
+    # by the number of digits, however they are grouped: international, in pairs, area code and number
+    r"|(?<![0-9])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])|(?<![0-9.,+-])(?![0-9]{2}[ .-][0-9]{2}[ .-][0-9]{4})"
+    r"0[1-9](?:[ .-]?[0-9]{2}){4}(?![0-9])"
+    r"|(?<![0-9.,+-])0[1-9][0-9]{1,3}[ /-]?[0-9]{5,8}(?![0-9])",
     "name": rf"{_WORD}(?:{_ADDRESS}\.? {_NAME}(?: {_NAME})?|{_GIVEN} {_NAME})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -200,7 +205,7 @@ def stand_in(kind: Column, form: Column, attempt: Column, key: str = KEY) -> Col
         given = {g: joined(names, attempt, 0, "-") for g, names in GIVEN.items()}
         surname = {s: joined(said, attempt + 2, 8, "") for s, said in (("", SYLLABLES), ("c", CYRILLIC_SYLLABLES))}
         out = F.when(kind == "card", card).when(kind == "ip", octets).when(kind == "email", email).when(kind == "iban", iban)
-        out = out.when(kind == "secret", hexes).when(kind == "address", form)
+        out = out.when(kind == "ip6", _letters(F.lower(form), numbers, "abcdef")).when(kind == "secret", hexes).when(kind == "address", form)
         for g, name in given.items():
             out = out.when(kind == f"given_{g}", F.lower(name))
         for s, name in surname.items():

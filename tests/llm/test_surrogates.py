@@ -97,3 +97,26 @@ def test_query_leaves_no_original_and_no_change_elsewhere(spark):
         if not r["n_entities"]:
             assert r["text"] == old
     assert hit > 5
+
+
+def test_numbers_of_any_grouping_long_secrets_and_addresses_of_six_bytes(spark):
+    numbers = [
+        "06 12 34 56 78", "+33 6 12 34 56 78", "030 1234567", "+49 30 1234567", "+34 912 34 56 78", "+49 (30) 123-4567", "0612345678",
+        "2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:0db8:85a3:0000:0000:8a2e:0370:7334",
+    ]
+    long = "aB3" + "x7Yz" * 150
+    clean = [
+        "On 01-02-2021 and 01.02.2021 12:30, page 0.1234567890 of 10", "std::vec a::b 12:30:45", "order 00123 and 1,012,345,678 seen",
+        "x" * 3000,
+    ]
+    rows = [(i, f"Say {t}, please") for i, t in enumerate([*numbers, long])] + [(100 + i, t) for i, t in enumerate(clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in surrogates.with_surrogates(docs).collect()}
+    shape = lambda t: re.sub("[0-9a-f]", "9", t.lower())
+    for i, t in enumerate(numbers):
+        assert t not in got[i] and got[i].startswith("Say ") and got[i].endswith(", please"), t
+        assert shape(got[i][4:-8]) == shape(t)
+    made = got[len(numbers)][4:-8]
+    # no stretch of the original is left, its end included
+    assert len(made) == len(long) and all(long[k : k + 12] not in made for k in range(0, len(long) - 12, 12)) and made[-8:] != long[-8:]
+    assert [got[100 + i] for i in range(len(clean))] == clean
