@@ -1,12 +1,15 @@
 """Geometry columns: WKT text to a nested structure, and measures over it.
 
 A geometry is ``STRUCT<kind, parts>``; ``parts`` nests part > ring > vertex, so every kind shares
-one shape (a point is one part of one ring of one vertex, holes are the rings after the first).
+one shape (a point is one part of one ring of one vertex, holes are the rings after the first). A
+collection has the parts of all its members, nested ones included, and a letter for each part after
+its kind: ``P``, ``L`` or ``A``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,7 +21,7 @@ PARTS = f"array<array<array<{VERTEX}>>>"
 GEOMETRY = f"struct<kind:string,parts:{PARTS}>"
 
 _TAGGED = (
-    r"(?is)^\s*(POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON)"
+    r"(?is)^\s*(POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|GEOMETRYCOLLECTION)"
     r"\s*(?:ZM|Z|M)?\s*(EMPTY|\(.*\))\s*$"
 )
 _PLAIN_POINT = (
@@ -71,7 +74,99 @@ def parse_wkt(text: Column) -> Column:
         ).alias("body"),
     )
     # plain points, nearly all cells of a load, never enter the interpreted part
-    return F.when(x != "", simple).otherwise(let(tagged, _shaped))
+    return F.when(x != "", simple).otherwise(let(tagged, _read))
+
+
+COLLECTION = "GEOMETRYCOLLECTION"
+_LETTERS = {"P": ["POINT", "MULTIPOINT"], "L": ["LINESTRING", "MULTILINESTRING"], "A": ["POLYGON", "MULTIPOLYGON"]}
+_WHOLE = {"P": "MULTIPOINT", "L": "MULTILINESTRING", "A": "MULTIPOLYGON"}
+
+
+def _read(tagged: Column) -> Column:
+    return F.when(tagged["kind"] == COLLECTION, _collected(tagged["body"])).otherwise(_shaped(tagged))
+
+
+def _collected(body: Column) -> Column:
+    """Geometry of the tidied body of a collection, of any depth.
+
+    The text is a stream of members between commas, each after the brackets that open collections and before those
+    that close them. Depth is folded over the stream: it may come to nought at the end only.
+    """
+    opening = rf"(?i)^((?:{COLLECTION}(?: ?(?:ZM|Z|M))?\()*)(.*)$"
+    pieces = F.split(F.concat(F.lit(COLLECTION), body), r",(?=[A-Za-z])")
+
+    def count(text: Column, letter: str) -> Column:
+        return F.char_length(text) - F.char_length(F.replace(text, F.lit(letter), F.lit("")))
+
+    def token(piece: Column) -> Column:
+        rest = F.regexp_extract(piece, opening, 2)
+        closes = count(rest, ")") - count(rest, "(")
+        text = F.substr(rest, F.lit(1), F.char_length(rest) - F.greatest(closes, F.lit(0)))
+        member = F.struct(
+            F.upper(F.regexp_extract(text, _MEMBER, 1)).alias("kind"), F.regexp_extract(text, _MEMBER, 2).alias("body")
+        )
+        return F.struct(
+            count(F.regexp_extract(piece, opening, 1), "(").alias("opens"), closes.alias("closes"),
+            F.endswith(rest, F.repeat(F.lit(")"), F.greatest(closes, F.lit(0)))).alias("ends"), member.alias("member"),
+        )
+
+    def judged(tokens: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("sound"), F.lit(True).alias("first"))
+        folded = F.aggregate(
+            tokens, start,
+            lambda s, t: F.struct(
+                (s["depth"] + t["opens"] - t["closes"]).alias("depth"),
+                (s["sound"] & (s["first"] | (s["depth"] > 0)) & (t["closes"] >= 0) & t["ends"]).alias("sound"),
+                F.lit(False).alias("first"),
+            ),
+        )
+        members = F.transform(tokens, lambda t: F.when(
+            (t["member"]["kind"] == COLLECTION) & (F.upper(t["member"]["body"]) == "EMPTY"), _no_part(F.lit(COLLECTION))
+        ).otherwise(_shaped(t["member"])))
+        return let(F.struct(folded.alias("state"), members.alias("members")), _united)
+
+    return F.when(F.upper(body) == "EMPTY", _no_part(F.lit(COLLECTION))).otherwise(let(F.transform(pieces, token), judged))
+
+
+_MEMBER = r"(?i)^(POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|GEOMETRYCOLLECTION) ?(?:ZM|Z|M)? ?(EMPTY|\(.*\))$"
+
+
+def _no_part(kind: Column) -> Column:
+    return F.struct(kind.alias("kind"), F.array().cast(PARTS).alias("parts")).cast(GEOMETRY)
+
+
+def _united(read: Column) -> Column:
+    members, state = read["members"], read["state"]
+    letter = lambda m: reduce(
+        lambda other, k: F.when(m["kind"].isin(*_LETTERS[k]), k).otherwise(other), _LETTERS, F.lit("")
+    )
+    letters = F.array_join(F.transform(members, lambda m: F.repeat(letter(m), F.size(m["parts"]))), "")
+    kind = F.concat_ws(" ", F.lit(COLLECTION), F.nullif(letters, F.lit("")))
+    made = F.struct(kind.alias("kind"), F.flatten(F.transform(members, lambda m: m["parts"])).alias("parts")).cast(GEOMETRY)
+    sound = state["sound"] & (state["depth"] == 0) & F.forall(members, lambda m: m.isNotNull())
+    return F.when(sound, made)
+
+
+def is_collection(geometry: Column) -> Column:
+    return F.startswith(geometry["kind"], F.lit(COLLECTION))
+
+
+def _letters_of(geometry: Column) -> Column:
+    return F.regexp_extract(geometry["kind"], f"^{COLLECTION} ([PLA]+)$", 1)
+
+
+def members(geometry: Column) -> Column:
+    """Geometries of one kind that make up a geometry: a collection's parts by kind, any other as it is."""
+
+    def lettered(g: Column, letter: str) -> Column:
+        parts = F.filter(g["parts"], lambda _, i: F.substr(_letters_of(g), i + 1, F.lit(1)) == letter)
+        return F.struct(F.lit(_WHOLE[letter]).alias("kind"), parts.alias("parts")).cast(GEOMETRY)
+
+    def of(g: Column) -> Column:
+        kept = [lettered(g, letter) for letter in _LETTERS]
+        return F.when(is_collection(g), F.filter(F.array(*kept), lambda m: F.size(m["parts"]) > 0)).otherwise(F.array(g))
+
+    return let(geometry, of)
 
 
 def _shaped(tagged: Column) -> Column:
@@ -204,7 +299,10 @@ def centroid(geometry: Column) -> Column:
     Degenerate polygons fall back to their outline, degenerate lines to their vertices. Sums are
     taken relative to the first vertex to keep digits.
     """
-    return F.when(is_plain_point(geometry), geometry).otherwise(let(geometry, _centre))
+    # of a collection the members of the highest dimension count
+    return F.when(is_plain_point(geometry), geometry).otherwise(
+        let(F.element_at(F.when(is_collection(geometry), F.nullif(members(geometry), F.array().cast(f"array<{GEOMETRY}>"))).otherwise(F.array(geometry)), -1), _centre)
+    )
 
 
 def _centre(geometry: Column) -> Column:
@@ -291,6 +389,7 @@ def within_convex(geometry: Column, corners: list[tuple[float, float]]) -> Colum
         covered = F.forall(vertices(g), lambda v: every(v["x"], v["y"], False))
         enters = (
             is_areal(g)
+            | F.contains(_letters_of(g), F.lit("A"))
             | F.exists(vertices(g), lambda v: every(v["x"], v["y"], True))
             | F.exists(
                 segments(g),
@@ -374,8 +473,19 @@ def _written(geometry: Column) -> Column:
         .when(kind == "MULTIPOLYGON", wrapped(F.transform(parts, lambda p: wrapped(ring_list(p)))))
         .otherwise(wrapped(ring_list(F.flatten(parts))))
     )
+    letters = _letters_of(geometry)
+
+    def member_text(part: Column, i: Column) -> Column:
+        one = F.concat(F.lit("("), ring_text(F.get(part, F.lit(0))), F.lit(")"))
+        letter = F.substr(letters, i + 1, F.lit(1))
+        return F.when(letter == "P", F.concat(F.lit("POINT "), one)).when(letter == "L", F.concat(F.lit("LINESTRING "), one)).otherwise(
+            F.concat(F.lit("POLYGON "), wrapped(ring_list(part)))
+        )
+
+    collected = F.concat(F.lit(f"{COLLECTION} "), wrapped(F.transform(parts, member_text)))
+    body = F.when(letters != "", collected).otherwise(F.concat(kind, F.lit(" "), body))
     return F.when(F.size(parts) == 0, F.concat(kind, F.lit(" EMPTY"))).when(
-        geometry.isNotNull(), F.concat(kind, F.lit(" "), body)
+        geometry.isNotNull(), body
     )
 
 

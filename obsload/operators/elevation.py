@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsload.functions.geometry import first_vertex, is_areal, segments
+from obsload.functions.geometry import first_vertex, is_areal, members, segments
 from obsload.operators.keyed import key_counts, left_lookup
 
 AREA_KEY = "area "
@@ -103,7 +103,8 @@ def shape_altitudes(shapes: DataFrame, grid: DataFrame, cell: float) -> DataFram
     Shapes become runs of cells, and these become blocks of a pyramid over the grid, so the inside of a large
     shape costs a few rows for each row of the grid and never one for each cell.
     """
-    wanted = run_blocks(band_runs(shapes, cell))
+    single = shapes.select("geo_key", F.explode(members(F.col("geom"))).alias("geom"))
+    wanted = run_blocks(band_runs(single, cell))
     met = wanted.join(pyramid(grid), ["cy", "level", "block"])
     return met.groupBy("geo_key").agg(F.min("low").alias("alt_low"), F.max("high").alias("alt_high"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsload.functions.binding import let
-from obsload.functions.geometry import _segments, bounds, first_vertex, in_rings, is_areal, rings, segments, vertices
+from obsload.functions.geometry import _segments, bounds, first_vertex, in_rings, is_areal, members, rings, segments, vertices
 from obsload.operators.keyed import BROADCAST_BYTES, BROADCAST_KEYS
 from obsload.operators.quads import FEW, _meets_box, areas_of_points, quad_cells
 from obsload.workspace import small_enough, written
@@ -172,18 +172,20 @@ def _misplaced(polygons: DataFrame) -> DataFrame:
 def invalid_shapes(shapes: DataFrame, key: Sequence[str], geom: str = "geom") -> DataFrame:
     """Keys of the lines without length and of the polygons that are not valid; points and empty shapes are."""
     g = F.col(geom)
-    some = shapes.where(g.isNotNull() & (F.size(g["parts"]) > 0)).select(F.struct(*key).alias("key"), g.alias("g"))
+    some = shapes.where(g.isNotNull() & (F.size(g["parts"]) > 0)).select(F.struct(*key).alias("key"), F.explode(members(g)).alias("g"))
+    # the lines and the polygons of a collection are judged apart
+    some = some.select(F.struct("key", F.col("g.kind").alias("kind")).alias("key"), "g")
     g = F.col("g")
     flat = some.where(g["kind"].isin("LINESTRING", "MULTILINESTRING") & F.exists(rings(g), lambda r: F.size(F.array_distinct(r)) < 2))
     areal = written(some.where(is_areal(g)).select("key", _numbered_rings(g).alias("rings"), bounds(g).alias("b")), "rings")
     if areal.isEmpty():
-        return flat.select("key.*")
+        return flat.select("key.key.*")
     odd = F.exists("rings", _bad_ring)
     sound = written(areal.where(~odd).select("key", "rings", "b", _numbered_edges(F.col("rings")).alias("edges")), "edges")
     tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = [flat.select("key"), areal.where(odd).select("key"), _crossed(sound.select("key", "b", "edges"), tasks)]
     parts.append(_misplaced(sound.where(F.size("rings") > 1)))
-    return reduce(DataFrame.unionByName, parts).distinct().select("key.*")
+    return reduce(DataFrame.unionByName, parts).select("key.key.*").distinct()
 
 
 def shapes_meeting(shapes: DataFrame, key: Sequence[str], area: DataFrame, geom: str = "geom") -> DataFrame:
@@ -194,7 +196,7 @@ def shapes_meeting(shapes: DataFrame, key: Sequence[str], area: DataFrame, geom:
     b, corner = box["b"], box["v"]
     unit = max(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]) / 2**OUTLINE_LEVELS or 1.0
     g = F.col(geom)
-    some = written(shapes.where(g.isNotNull() & (F.size(g["parts"]) > 0)).select(*key, g.alias("g")), "shapes")
+    some = written(shapes.where(g.isNotNull() & (F.size(g["parts"]) > 0)).select(*key, F.explode(members(g)).alias("g")), "shapes")
     g = F.col("g")
 
     # edges meet the cells of the border: those of their own size or larger by the cells above them, smaller ones by theirs

@@ -208,6 +208,33 @@ def wkt_parse(spark, folder):
     )
 
 
+@query(
+    "wkt_collections",
+    """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'GEOMETRYCOLLECTION (POINT (' || c_custkey % 90 || ' 1), POLYGON ((0 0, 9 0, 0 9, 0 0)))'
+  WHEN 1 THEN 'GEOMETRYCOLLECTION (LINESTRING (0 0, ' || c_custkey % 90 + 1 || ' 2), POINT (5 6), POINT (7 8.5))'
+  WHEN 2 THEN 'GEOMETRYCOLLECTION EMPTY' END AS wkt,
+  CASE c_custkey % 5 WHEN 0 THEN '3 3' WHEN 1 THEN (c_custkey % 90 + 1) / 2.0 || ' 1.0' END AS centre
+FROM customer""",
+)
+def wkt_collections(spark, folder):
+    """Collections in collections, of any depth; the members of the highest dimension make the centre."""
+    key = F.col("c_custkey")
+    made = case(
+        key, 5,
+        F.concat(F.lit("geometrycollection ( GEOMETRYCOLLECTION(POINT("), text(key % 90), F.lit(" 1)), POLYGON ((0 0, 9 0, 0 9, 0 0)))")),
+        F.concat(F.lit("GEOMETRYCOLLECTION(GEOMETRYCOLLECTION(GEOMETRYCOLLECTION(LINESTRING(0 0,"), text(key % 90 + 1),
+                 F.lit(" 2)),GEOMETRYCOLLECTION EMPTY),MULTIPOINT((5 6),(7 8.5)))")),
+        "GEOMETRYCOLLECTION EMPTY",
+        "GEOMETRYCOLLECTION(POINT(1 2)),POINT(3 4)",
+        "GEOMETRYCOLLECTION(POINT(1 2), LINESTRING(1 2), POINT(3 4))",
+    )
+    rows = written(table(spark, folder, "customer").select(key, parse_wkt(made).alias("g")), "collections")
+    v = first_vertex(centroid(F.col("g")))
+    whole = lambda x: F.regexp_replace(F.round(x, 6).cast("string"), r"\.0$", "")
+    near = F.when(key % 5 == 0, F.concat_ws(" ", whole(v["x"]), whole(v["y"]))).otherwise(F.concat(v["x"].cast("string"), F.lit(" "), v["y"].cast("string")))
+    return rows.select(key, to_wkt(F.col("g")).alias("wkt"), F.when(v.isNotNull(), near).alias("centre"))
+
+
 @query(
     "shape_validity",
     """SELECT c_custkey, c_custkey % 4 <> 1 AND c_custkey % 4 <> 3 AS valid FROM customer""",

@@ -200,3 +200,28 @@ def test_transverse_mercator_zones(spark):
     web = there.select(crs.reproject(F.col("g"), 2975, crs.WEB).alias("g"))
     back = web.select(first_vertex(crs.reproject(F.col("g"), crs.WEB, crs.GEOGRAPHIC)).alias("v")).first()["v"]
     assert abs(back["x"] - 55.5) < 1e-10 and abs(back["y"] + 21.1) < 1e-10
+
+
+def test_collections_of_any_depth(spark):
+    deep = "GEOMETRYCOLLECTION(" * 60 + "POINT(1 2),LINESTRING(0 0,1e1 1)" + ")" * 60
+    cells = {
+        deep: "GEOMETRYCOLLECTION (POINT (1 2), LINESTRING (0 0, 10 1))",
+        "geometrycollection z (point z (1 2 3), GeometryCollection EMPTY)": "GEOMETRYCOLLECTION (POINT (1 2))",
+        "GEOMETRYCOLLECTION(MULTIPOLYGON(((0 0,1 0,0 1,0 0)),((5 5,6 5,5 6,5 5),(5.1 5.1,5.2 5.1,5.1 5.2,5.1 5.1))))":
+            "GEOMETRYCOLLECTION (POLYGON ((0 0, 1 0, 0 1, 0 0)), POLYGON ((5 5, 6 5, 5 6, 5 5), (5.1 5.1, 5.2 5.1, 5.1 5.2, 5.1 5.1)))",
+        " GEOMETRYCOLLECTION EMPTY ": "GEOMETRYCOLLECTION EMPTY",
+    }
+    assert values(spark, list(cells), lambda t: to_wkt(parse_wkt(t))) == list(cells.values())
+    bad = [
+        "GEOMETRYCOLLECTION(POINT(1 2)", "GEOMETRYCOLLECTION()", "GEOMETRYCOLLECTION(POINT(1 2),)", "GEOMETRYCOLLECTION(POINT(1 2)),POINT(1 1)",
+        "GEOMETRYCOLLECTION((POINT(1 2)))", "GEOMETRYCOLLECTION(POINT(1 2) POINT(1 1))", "GEOMETRYCOLLECTION(GEOMETRYCOLLECTION(POINT(1 2)))),POINT(1 1)",
+        "GEOMETRYCOLLECTION(CIRCLE(1 2))", "GEOMETRYCOLLECTION(POINT(1 2),POLYGON((0 0,1 0,0 1)))",
+    ]
+    assert values(spark, bad, lambda t: to_wkt(parse_wkt(t))) == [None] * len(bad)
+    bow = "GEOMETRYCOLLECTION(POINT(1 2), POLYGON((0 0, 4 4, 4 0, 0 4, 0 0)))"
+    flat = "GEOMETRYCOLLECTION(LINESTRING(1 1, 1 1), POLYGON((0 0, 4 4, 4 0, 0 0)))"
+    df = spark.createDataFrame([(0, deep), (1, bow), (2, flat), (3, list(cells)[2])], "i int, t string")
+    parsed = written(df.select("i", parse_wkt(F.col("t")).alias("g")), "g")
+    assert {r["i"] for r in invalid_shapes(parsed, ["i"], "g").collect()} == {1, 2}
+    inside = parsed.select("i", within_convex(F.col("g"), [(-1, -1), (8, -1), (8, 8), (-1, 8)]).alias("in")).collect()
+    assert {r["i"]: r["in"] for r in inside} == {0: False, 1: True, 2: True, 3: True}
