@@ -129,15 +129,19 @@ def _holding(candidates: Column, x: Column, y: Column, level: Column, unit: floa
 def areas_of_points(
     points: DataFrame, areas: DataFrame, unit: float, x: str, y: str, spread: Column,
     broadcast_keys: int = BROADCAST_KEYS, broadcast_bytes: int = BROADCAST_BYTES, with_border: bool = False,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """Points with ``id_areas``, the ordered ids of the areas containing them; borders count ``with_border`` only.
 
+    ``cells`` are those :func:`quad_cells` makes of the areas, where a caller has them already.
+
     Points meet the cells of each level in use by an equi-join. The cells are written and measured: small ones are
     broadcast, so points are not shuffled; otherwise each distinct position is looked up once, hot cells and hot
     positions by broadcast.
     """
     candidates = F.collect_list(F.struct("id_area", "inside", "edges")).alias("candidates")
-    per_cell = written(quad_cells(areas, unit).groupBy("level", "cx", "cy").agg(candidates), "quad-cells")
+    cells = quad_cells(areas, unit) if cells is None else cells
+    per_cell = written(cells.groupBy("level", "cx", "cy").agg(candidates), "quad-cells")
     levels = sorted(r["level"] for r in per_cell.select("level").distinct().collect())  # a few dozen at most
     none = F.array().cast(areas.select(F.array("id_area")).schema[0].dataType)
     px, py = F.col(x), F.col(y)

@@ -9,9 +9,10 @@ one begins inside the other.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from obsload.functions.binding import let
@@ -188,19 +189,43 @@ def invalid_shapes(shapes: DataFrame, key: Sequence[str], geom: str = "geom") ->
     return reduce(DataFrame.unionByName, parts).select("key.key.*").distinct()
 
 
-def shapes_meeting(shapes: DataFrame, key: Sequence[str], area: DataFrame, geom: str = "geom") -> DataFrame:
+@dataclass(frozen=True)
+class Outline:
+    """An area as cells, its box and one of its corners."""
+
+    area: DataFrame
+    box: Row
+    corner: Row
+    unit: float
+    cells: DataFrame
+
+    @classmethod
+    def of(cls, area: DataFrame) -> Outline | None:
+        """The outline of ``area(id_area, geom)``, one row; none without a shape."""
+        found = area.select(bounds(F.col("geom")).alias("b"), first_vertex(F.col("geom")).alias("v")).first()
+        if found is None or found["v"] is None:
+            return None
+        b = found["b"]
+        unit = max(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]) / 2**OUTLINE_LEVELS or 1.0
+        return cls(area, b, found["v"], unit, written(quad_cells(area, unit), "outline"))
+
+    def holding(self, points: DataFrame, x: str, y: str, spread: Column) -> DataFrame:
+        """Points with ``id_areas``, which holds the area where a point lies in it or on its border."""
+        return areas_of_points(points, self.area, self.unit, x, y, spread, with_border=True, cells=self.cells)
+
+
+def shapes_meeting(shapes: DataFrame, key: Sequence[str], area: DataFrame | Outline, geom: str = "geom") -> DataFrame:
     """Keys of the shapes that share a position with ``area(id_area, geom)``, one row; borders belong to both."""
-    box = area.select(bounds(F.col("geom")).alias("b"), first_vertex(F.col("geom")).alias("v")).first()
-    if box is None or box["v"] is None:
+    outline = area if isinstance(area, Outline) else Outline.of(area)
+    if outline is None:
         return shapes.limit(0).select(*key)
-    b, corner = box["b"], box["v"]
-    unit = max(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]) / 2**OUTLINE_LEVELS or 1.0
+    b, corner, unit = outline.box, outline.corner, outline.unit
     g = F.col(geom)
     some = written(shapes.where(g.isNotNull() & (F.size(g["parts"]) > 0)).select(*key, F.explode(members(g)).alias("g")), "shapes")
     g = F.col("g")
 
     # edges meet the cells of the border: those of their own size or larger by the cells above them, smaller ones by theirs
-    border = quad_cells(area, unit).where(F.size("edges") > 0).select("level", "cx", "cy", F.col("edges").alias("outline"))
+    border = outline.cells.where(F.size("edges") > 0).select("level", "cx", "cy", F.col("edges").alias("outline"))
     step = F.col("at") - F.col("level")
     over = border.select("*", F.explode(F.sequence(F.col("level"), F.lit(OUTLINE_LEVELS + 1))).alias("at")).select(
         F.col("at").alias("level"), _up("cx", step).alias("cx"), _up("cy", step).alias("cy"), (step > 0).alias("above"), "outline"
@@ -232,8 +257,7 @@ def shapes_meeting(shapes: DataFrame, key: Sequence[str], area: DataFrame, geom:
     lone = F.size(segments(g)) == 0
     starts = F.when(lone, vertices(g)).otherwise(F.transform(rings(g), lambda r: F.get(r, F.lit(0))))
     begun = some.select(*key, F.explode(starts).alias("v")).select(*key, "v.x", "v.y")
-    inside = areas_of_points(begun, area, unit, "x", "y", F.xxhash64(*key), with_border=True)
-    held = inside.where(F.size("id_areas") > 0).select(*key)
+    held = outline.holding(begun, "x", "y", F.xxhash64(*key)).where(F.size("id_areas") > 0).select(*key)
     around = some.where(is_areal(g) & in_rings(F.lit(corner["x"]), F.lit(corner["y"]), segments(g))).select(*key)
     return reduce(DataFrame.unionByName, [touched, held, around]).distinct()
 

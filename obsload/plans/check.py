@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsload.functions.geometry import bounds, centroid, first_vertex, point
+from obsload.functions.geometry import centroid, first_vertex, point
 from obsload.functions.scalars import row_uuid
 from obsload.model.dictionary import DICTIONARY, Dictionary
 from obsload.model.error_types import GEOMETRY_FIELDS
@@ -18,10 +18,9 @@ from obsload.operators.elevation import AREA_KEY, filled_altitudes, with_altitud
 from obsload.operators.georef import attach_areas, attachment_checks, both_systems
 from obsload.operators.issues import Check, has_error, long_issues, with_issues
 from obsload.operators.keyed import ABSENT, PRESENT, REPEATED, Question, fetch, flag_lines, record_digest, with_answers
-from obsload.operators.quads import areas_of_points
 from obsload.operators.rows import row_checks
 from obsload.operators.sets import date_checks, range_checks, url_check
-from obsload.operators.topology import OUTLINE_LEVELS, invalid_shapes, shapes_meeting
+from obsload.operators.topology import Outline, invalid_shapes, shapes_meeting
 from obsload.workspace import written
 
 
@@ -229,20 +228,19 @@ def _restriction_stage(rows, base, load, dims, settings):
     """Rows outside the area the instance is restricted to: positions, shapes, and areas rows are attached to."""
     id_area, geom = settings.restrict_to_area, F.col("the_geom_local")
     area = dims.areas.where((F.col("id_area") == id_area) & F.col("geom").isNotNull()).select("id_area", "geom").limit(1)
-    extent = area.select(bounds(F.col("geom")).alias("b")).first()
-    if extent is None:
+    outline = Outline.of(area)
+    if outline is None:
         raise ValueError(f"area {id_area} is not in the referential")
-    b, head, is_point = extent["b"], first_vertex(geom), geom["kind"] == "POINT"
-    unit = max(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]) / 2**OUTLINE_LEVELS or 1.0
+    head, is_point = first_vertex(geom), geom["kind"] == "POINT"
     placed = rows.withColumns({"_x": F.when(is_point, head["x"]), "_y": F.when(is_point, head["y"])})
-    rows = areas_of_points(placed, area, unit, "_x", "_y", F.col("line_no"), with_border=True)
+    rows = outline.holding(placed, "_x", "_y", F.col("line_no"))
 
     moved = both_systems(base.where(F.col("geom.kind") != "POINT").select(*ROW, "geom"), load.srid, settings.local_srid)
     shapes = moved.select(*ROW, F.col("the_geom_local").alias("geom"))
-    rows = flag_lines(rows, shapes_meeting(shapes, ROW, area), "_shape_in")
+    rows = flag_lines(rows, shapes_meeting(shapes, ROW, outline), "_shape_in")
     # an attached area is judged once, not once per row
     own = dims.areas.select(F.col("id_area").alias("id_area_attachment"), "geom")
-    near = shapes_meeting(own, ["id_area_attachment"], area).withColumn("_area_in", F.lit(True))
+    near = shapes_meeting(own, ["id_area_attachment"], outline).withColumn("_area_in", F.lit(True))
     rows = fetch(rows, near, ["id_area_attachment"], ["_area_in"], F.col("line_no"), settle=True, unique=True)
 
     attached = F.col("id_area_attachment").isNotNull()
