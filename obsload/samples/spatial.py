@@ -22,7 +22,7 @@ from obsload.operators.georef import attach_areas, attachment_checks, both_syste
 from obsload.operators.issues import long_issues, with_issues
 from obsload.operators.rows import position_checks, read_position
 from obsload.operators.stats import extent
-from obsload.operators.topology import invalid_shapes, shapes_meeting
+from obsload.operators.topology import Outline, invalid_shapes, shapes_meeting
 from obsload.samples.registry import case, query, table, text
 from obsload.workspace import written
 
@@ -382,9 +382,10 @@ FROM c, a""",
 )
 def area_restriction(spark, folder):
     area = nations(spark, folder, triangle_wkt).where("id_area = 7").select("id_area", "geom")
-    rows = quads.areas_of_points(customers(spark, folder), area, 0.01, "x", "y", F.col("c_custkey"), with_border=True)
+    outline = Outline.of(area)
+    rows = outline.holding(customers(spark, folder), "x", "y", F.col("c_custkey"))
     shaped = written(rows.withColumn("g", parse_wkt(square_wkt(F.col("x"), F.col("y"), 1))), "squares")
-    near = shapes_meeting(shaped, ["c_custkey"], area, "g").withColumn("near", F.lit(True))
+    near = shapes_meeting(shaped, ["c_custkey"], outline, "g").withColumn("near", F.lit(True))
     return shaped.join(near, "c_custkey", "left").select(
         "c_custkey", (F.size("id_areas") == 0).alias("point_out"), F.col("near").isNull().alias("square_out")
     )
