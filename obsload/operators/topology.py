@@ -231,6 +231,7 @@ def shapes_meeting(shapes: DataFrame, key: Sequence[str], area: DataFrame | Outl
         F.col("at").alias("level"), _up("cx", step).alias("cx"), _up("cy", step).alias("cy"), (step > 0).alias("above"), "outline"
     )
     over = written(over, "border")
+    used = F.array(*[F.lit(r["level"]) for r in over.select("level").distinct().collect()]).cast("array<int>")  # some dozen
     over = F.broadcast(over) if small_enough(over, BROADCAST_KEYS, BROADCAST_BYTES) else over
     edges = some.select(*key, F.explode(segments(g)).alias("e"))
     length = F.greatest(F.abs(F.col("e.x1") - F.col("e.x0")), F.abs(F.col("e.y1") - F.col("e.y0")))
@@ -246,7 +247,7 @@ def shapes_meeting(shapes: DataFrame, key: Sequence[str], area: DataFrame | Outl
     across = sized.select("*", reach(F.least("e.x0", "e.x1"), F.greatest("e.x0", "e.x1"), b["xmin"], b["xmax"]).alias("cx"))
     celled = across.select("*", reach(F.least("e.y0", "e.y1"), F.greatest("e.y0", "e.y1"), b["ymin"], b["ymax"]).alias("cy"))
     up = F.col("at") - F.col("level")
-    asked = celled.select("*", F.explode(F.sequence(F.col("level"), F.lit(OUTLINE_LEVELS + 1))).alias("at")).select(
+    asked = celled.select("*", F.explode(F.filter(used, lambda k: k >= F.col("level"))).alias("at")).select(
         *key, "e", F.col("at").alias("level"), _up("cx", up).alias("cx"), _up("cy", up).alias("cy"), (up > 0).alias("raised")
     )
     # a raised edge looks for cells at their own level only, as others have met below
