@@ -110,3 +110,21 @@ def test_states_of_lines_follow_the_automaton(texts, inside):
         turned = [k for k, _ in lines.turns]
         state = quotes.ends_inside(t.encode(), state) if i in turned else state
     assert after == state and len(regular) <= len(texts)
+
+
+def test_small_blocks_share_tasks(spark, tmp_path):
+    path = tmp_path / "blocks.csv"
+    path.write_text("k;v\n" + "".join(f'{i};"a\n""b;{i}"\n' for i in range(5000)))
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, (512, 1), strict=True):
+            spark.conf.set(n, v)
+        records = read_records(spark, str(path), ["k", "v"])
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert records.select("_block").distinct().count() > 100
+    assert len(records.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    rows = records.select("k", "v", "line_no").collect()
+    assert {(r["line_no"], r["k"], r["v"]) for r in rows} == {(i + 1, str(i), f'a\n"b;{i}') for i in range(5000)}
