@@ -113,6 +113,14 @@ def _bad_ring(ring: Column) -> Column:
     return odd | (F.size(v) < 4) | (first != F.get(v, F.size(v) - 1)) | (area == 0)
 
 
+def _faulty_pairs(cells: DataFrame) -> DataFrame:
+    """Keys of the cells two edges of which are faulty; pairs are rows, so that generated code compares them."""
+    first = cells.select("key", "edges", F.posexplode("edges").alias("at", "a"))
+    # edges come in the order of their rings
+    pairs = first.select("key", "a", F.explode(F.slice("edges", F.col("at") + 2, F.size("edges"))).alias("b"))
+    return pairs.where(_faulty(F.col("a"), F.col("b"))).select("key")
+
+
 def _crossed(polygons: DataFrame, tasks: int) -> DataFrame:
     """Keys of the polygons of which two edges may not lie as they do; ``polygons(key, edges, b)``."""
     side = F.greatest(F.col("b.xmax") - F.col("b.xmin"), F.col("b.ymax") - F.col("b.ymin"))
@@ -123,7 +131,9 @@ def _crossed(polygons: DataFrame, tasks: int) -> DataFrame:
         large = (F.size("edges") > FEW) & (F.col("depth") < DEEPEST)
         before = lambda a, b: (a["ring"] < b["ring"]) | (a["ring"] == b["ring"]) & (a["seq"] < b["seq"])
         fault = F.exists("edges", lambda a: F.exists("edges", lambda b: before(a, b) & _faulty(a, b)))
-        found.append(cells.where(~large).where(fault).select("key"))
+        few = F.size("edges") <= FEW
+        found.append(_faulty_pairs(cells.where(few)))
+        found.append(cells.where(~few & (F.col("depth") >= DEEPEST)).where(fault).select("key"))
         if cells.where(large).isEmpty():
             return reduce(DataFrame.unionByName, found)
         half = F.col("side") / 2
@@ -178,12 +188,14 @@ def invalid_shapes(shapes: DataFrame, key: Sequence[str], geom: str = "geom") ->
     some = some.select(F.struct("key", F.col("g.kind").alias("kind")).alias("key"), "g")
     g = F.col("g")
     flat = some.where(g["kind"].isin("LINESTRING", "MULTILINESTRING") & F.exists(rings(g), lambda r: F.size(F.array_distinct(r)) < 2))
-    areal = written(some.where(is_areal(g)).select("key", _numbered_rings(g).alias("rings"), bounds(g).alias("b")), "rings")
+    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes but much work, so spread by number
+    ringed = some.where(is_areal(g)).repartition(tasks, "key").select("key", _numbered_rings(g).alias("rings"), bounds(g).alias("b"))
+    areal = written(ringed, "rings")
     if areal.isEmpty():
         return flat.select("key.key.*")
     odd = F.exists("rings", _bad_ring)
     sound = written(areal.where(~odd).select("key", "rings", "b", _numbered_edges(F.col("rings")).alias("edges")), "edges")
-    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = [flat.select("key"), areal.where(odd).select("key"), _crossed(sound.select("key", "b", "edges"), tasks)]
     parts.append(_misplaced(sound.where(F.size("rings") > 1)))
     return reduce(DataFrame.unionByName, parts).select("key.key.*").distinct()

@@ -259,7 +259,10 @@ def shape_validity(spark, folder):
         F.lit("))"),
     )
     shape = case(F.col("c_custkey"), 4, square_wkt(x, y), bow, holed, stray)
-    rows = written(table(spark, folder, "customer").select("c_custkey", parse_wkt(shape).alias("g")), "shapes")
+    # few bytes but much work, so spread by number
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = table(spark, folder, "customer").select("c_custkey").repartition(tasks, "c_custkey")
+    rows = written(keys.select("c_custkey", parse_wkt(shape).alias("g")), "shapes")
     bad = invalid_shapes(rows, ["c_custkey"], "g").withColumn("bad", F.lit(True))
     return rows.join(bad, "c_custkey", "left").select("c_custkey", F.col("bad").isNull().alias("valid"))
 

@@ -129,3 +129,12 @@ def test_meeting_against_all_edges(spark, monkeypatch, corners, few):
             expected.add(i)
     assert got == expected and 30 < len(got) < 220
     assert topology.shapes_meeting(df, ["i"], known.limit(0)).count() == 0
+
+
+def test_few_bytes_of_shapes_are_spread_over_tasks(spark):
+    squares = spark.range(40).coalesce(1).select(
+        "id", parse_wkt(F.concat(F.lit("POLYGON((0 0, "), F.col("id").cast("string"), F.lit(" 0, 3 3, 0 3, 0 0))"))).alias("geom")
+    )
+    bad = topology.invalid_shapes(written(squares, "one-task"), ["id"])
+    assert len([f for f in bad.inputFiles() if "/edge-cells-" in f]) > 1
+    assert bad.collect() == []
