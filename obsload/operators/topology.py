@@ -126,16 +126,16 @@ def _crossed(polygons: DataFrame, tasks: int) -> DataFrame:
     side = F.greatest(F.col("b.xmax") - F.col("b.xmin"), F.col("b.ymax") - F.col("b.ymin"))
     cells = polygons.select("key", F.lit(0).alias("depth"), F.col("b.xmin").alias("left"), F.col("b.ymin").alias("bottom"), side.alias("side"), "edges")
     cells = written(cells, "edge-cells")
-    found = []
+    settled = []
     while True:
         large = (F.size("edges") > FEW) & (F.col("depth") < DEEPEST)
         before = lambda a, b: (a["ring"] < b["ring"]) | (a["ring"] == b["ring"]) & (a["seq"] < b["seq"])
         fault = F.exists("edges", lambda a: F.exists("edges", lambda b: before(a, b) & _faulty(a, b)))
         few = F.size("edges") <= FEW
-        found.append(_faulty_pairs(cells.where(few)))
-        found.append(cells.where(~few & (F.col("depth") >= DEEPEST)).where(fault).select("key"))
+        settled.append(cells.where(few))
         if cells.where(large).isEmpty():
-            return reduce(DataFrame.unionByName, found)
+            deepest = cells.where(~few).where(fault).select("key")
+            return _faulty_pairs(reduce(DataFrame.unionByName, settled)).unionByName(deepest)
         half = F.col("side") / 2
         quarters = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
         parents = cells.where(large).repartition(tasks, "key", "left", "bottom").withColumn("q", quarters)
