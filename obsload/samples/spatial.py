@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from obsload.functions import crs, scalars
@@ -335,6 +336,31 @@ def areas_of_points(spark, folder):
     return found.select("c_custkey", F.nullif(ids, F.lit("")).alias("areas"))
 
 
+def coast_edges(spark, folder):
+    """Edges of a coast line with a vertex for every order and of the ground under it, one a row.
+
+    Vertices are sorted into runs, each of which is drawn on its own; its last vertex leads to the first of the next.
+    """
+    height = (100 + F.col("o_custkey") % 29).cast("double")
+    vertices_ = table(spark, folder, "orders").select(F.col("o_orderkey").cast("double").alias("x"), height.alias("y"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = written(vertices_.repartitionByRange(tasks, "x", "y").select(F.struct("x", "y").alias("v"), F.spark_partition_id().alias("run")), "coast")
+    ends = runs.groupBy("run").agg(F.min("v").alias("first"), F.max("v").alias("last"))
+    # one line for each run
+    ends = written(ends.withColumn("after", F.lead("first").over(Window.orderBy("run"))), "runs")
+    drawn = runs.withColumn("to", F.lead("v").over(Window.partitionBy("run").orderBy("v")))
+    drawn = drawn.join(F.broadcast(ends.select("run", "after")), "run").select("v", F.coalesce("to", "after").alias("to"))
+    whole = ends.agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first is not null")
+
+    def ground(x):
+        return F.struct(x.cast("double").alias("x"), F.lit(0.0).alias("y"))
+
+    zero, under = ground(F.lit(0)), ground(F.col("last.x"))
+    closing = F.array(*[F.struct(a.alias("v"), b.alias("to")) for a, b in ((zero, F.col("first")), (F.col("last"), under), (under, zero))])
+    edges = drawn.where(F.col("to").isNotNull()).unionByName(whole.select(F.inline(closing)))
+    return edges.select(F.lit(COAST).alias("id_area"), *[F.col(f"{p}.{c}").alias(f"{c}{i}") for i, p in enumerate(("v", "to")) for c in "xy"])
+
+
 @query(
     "coast_of_points",
     """WITH h AS (SELECT o_orderkey AS i, 100 + o_custkey % 29 AS y FROM orders), n AS (SELECT max(i) AS last FROM h),
@@ -347,18 +373,7 @@ LEFT JOIN s ON p.x > s.x AND p.x < s.x + 12 AND p.y > s.y AND p.y < s.y + 4""",
 )
 def coast_of_points(spark, folder):
     """A coast line with a vertex for every order, beside small squares: only the cells along it grow small."""
-    orders = table(spark, folder, "orders")
-    last = orders.agg(F.max("o_orderkey")).scalar()
-    height = (100 + F.col("o_custkey") % 29).cast("double")
-    drawn = orders.agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").cast("double").alias("x"), height.alias("y")))).alias("v"))
-
-    def ground(x):
-        return F.array(F.struct(x.alias("x"), F.lit(0.0).alias("y")))
-
-    ring = F.concat(ground(F.lit(0.0)), F.col("v"), ground(F.element_at("v", -1)["x"]), ground(F.lit(0.0)))
-    coast = drawn.select(
-        F.lit(COAST).alias("id_area"), F.struct(F.lit("POLYGON").alias("kind"), F.array(F.array(ring)).alias("parts")).cast(GEOMETRY).alias("geom")
-    )
+    last = table(spark, folder, "orders").agg(F.max("o_orderkey")).scalar()
     n = F.col("n_nationkey")
     boxes = table(spark, folder, "nation").select(
         n.cast("int").alias("id_area"), parse_wkt(rectangle_wkt(n * 50 + 3, n * 5 + 20, 12, 4)).alias("geom")
@@ -368,8 +383,8 @@ def coast_of_points(spark, folder):
         ((F.col("l_orderkey") * 37 + F.col("l_linenumber")) % last + 0.5).cast("double").alias("x"),
         (F.col("l_partkey") % 160 + 0.25).cast("double").alias("y"),
     )
-    areas = written(coast.unionByName(boxes), "coast")
-    found = quads.areas_of_points(points, areas, 1.0, "x", "y", F.col("l_linenumber"))
+    cells = quads.edge_cells(coast_edges(spark, folder), 1.0).unionByName(quads.quad_cells(boxes, 1.0))
+    found = quads.areas_of_points(points, boxes, 1.0, "x", "y", F.col("l_linenumber"), cells=cells)
     squares = F.filter("id_areas", lambda i: i != COAST)
     return found.select(
         "l_orderkey", "l_linenumber", F.array_contains("id_areas", COAST).alias("ashore"), text(F.get(squares, F.lit(0))).alias("square")

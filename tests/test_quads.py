@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from obsload.functions.geometry import parse_wkt
+from obsload.functions.geometry import parse_wkt, segments
 from obsload.operators import quads
 
 
@@ -73,3 +73,22 @@ def test_no_areas(spark):
     points = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
     none = spark.createDataFrame([], "id_area int, wkt string").select("id_area", parse_wkt(F.col("wkt")).alias("geom"))
     assert quads.areas_of_points(points, none, 1.0, "x", "y", F.col("x")).first()["id_areas"] == []
+
+
+@pytest.mark.parametrize("many", [4, 60])
+def test_cells_of_edges_in_rows(spark, monkeypatch, many):
+    monkeypatch.setattr(quads, "MANY", many)
+    monkeypatch.setattr(quads, "FEW", 4)
+    wkt = [(i, "POLYGON(" + ", ".join(map(ring_text, r)) + ")") for i, r in shapes().items()]
+    # one edge above all others, and an area whose corners lie on those of cells
+    wkt.append((7, "POLYGON((-100 -100, 100 -100, 0 -99.5, -100 -100))"))
+    wkt.append((8, "POLYGON((" + ", ".join(f"{x} {-8 if x % 2 else 8}" for x in range(-16, 17)) + ", 16 -16, -16 -16, -16 8))"))
+    known = spark.createDataFrame(wkt, "id_area int, wkt string").select("id_area", parse_wkt(F.col("wkt")).alias("geom"))
+    edges = known.select("id_area", F.explode(segments(F.col("geom"))).alias("e")).select("id_area", "e.*")
+    odd = spark.createDataFrame([(1, None, 1.0, 2.0, 2.0), (11, None, 1.0, None, 2.0)], "id_area int, x0 double, y0 double, x1 double, y1 double")
+    told = [
+        sorted(map(str, cells.withColumn("edges", F.array_sort("edges")).select("id_area", "level", "cx", "cy", "inside", "edges").collect()))
+        for cells in (quads.quad_cells(known, 0.25), quads.edge_cells(edges.unionByName(odd), 0.25))
+    ]
+    assert told[0] == told[1] and len(told[0]) > 100
+    assert quads.edge_cells(edges.limit(0), 0.25).isEmpty()
