@@ -73,8 +73,8 @@ def parse_wkt(text: Column) -> Column:
             F.regexp_replace(F.regexp_extract(text, _TAGGED, 2), r"\s+", " "), r" ?([(),]) ?", "$1"
         ).alias("body"),
     )
-    # plain points, nearly all cells of a load, never enter the interpreted part
-    return F.when(x != "", simple).otherwise(let(tagged, _read))
+    # plain points and empty cells, nearly all of a load, never enter the interpreted part
+    return F.when(x != "", simple).when(text.isNotNull(), let(tagged, _read))
 
 
 COLLECTION = "GEOMETRYCOLLECTION"
@@ -244,8 +244,8 @@ def map_vertices(geometry: Column, change: Callable[[Column, Column], tuple[Colu
     """Same geometry with every vertex moved by ``change(x, y)``."""
     head = first_vertex(geometry)
     x, y = change(head["x"], head["y"])
-    # plain points stay in generated code
-    return F.when(is_plain_point(geometry), point(x, y)).otherwise(let(geometry, lambda g: _moved(g, change)))
+    # plain points and rows without a shape stay in generated code
+    return F.when(is_plain_point(geometry), point(x, y)).when(geometry.isNotNull(), let(geometry, lambda g: _moved(g, change)))
 
 
 def _moved(geometry: Column, change: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
@@ -300,8 +300,9 @@ def centroid(geometry: Column) -> Column:
     taken relative to the first vertex to keep digits.
     """
     # of a collection the members of the highest dimension count
-    return F.when(is_plain_point(geometry), geometry).otherwise(
-        let(F.element_at(F.when(is_collection(geometry), F.nullif(members(geometry), F.array().cast(f"array<{GEOMETRY}>"))).otherwise(F.array(geometry)), -1), _centre)
+    return F.when(is_plain_point(geometry), geometry).when(
+        geometry.isNotNull(),
+        let(F.element_at(F.when(is_collection(geometry), F.nullif(members(geometry), F.array().cast(f"array<{GEOMETRY}>"))).otherwise(F.array(geometry)), -1), _centre),
     )
 
 
@@ -399,8 +400,8 @@ def within_convex(geometry: Column, corners: list[tuple[float, float]]) -> Colum
         return F.when(g.isNotNull(), (F.size(g["parts"]) > 0) & covered & enters)
 
     head = first_vertex(geometry)
-    return F.when(is_plain_point(geometry), every(head["x"], head["y"], True)).otherwise(
-        let(geometry, shape_within)
+    return F.when(is_plain_point(geometry), every(head["x"], head["y"], True)).when(
+        geometry.isNotNull(), let(geometry, shape_within)
     )
 
 

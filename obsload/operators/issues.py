@@ -40,6 +40,7 @@ class Check:
     level: str | None = None
 
     def issue(self) -> Column:
+        """Array of the one issue, empty where the condition does not hold."""
         if self.level not in (ERROR, WARNING):
             level_of(self.code)
         value = F.lit(None) if self.value is None else self.value
@@ -48,14 +49,17 @@ class Check:
             F.lit(self.column).alias("column"),
             value.cast("string").alias("value"),
         ).cast(ISSUE)
-        return F.when(self.condition, made)
+        return F.when(self.condition, F.array(made)).otherwise(F.array().cast(ISSUES))
 
 
 def collected(checks: Sequence[Check]) -> Column:
-    """Array of the issues raised by ``checks`` on one row; no condition yields no element."""
+    """Array of the issues raised by ``checks`` on one row; no condition yields no element.
+
+    Arrays are joined and not filtered: under a filter all conditions would be interpreted, not compiled.
+    """
     if not checks:
         return F.array().cast(ISSUES)
-    return F.array_compact(F.array(*[c.issue() for c in checks])).cast(ISSUES)
+    return F.concat(*[c.issue() for c in checks]).cast(ISSUES)
 
 
 def has_error(issues: Column, own: Sequence[Check] = ()) -> Column:

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from obsload.functions.geometry import centroid, map_vertices, parse_wkt, to_wkt, within_convex
+from obsload.operators.issues import ISSUES, Check, with_issues
 from obsload.operators.keyed import fetch, flag_duplicates, flag_unknown
 from obsload.sinks.tables import Step, reset_loads
 from obsload.sources.delimited import header_of, numbered, read_delimited, refuse_surplus
@@ -285,3 +287,24 @@ def test_written_tables_are_removed_when_released(spark):
     path = Path(workspace._MADE[0].removeprefix("file:"))
     assert kept.count() == 5 and path.exists()
     assert workspace.release(spark) == 1 and not path.exists() and workspace.release(spark) == 0
+
+
+def test_conditions_of_checks_are_compiled(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "n int, s string")
+    checks = [Check("MISSING_VALUE", "s", F.col("s").isNull()), Check("INVALID_INTEGER", "s", F.col("s") == "a", F.col("s"))]
+    out = with_issues(with_issues(rows, checks), checks[1:])
+    got = {r["n"]: [(i["code"], i["column"], i["value"]) for i in r["issues"]] for r in out.collect()}
+    assert got == {1: [("INVALID_INTEGER", "s", "a")] * 2, 2: [("MISSING_VALUE", "s", None)], 3: []}
+    # a filter of an array would interpret the conditions of all checks
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.schema["issues"].dataType.simpleString() == ISSUES
+
+
+def test_rows_without_a_shape(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "POINT(1 x)"), (4, "POINT(1 2)"), (5, "LINESTRING(1 2, 3 4)")], "n int, s string")
+    g = rows.select("n", parse_wkt(F.col("s")).alias("g"))
+    moved = map_vertices(F.col("g"), lambda x, y: (x + 1, y))
+    inside = within_convex(F.col("g"), [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)])
+    got = {r["n"]: (r["m"], r["c"], r["i"]) for r in g.select("n", to_wkt(moved).alias("m"), to_wkt(centroid(F.col("g"))).alias("c"), inside.alias("i")).collect()}
+    none = (None, None, None)
+    assert got == {1: none, 2: none, 3: none, 4: ("POINT (2 2)", "POINT (1 2)", True), 5: ("LINESTRING (2 2, 4 4)", "POINT (2 3)", True)}
